@@ -3,10 +3,11 @@
 Terms are words with A-Z folded. The lexicon holds the terms found in LEAST to MOST of all
 documents (a band of inverse document frequency); as a document has T distinct terms on
 average, it has T / LEAST terms at most, whatever the corpus' size. A fingerprint holds the
-hashes of a document's sorted distinct lexicon terms under COPIES random subsets of the
-lexicon at each of len(RATES) rates: sparse subsets miss most edits of long texts, dense ones keep some
-terms of short texts. The likeness of two fingerprints is the share of equal hashes among
-the subsets in which either document has a term.
+hash of a document's sorted distinct lexicon terms under the whole lexicon and under COPIES random
+subsets of it at each of len(RATES) rates: sparse subsets miss most edits of long texts, dense
+ones keep some terms of short texts. The likeness of two fingerprints is the largest, over
+rates, share of equal hashes among the subsets in which either has a term (with one unequal
+subset more, so that few subsets say little); 1.0 if all are equal.
 
 Defined cases: null text is empty text; a document with fewer than FEW lexicon terms uses all of
 its terms; texts without terms have the fingerprint of their exact text alone, and are alike
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAST, MOST = 1 / 500, 1 / 3
-RATES = (1.0, 1 / 4, 1 / 8, 1 / 16, 1 / 32, 1 / 64, 1 / 128, 1 / 512)
-COPIES = 12
+RATES = (1 / 8, 1 / 32, 1 / 128, 1 / 512)
+COPIES = 24
 FEW = 4
 #: Neighbouring documents that one range holds on average.
 RANGE = 4096
@@ -53,16 +54,13 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
 
 
 def _subset_bits(terms: np.ndarray) -> np.ndarray:
-    """terms x (len(RATES) * COPIES) booleans: which subsets have the term."""
+    """terms x (1 + len(RATES) * COPIES) booleans: which subsets have the term; the first is the whole lexicon."""
     from .textops import mix64, mix_int
 
-    out = np.empty((len(terms), len(RATES) * COPIES), bool)
+    out = np.ones((len(terms), 1 + len(RATES) * COPIES), bool)
     for i, rate in enumerate(RATES):
         for j in range(COPIES):
-            if rate >= 1 and j:
-                out[:, i * COPIES + j] = False
-            else:
-                out[:, i * COPIES + j] = mix64(terms ^ np.uint64(mix_int(1000 * i + j + 1))) <= np.uint64(min(rate * 2.0**64, 2.0**64 - 2048))
+            out[:, 1 + i * COPIES + j] = mix64(terms ^ np.uint64(mix_int(1000 * i + j + 1))) < np.uint64(int(rate * 2.0**64))
     return out
 
 
@@ -100,14 +98,15 @@ def likeness(a: str, b: str) -> float:
         return 1.0
     if a[0] == "=" or b[0] == "=":
         return 0.0
-    x, y = np.frombuffer(bytes.fromhex(a), np.uint16), np.frombuffer(bytes.fromhex(b), np.uint16)
-    return float(((x == y) & (x != 0)).sum() / max(1, ((x != 0) | (y != 0)).sum()))
+    x, y = (np.frombuffer(bytes.fromhex(v), np.uint16)[None] for v in (a, b))
+    return float(_alike(x, y, [a], [b])[0])
 
 
 def _alike(x: np.ndarray, y: np.ndarray, xt: list[str], yt: list[str]) -> np.ndarray:
-    used = ((x != 0) | (y != 0)).sum(1)
-    out = ((x == y) & (x != 0)).sum(1) / np.maximum(used, 1)
-    return np.where([a == b for a, b in zip(xt, yt, strict=True)], 1.0, out)
+    n = (len(x), len(RATES), COPIES)
+    used = ((x != 0) | (y != 0))[:, 1:].reshape(n).sum(2)
+    same = ((x == y) & (x != 0))[:, 1:].reshape(n).sum(2)
+    return np.where([a == b for a, b in zip(xt, yt, strict=True)], 1.0, (same / (used + 1)).max(1))
 
 
 def with_edited(docs: DataFrame, words: np.ndarray | None = None, span: int = RANGE) -> DataFrame:
@@ -131,7 +130,6 @@ def with_edited(docs: DataFrame, words: np.ndarray | None = None, span: int = RA
     first = keyed.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()  # a row a range: 1001 at most
     before = {r.part: first[i - 1].part for i, r in enumerate(first)}
     # Of a head's copies (same id), the least text comes first; all go along, and the reader takes the first.
-    lone = len(first) == 1
     heads = F.create_map(*[x for r in first for x in (F.lit(r.part), F.lit(r.head).cast("long"))]) if first else F.create_map(F.lit(0), F.lit(None).cast("long"))
     prev = F.create_map(*[x for r in first for x in (F.lit(r.part), F.lit(before[r.part]))]) if first else F.create_map(F.lit(0), F.lit(0))
     is_head = F.col("doc_id").eqNullSafe(heads[F.col("part")])
@@ -143,7 +141,6 @@ def with_edited(docs: DataFrame, words: np.ndarray | None = None, span: int = RA
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     schema = T._parse_datatype_string(schema)
     schema = T.StructType([docs.schema["doc_id"], *schema.fields[1:]])
-    del lone
 
     def apply(batches):
         bits, held, last = _subset_bits(words), [], None
