@@ -7,10 +7,10 @@ hash of a document's sorted distinct lexicon terms under the whole lexicon and u
 subsets of it at each of len(RATES) rates: sparse subsets miss most edits of long texts, dense
 ones keep some terms of short texts. The likeness of two fingerprints is the largest, over
 rates, share of equal hashes among the subsets in which either has a term (with one unequal
-subset more, so that few subsets say little); 1.0 if all are equal.
+subset more, so that few subsets say little); 1.0 if all are equal. Terms outside the lexicon
+have subsets of their own, for texts that consist of rare terms.
 
-Defined cases: null text is empty text; a document with fewer than FEW lexicon terms uses all of
-its terms; texts without terms have the fingerprint of their exact text alone, and are alike
+Defined cases: null text is empty text; texts without terms have the fingerprint of their exact text alone, and are alike
 (1.0) only if equal; equal texts have equal fingerprints; the next document is by
 descending doc_id, then text, nulls last; in a table of one row the next document is itself.
 """
@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 LEAST, MOST = 1 / 500, 1 / 3
 RATES = (1 / 8, 1 / 32, 1 / 128, 1 / 512)
 COPIES = 24
-FEW = 4
+#: Subsets of the terms outside the lexicon, a rate.
+OUTER = 7
 #: Neighbouring documents that one range holds on average.
 RANGE = 4096
 
@@ -64,26 +65,46 @@ def _subset_bits(terms: np.ndarray) -> np.ndarray:
     return out
 
 
+def _outer_bits(terms: np.ndarray) -> np.ndarray:
+    """terms x (len(RATES) * OUTER) booleans for terms outside the lexicon: groups of bits of one hash a rate."""
+    from .textops import mix64, mix_int
+
+    out = np.empty((len(terms), len(RATES) * OUTER), bool)
+    for i, rate in enumerate(RATES):
+        h, k = mix64(terms ^ np.uint64(mix_int(77 + i))), round(-np.log2(rate))
+        for j in range(OUTER):
+            out[:, i * OUTER + j] = (h >> np.uint64(j * k)) & np.uint64((1 << k) - 1) == 0
+    return out
+
+
+def _per_row(member: np.ndarray, value: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """rows x subsets: 16 bits of the hash of each row's member terms, 0 where there are none. row ascends."""
+    out = np.zeros((rows, member.shape[1]), np.uint16)
+    if len(row):
+        from .textops import mix64
+
+        at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        s = mix64(np.add.reduceat(np.where(member, value[:, None], np.uint64(0)), at, axis=0))
+        some = np.logical_or.reduceat(member, at, axis=0)
+        out[row[at]] = np.where(some, (s & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1), 0)
+    return out
+
+
 def fingerprints(texts: list[str], words: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """rows x subsets of 16-bit hashes, 0 where the row has no term of the subset."""
     from .textops import distinct_by_row, mix64, slices, word_hashes
 
     n = bits.shape[1]
-    out = np.zeros((len(texts), n), np.uint16)
-    for a, data, off in slices(pa.array(texts, pa.large_string())):
+    out = np.zeros((len(texts), n + len(RATES) * OUTER), np.uint16)
+    for a, data, off in slices(pa.array(texts, pa.large_string()), 1 << 18):
         h, first = distinct_by_row(*word_hashes(data, off))
+        rows = len(first) - 1
+        row = np.repeat(np.arange(rows), np.diff(first))
         at = np.searchsorted(words, h)
         known = (words[np.minimum(at, max(len(words) - 1, 0))] == h) if len(words) else np.zeros(len(h), bool)
         value = mix64(h + np.uint64(0x51ED270B)) | np.uint64(1)
-        for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            k = known[x:y]
-            if k.sum() >= FEW:
-                member, v = bits[at[x:y][k]], value[x:y][k]
-            else:
-                member, v = _subset_bits(h[x:y]), value[x:y]
-            if len(v):
-                s = mix64(np.where(member, v[:, None], np.uint64(0)).sum(0, dtype=np.uint64))
-                out[a + i] = np.where(member.any(0), (s & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1), 0)
+        out[a : a + rows, :n] = _per_row(bits[at[known]], value[known], row[known], rows)
+        out[a : a + rows, n:] = _per_row(_outer_bits(h[~known]), value[~known], row[~known], rows)
     return out
 
 
@@ -103,10 +124,13 @@ def likeness(a: str, b: str) -> float:
 
 
 def _alike(x: np.ndarray, y: np.ndarray, xt: list[str], yt: list[str]) -> np.ndarray:
-    n = (len(x), len(RATES), COPIES)
-    used = ((x != 0) | (y != 0))[:, 1:].reshape(n).sum(2)
-    same = ((x == y) & (x != 0))[:, 1:].reshape(n).sum(2)
-    return np.where([a == b for a, b in zip(xt, yt, strict=True)], 1.0, (same / (used + 1)).max(1))
+    used, same = (x != 0) | (y != 0), (x == y) & (x != 0)
+    share = []
+    for start, copies in ((1, COPIES), (1 + len(RATES) * COPIES, OUTER)):
+        part = slice(start, start + len(RATES) * copies)
+        n = (len(x), len(RATES), copies)
+        share.append((same[:, part].reshape(n).sum(2) / (used[:, part].reshape(n).sum(2) + 1)).max(1))
+    return np.where([a == b for a, b in zip(xt, yt, strict=True)], 1.0, np.maximum(*share))
 
 
 def with_edited(docs: DataFrame, words: np.ndarray | None = None, span: int = RANGE) -> DataFrame:

@@ -4,8 +4,8 @@ Every document of a source is wanted target / source_size times in expectation,
 0 and 2. Its whole part is taken outright; its fraction is settled by the cube method,
 which keeps each source's taken words and number of documents where they are expected.
 The flight runs in blocks of about BLOCK documents of one source, each on its own; what a
-block leaves open (two documents at most) meets the leftovers of other blocks on the next
-level, until a source has two open documents: the landing problem.
+block leaves open (two documents, and LANDING of spread sizes that sat out) meets the leftovers of
+other blocks on the next level, until a source has one block: the landing problem.
 
 Defined cases: null text has size 0; a document of size 0 is never taken; null sources form
 one source that sorts last; an empty table gives an empty one; a table without any word has
@@ -51,11 +51,11 @@ def targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, mo
 
 
 def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, last: bool = False) -> np.ndarray:
-    """Moves p to 0 or 1 along the null space of (size, 1) until at most two entries are open; with last, those too."""
+    """Moves p to 0 or 1 along the null space of (size, 1) until a few entries are open; with last, those too."""
     p, eps = p.astype(float).copy(), 1e-9
     p[p < eps], p[p > 1 - eps] = 0.0, 1.0
     order, s, back = np.flatnonzero((p > 0) & (p < 1)), size.astype(float), np.zeros(0, np.int64)
-    if last and len(order) > 4:
+    if len(order) > 4:
         # A few documents of spread sizes wait for the landing.
         by_size = order[np.argsort(s[order], kind="stable")]
         back = by_size[np.unique(np.linspace(0, 0.7 * (len(order) - 1), min(LANDING, len(order) // 2)).astype(int))]
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: f
         done = shut if done is None else done.unionByName(shut)
         if last:
             break
-        # A block leaves two documents at most: block / 4 blocks become one.
-        units, count, level = moved.where("open > 0 and open < 1").withColumn("block", F.floor(F.col("block") / max(2, block // 4))), -(-count // max(2, block // 4)), level + 1
+        fan = max(2, block // (2 * LANDING + 4))
+        units, count, level = moved.where("open > 0 and open < 1").withColumn("block", F.floor(F.col("block") / fan)), -(-count // fan), level + 1
     copies = (F.col("whole") + F.round("open").cast("long")).alias("copies")
     return done.select("doc_id", "source", "size", "source_size", "target", copies, ((F.col("whole") + F.round("open").cast("long")) * F.col("size")).alias("taken"))
