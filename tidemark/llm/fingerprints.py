@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,8 @@ COPIES = 24
 OUTER = 7
 #: Neighbouring documents that one range holds on average.
 RANGE = 4096
+#: Quantiles of doc_id that the ranges follow, and ranges up to which their heads are broadcast.
+QUANTILES, BROADCAST_RANGES = 100, 200_000
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -139,29 +141,38 @@ def with_edited(docs: DataFrame, words: np.ndarray | None = None, span: int = RA
     Neighbours are found by ranges of doc_id: each range is one sorted run of a shuffle, and the
     first document of a range is sent to the range before it too.
     """
-    spark = docs.sparkSession
+    from .textops import written
+
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if words is None:
         words = lexicon(docs)
     n = docs.count()
+    # Ranges count from the largest ids down, as the documents follow each other: quantiles, each cut into equal widths.
     key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    cuts = docs.select(key.alias("k")).stat.approxQuantile("k", [i / 1000 for i in range(1001)], 0.0005) if n > span else []
-    pick = max(1, round(1000 * span / max(n, 1)))
-    cuts = sorted({c for c in cuts[pick::pick] if c > float("-inf")})
-    # Ranges count from the largest ids down, as the documents follow each other.
-    part = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c > key)) if cuts else F.lit(0)
-    keyed = docs.withColumn("part", part.cast("int"))
-    first = keyed.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()  # a row a range: 1001 at most
-    before = {r.part: first[i - 1].part for i, r in enumerate(first)}
-    # Of a head's copies (same id), the least text comes first; all go along, and the reader takes the first.
-    heads = F.create_map(*[x for r in first for x in (F.lit(r.part), F.lit(r.head).cast("long"))]) if first else F.create_map(F.lit(0), F.lit(None).cast("long"))
-    prev = F.create_map(*[x for r in first for x in (F.lit(r.part), F.lit(before[r.part]))]) if first else F.create_map(F.lit(0), F.lit(0))
-    is_head = F.col("doc_id").eqNullSafe(heads[F.col("part")])
+    want = max(1, n // span)
+    cuts = sorted(set(docs.where("doc_id is not null").stat.approxQuantile("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 0.2 / QUANTILES))) if want > 1 else []
+    if len(cuts) > 1:
+        fine = -(-want // (len(cuts) - 1))
+        edges = F.lit(cuts).cast("array<double>")
+        k = F.least(F.greatest(F.size(F.filter(edges, lambda c: c <= key)), F.lit(1)), F.lit(len(cuts) - 1))
+        lo, hi = F.element_at(edges, k), F.element_at(edges, k + 1)
+        inside = F.least(F.greatest(F.floor((key - lo) / (hi - lo) * fine), F.lit(0)), F.lit(fine - 1))
+        part = F.when(F.col("doc_id").isNull(), F.lit(2**40)).otherwise(-(k * fine + inside))
+    else:
+        fine, part = 1, F.lit(0)
+    keyed = docs.withColumn("part", part.cast("long"))
+    # One row a range: its largest id, and the range that the documents before it are in.
+    order = Window.orderBy("part")
+    first = keyed.groupBy("part").agg(F.max("doc_id").alias("head"))
+    first = first.withColumn("prev", F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    first, _ = written(first, "ranges")
+    ranges = first.count()
+    met = keyed.join(F.broadcast(first) if ranges <= BROADCAST_RANGES else first, "part")
+    # All copies of a range's head (same id) go along; the reader takes the one whose text comes first.
     own = F.struct(F.col("part"), F.lit(0).alias("extra"))
-    sent = keyed.withColumn("_to", F.explode(F.when(is_head, F.array(own, F.struct(prev[F.col("part")].alias("part"), F.lit(1).alias("extra")))).otherwise(F.array(own))))
-    runs = sent.select(F.col("_to.part").alias("part"), F.col("_to.extra").alias("extra"), "doc_id", "text")
-    runs = runs.repartition(max(1, min(len(first) or 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "part")
-    runs = runs.sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    also = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, F.struct(F.col("prev").alias("part"), F.lit(1).alias("extra")))).otherwise(F.array(own))
+    runs = met.withColumn("_to", F.explode(also)).select(F.col("_to.part").alias("part"), F.col("_to.extra").alias("extra"), "doc_id", "text")
+    runs = runs.repartition(max(1, ranges), "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     schema = T._parse_datatype_string(schema)
     schema = T.StructType([docs.schema["doc_id"], *schema.fields[1:]])
