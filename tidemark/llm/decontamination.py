@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textops import lean
+
 K, SIMILAR, BLOCKS, RADIUS, ITEMS = 5, 0.75, 4, 11, 2_000
 _BITS = 64 // BLOCKS
 
@@ -167,7 +169,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], most: int = ITE
                     names=[f.name for f in schema.fields],
                 )
 
-        one = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(apply, schema)
+        one = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(lean(apply), schema)
         out = one if out is None else out.unionByName(one)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -182,5 +184,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, most: int = ITEMS) -> DataFrame
             for batch in batches:
                 yield batch.filter(pa.array([not found for _, found in _per_text(batch.column(place), at)], pa.bool_()))
 
-        docs = docs.mapInArrow(apply, docs.schema)
+        docs = docs.mapInArrow(lean(apply), docs.schema)
     return docs

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textops import lean
+
 LEAST, MOST = 1 / 500, 1 / 3
 RATES = (1 / 8, 1 / 32, 1 / 128, 1 / 512)
 COPIES = 24
@@ -46,7 +48,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
             h, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["term", "n"])
 
-    return docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.ndarray:
@@ -212,4 +214,4 @@ def with_edited(docs: DataFrame, words: np.ndarray | None = None, span: int = RA
                             held = []
                 last = row
 
-    return runs.mapInArrow(apply, schema)
+    return runs.mapInArrow(lean(apply), schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textops import lean
+
 DIMS = 2048
 #: Documents a language to learn from, at most about.
 SAMPLE = 1000
@@ -73,7 +75,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, see
                 rows = [x.astype(np.uint16).tobytes() for x in np.minimum(c, 65535)]
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, len(rows)), pa.array(rows, pa.binary())], names=["lang", "x"])
 
-    got = some.mapInArrow(features, "lang string, x binary").toPandas().sort_values(["lang", "x"])
+    got = some.mapInArrow(lean(features), "lang string, x binary").toPandas().sort_values(["lang", "x"])
     langs = sorted(per)
     label = got["lang"].map({v: i for i, v in enumerate(langs)}).to_numpy()
     c = np.frombuffer(b"".join(got["x"]), np.uint16).reshape(-1, DIMS)
@@ -119,4 +121,4 @@ def predict(docs: DataFrame, model: dict, keep: list[str], reject: float = REJEC
                     [*(batch.column(j).slice(a, n) for j in range(len(keep))), pa.array(said, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(far, pa.bool_())], names=[f.name for f in schema.fields]
                 )
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(apply, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(lean(apply), schema)

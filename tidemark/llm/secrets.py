@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textops import lean
+
 #: log10 guesses from which an assigned value counts as a secret.
 LEAST = 8.0
 #: Longest piece that the dynamic program looks at, in characters.
@@ -122,7 +124,7 @@ def scan(docs: DataFrame, keep: list[str], least: float = LEAST) -> DataFrame:
             as_rows = lambda x: pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in y] for y in x], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], as_rows(base), as_rows(more)], names=[f.name for f in schema.fields])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(apply, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(lean(apply), schema)
 
 
 def digest(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -158,7 +160,7 @@ def redact(docs: DataFrame, least: float = LEAST, mark: str = "[SECRET]") -> Dat
                 batch = pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(new, text.type), *batch.columns[at + 1 :]], names=batch.schema.names)
             yield batch
 
-    return docs.mapInArrow(apply, docs.schema)
+    return docs.mapInArrow(lean(apply), docs.schema)
 
 
 def sha256(text: str) -> str:

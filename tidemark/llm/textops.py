@@ -125,6 +125,22 @@ def distinct_by_row(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(off) - 1))))
 
 
+def lean(apply):
+    """A mapInArrow function whose worker gives freed memory back to the system, as workers outlive their tasks."""
+
+    def run(batches):
+        import ctypes
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from apply(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return run
+
+
 def checkpoint_dir(spark) -> str:
     """The shared folder that the session names; where none is set (as in tests) a folder of its own is set."""
     d = spark.conf.get("spark.checkpoint.dir", None)

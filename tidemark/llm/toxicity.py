@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textops import lean
+
 #: Labelled rows to learn from, at most about.
 SAMPLE = 20_000
 #: Entries of the learned lexicon, at most.
@@ -131,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
             yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["f", "clean", "toxic"])
             yield pa.RecordBatch.from_arrays([pa.array([shown]), pa.array([toxic.count(0)], pa.int64()), pa.array([toxic.count(1)], pa.int64())], names=["f", "clean", "toxic"])
 
-    counts = rows.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.mapInArrow(lean(count), "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     kept = counts.where((F.col("toxic") >= SUPPORT) | (F.col("f") == shown)).where((F.col("clean") <= 4 * F.col("toxic")) | (F.col("f") == shown)).orderBy(F.col("f") != shown, F.desc("toxic"), "clean", "f").limit(20 * LEXICON).collect()
     total = next((r for r in kept if r.f == shown), None)
     if total is None or not total.clean or not total.toxic:
@@ -152,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
             x = _features(batch.column("text").to_pylist(), a)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["toxic", "e", "n"])
 
-    got = rows.select(F.col("toxic").cast("int"), "text").mapInArrow(measure, "toxic int, e double, n double").toPandas().sort_values(["e", "n", "toxic"])
+    got = rows.select(F.col("toxic").cast("int"), "text").mapInArrow(lean(measure), "toxic int, e double, n double").toPandas().sort_values(["e", "n", "toxic"])
     x, y, beta = _inputs(got[["e", "n"]].to_numpy()), got["toxic"].to_numpy(float), np.zeros(3)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -178,7 +180,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             s = _scores(batch.column(len(keep)).to_pylist(), a, model["beta"])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s)], names=[f.name for f in schema.fields])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(apply, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(lean(apply), schema)
 
 
 def without_toxic(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
@@ -190,4 +192,4 @@ def without_toxic(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), a, model["beta"]) < least))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return docs.mapInArrow(lean(apply), docs.schema)
