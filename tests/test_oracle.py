@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from tidemark.plans import more_queries  # noqa: F401
 from tidemark.plans.queries import SQL, Q
 
 SF = "/root/testdata/sf0.01"

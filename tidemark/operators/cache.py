@@ -17,33 +17,62 @@ def outcomes(log: DataFrame, arrival: str) -> DataFrame:
     return log.withColumn("outcome", F.when(seen.isNull() | (F.col("pos") > seen), "Applied").otherwise("Ignored"))
 
 
+def _seen(log: DataFrame, keys: list[str], arrival: str) -> DataFrame:
+    """Adds `_seen`, the highest pos of earlier records with the same keys.
+
+    Records are cut into ranges of arrival, each range of a key is ordered on its own and the maxima of earlier
+    ranges are joined, so that a key with a large share of the log is spread over tasks.
+    """
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(log.approxQuantile(arrival, [i / n for i in range(1, n)], 0.01))) if n > 1 else []
+    rows = log.withColumn("_range", F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col(arrival))))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*keys, "_range").agg(F.max("pos").alias("_top")).select(*keys, "_range", F.max("_top").over(before).alias("_base"))
+    inside = F.max("pos").over(Window.partitionBy(*keys, "_range").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_in", inside).join(tops, [*keys, "_range"]).withColumn("_seen", F.greatest("_in", "_base")).drop("_range", "_in", "_base")
+
+
 def fold(log: DataFrame, declared: str, arrival: str = "arrival") -> DataFrame:
-    """Each record's outcome (Applied, Ignored, Migrated, CacheOriginMismatch) for logs with several origins.
+    """Each record with its outcome (Applied, Ignored, Migrated, CacheOriginMismatch) for logs with several origins.
+
+    Arrival is a number, different within an entity; entity, topic and part are never null.
 
-    Per entity, in order of arrival: a first record applies; the same topic and part needs a higher
-    pos; another part of the same topic is a mismatch; a record of the declared topic migrates a
-    state from another one; a straggler after that is ignored; anything else is a mismatch.
+    The rule is sequential per entity: a first record applies; the same topic and part needs a higher pos;
+    another part of the same topic is a mismatch; a record of the declared topic migrates a state from
+    another one; a straggler after that is ignored; anything else is a mismatch. An entity has therefore
+    two origins at most, that of its first record and that of its first record of the declared topic, and
+    within an origin the guard is a running maximum: no entity's records are collected.
     """
-    state = "struct<topic:string,part:int,pos:bigint,outs:array<struct<pos:bigint,arrival:bigint,outcome:string>>>"
-    rows = F.array_sort(F.collect_list(F.struct(F.col(arrival).alias("arrival"), "topic", "part", "pos")))
-    start = F.struct(F.lit(None).cast("string").alias("topic"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("bigint").alias("pos"), F.array().cast("array<struct<pos:bigint,arrival:bigint,outcome:string>>").alias("outs"))
-
-    def step(s, r):
-        same = (s["topic"] == r["topic"]) & (s["part"] == r["part"])
-        out = (
-            F.when(s["topic"].isNull(), "Applied")
-            .when(same, F.when(r["pos"] > s["pos"], "Applied").otherwise("Ignored"))
-            .when(s["topic"] == r["topic"], "CacheOriginMismatch")
-            .when(r["topic"] == declared, "Migrated")
-            .when(s["topic"] == declared, "Ignored")
-            .otherwise("CacheOriginMismatch")
-        )
-        takes = out.isin("Applied", "Migrated")
-        pick = lambda c: F.when(takes, r[c]).otherwise(s[c])
-        return F.struct(pick("topic").alias("topic"), pick("part").alias("part"), pick("pos").alias("pos"), F.concat(s["outs"], F.array(F.struct(r["pos"].alias("pos"), r["arrival"].alias("arrival"), out.alias("outcome")))).alias("outs")).cast(state)
-
-    done = log.groupBy("entity_key").agg(F.aggregate(rows, start.cast(state), step).alias("s"))
-    return done.select("entity_key", F.explode("s.outs").alias("o")).select("entity_key", "o.pos", "o.arrival", "o.outcome")
+    ours, at = F.col("topic") == declared, F.col(arrival)
+    firsts = log.groupBy("entity_key").agg(
+        F.min(at).alias("_at"), F.min_by(F.struct("topic", "part"), at).alias("_first"), F.min(F.when(ours, at)).alias("_ours_at"), F.min_by("part", F.when(ours, at)).alias("_ours_part")
+    )
+    rows = _seen(log, ["entity_key", "topic", "part"], arrival).join(firsts, "entity_key")
+    guard = F.when(F.col("_seen").isNull() | (F.col("pos") > F.col("_seen")), "Applied").otherwise("Ignored")
+    late = F.coalesce(at > F.col("_ours_at"), F.lit(False))
+    out = (
+        F.when(at == F.col("_at"), "Applied")
+        .when(at == F.col("_ours_at"), "Migrated")
+        .when(late & ours, F.when(F.col("part") == F.col("_ours_part"), guard).otherwise("CacheOriginMismatch"))
+        .when(late, "Ignored")
+        .when((F.col("topic") == F.col("_first.topic")) & (F.col("part") == F.col("_first.part")), guard)
+        .otherwise("CacheOriginMismatch")
+    )
+    return rows.withColumn("outcome", out).select(*log.columns, "outcome")
+
+
+def state_after(outcomes: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Cache rows (entity_key, payload, topic, part, applied_pos) left by records with outcomes of `fold`."""
+    top = F.max_by(F.struct("payload", "topic", "part", "pos"), arrival).alias("s")
+    rows = outcomes.where(F.col("outcome").isin("Applied", "Migrated")).groupBy("entity_key").agg(top)
+    return rows.select("entity_key", "s.payload", "s.topic", "s.part", F.col("s.pos").alias("applied_pos"))
+
+
+def advance(cached: DataFrame, batch: DataFrame, declared: str, arrival: str = "arrival") -> DataFrame:
+    """Outcomes of a batch of records on a cache: the cached rows of its entities come first, as records of their own (outcome Cached)."""
+    have = cached.join(batch.select("entity_key").distinct(), "entity_key", "left_semi").withColumn("pos", F.col("applied_pos")).withColumn(arrival, F.lit(-1).cast("long"))
+    both = have.select("entity_key", "payload", "topic", "part", "pos", arrival).unionByName(batch.select("entity_key", "payload", "topic", "part", "pos", arrival))
+    return fold(both, declared, arrival).withColumn("outcome", F.when(F.col(arrival) < 0, "Cached").otherwise(F.col("outcome")))
 
 
 def availability(products: DataFrame, orders: DataFrame) -> DataFrame:

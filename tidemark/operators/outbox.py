@@ -6,9 +6,11 @@ entity never blocks or overtakes another row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import headers, identity
+
 TERMINAL = ("Published", "Superseded", "Failed")
 
 
@@ -82,14 +84,90 @@ def purge(ledger: DataFrame, *args, **kwargs) -> DataFrame:
 
 
 def with_enqueue_order(ledger: DataFrame) -> DataFrame:
-    """Numbers legacy rows 1, 2, ... by (created_s, message_id): per-range counts and a running offset, no single-task sort."""
-    spark = ledger.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ledger.approxQuantile("created_s", [i / n for i in range(1, n)], 0.01) if n > 1 else []
-    part = F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<double>"), lambda c: c < F.col("created_s")))
-    rows = ledger.withColumn("_p", part)
+    """Numbers legacy rows 1, 2, ... by (created_s, message_id)."""
+    return numbered(ledger, "created_s", "message_id")
+
+
+def numbered(rows: DataFrame, by: str, *ties: str, start: int = 0, name: str = "enqueue_order") -> DataFrame:
+    """Numbers rows start+1, start+2, ... by a numeric column and tie-breaks: per-range counts and a running offset, no single-task sort."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.approxQuantile(by, [i / n for i in range(1, n)], 0.01) if n > 1 else []
+    rows = rows.withColumn("_p", F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<double>"), lambda c: c < F.col(by))))
     count = rows.groupBy("_p").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offset = F.broadcast(count.select("_p", before.alias("_before")))  # as many rows as shuffle partitions
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("created_s", "message_id"))
-    return rows.join(offset, "_p").withColumn("enqueue_order", (place + F.col("_before")).cast("long")).drop("_p", "_before")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(by, *ties))
+    return rows.join(offset, "_p").withColumn(name, (place + F.col("_before") + start).cast("long")).drop("_p", "_before")
+
+
+def rejection(prefix: str = headers.PREFIX) -> Column:
+    """Why a message can't be sent, or null: ReservedHeader (leaves no row), MissingIdempotencyKey (leaves a Failed row)."""
+    return F.when(F.coalesce(identity.reserved(F.col("headers"), prefix), F.lit(False)), "ReservedHeader").when(F.col("idempotency_key").isNull(), "MissingIdempotencyKey")
+
+
+def enqueue(ledger: DataFrame, messages: DataFrame, now: int, prefix: str = headers.PREFIX) -> DataFrame:
+    """The ledger with messages (seq, message_id, entity_key, partition_key, idempotency_key, headers map) added in order of seq.
+
+    Messages with reserved headers leave no row and those without identity a Failed one; `rejection` tells the caller which.
+    Every pending row of an entity that gets a later message becomes Superseded and loses its lease. Only
+    pending rows meet the new ones; the others pass by unshuffled.
+    """
+    top = ledger.agg(F.coalesce(F.max("enqueue_order"), F.lit(0))).first()[0]
+    sent = messages.withColumn("_why", rejection(prefix)).where("_why is null or _why <> 'ReservedHeader'")
+    new = numbered(sent, "seq", "message_id", start=top).withColumns(
+        {
+            "status": F.when(F.col("_why").isNull(), "Pending").otherwise("Failed"),
+            "last_error": F.when(F.col("_why").isNotNull(), "missing idempotency identity"),
+            "headers": headers.carry_entity(F.col("headers"), F.col("partition_key"), F.col("entity_key"), prefix),
+            "attempts": F.lit(0),
+            "created_s": F.lit(now).cast("long"),
+        }
+    )
+    new = new.drop("_why", "seq")
+    waiting = ledger.where("status = 'Pending'").unionByName(new, allowMissingColumns=True)
+    newest = new.where("status = 'Pending'").groupBy("entity_key").agg(F.max("enqueue_order").alias("_newest"))
+    out = waiting.join(newest, "entity_key", "left").withColumn("_old", F.coalesce((F.col("status") == "Pending") & (F.col("enqueue_order") < F.col("_newest")), F.lit(False)))
+    out = out.withColumns({"status": F.when(F.col("_old"), "Superseded").otherwise(F.col("status")), "claim_expires_s": F.when(~F.col("_old"), F.col("claim_expires_s"))})
+    return ledger.where("status <> 'Pending'").unionByName(out.drop("_old", "_newest"), allowMissingColumns=True)
+
+
+def claim_into(ledger: DataFrame, now: int, limit: int, lease: int = 30) -> DataFrame:
+    """The whole ledger after a claim: the batch is Publishing under its lease, older pending rows of its entities are Superseded."""
+    picked = claim(ledger, now, limit, lease).select("message_id", F.lit(True).alias("_mine"), F.col("claim_expires_s").alias("_until"))
+    front = claim(ledger, now, limit, lease).where("entity_key is not null").groupBy("entity_key").agg(F.max("enqueue_order").alias("_front"))
+    live = ledger.where(F.col("status").isin("Pending", "Publishing")).join(picked, "message_id", "left").join(front, "entity_key", "left")
+    mine, old = F.col("_mine").isNotNull(), (F.col("status") == "Pending") & (F.col("enqueue_order") < F.col("_front"))
+    live = live.withColumns(
+        {
+            "attempts": F.when(mine, F.col("attempts") + 1).otherwise(F.col("attempts")),
+            "claim_expires_s": F.when(mine, F.col("_until")).when(~F.coalesce(old, F.lit(False)), F.col("claim_expires_s")),
+            "status": F.when(mine, "Publishing").when(old, "Superseded").otherwise(F.col("status")),
+        }
+    )
+    return ledger.where(~F.col("status").isin("Pending", "Publishing")).unionByName(live.select(*ledger.columns))
+
+
+def acknowledge(ledger: DataFrame, acks: DataFrame, now: int, retry_after: int = 1) -> DataFrame:
+    """The whole ledger after acknowledgements (message_id, claim_expires_s as its claim, error or null).
+
+    Published without error; with one, Pending again `retry_after` seconds later. Stale or unknown claims change
+    nothing (`mark` says which they are).
+    """
+    ack = acks.select("message_id", F.col("claim_expires_s").alias("_claim"), F.col("error").alias("_error"), F.lit(True).alias("_acked"))
+    flying = ledger.where("status = 'Publishing'").join(ack, "message_id", "left")
+    hit = F.col("_acked").isNotNull() & (F.col("_claim") == F.col("claim_expires_s"))
+    bad = F.col("_error").isNotNull()
+    done = flying.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumns(
+        {
+            "status": F.when(F.col("_hit"), F.when(bad, "Pending").otherwise("Published")).otherwise(F.col("status")),
+            "next_attempt_s": F.when(F.col("_hit") & bad, F.lit(now + retry_after).cast("long")).otherwise(F.col("next_attempt_s")),
+            "last_error": F.when(F.col("_hit") & bad, F.col("_error")).otherwise(F.col("last_error") if "last_error" in ledger.columns else F.lit(None).cast("string")),
+            "claim_expires_s": F.when(~F.col("_hit"), F.col("claim_expires_s")),
+        }
+    )
+    return ledger.where("status <> 'Publishing'").unionByName(done.drop("_hit", "_claim", "_error", "_acked"), allowMissingColumns=True)
+
+
+def redrive(*_, **__) -> DataFrame:
+    """A sent record is never replayed, as it would win with stale data; republish current state instead (`resync.republish`)."""
+    raise ValueError("outbox rows can't be redriven; republish current state")

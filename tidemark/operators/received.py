@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+from .outbox import numbered
+
 OUTBOX_STATUSES = ("Pending", "Publishing", "Published", "Superseded", "Failed")
 RECEIVED_STATUSES = ("Pending", "Retryable", "Processed", "Failed")
 
@@ -115,3 +118,84 @@ def dedupe_ordered(records: DataFrame, group: str) -> DataFrame:
     from pyspark.sql.types import StringType, StructField, StructType
 
     return records.groupBy(group).applyInPandas(fold, StructType([*records.schema.fields, StructField("outcome", StringType())]))
+
+
+def dedupe_exact(records: DataFrame) -> DataFrame:
+    """Outcome of each record (message_id, idempotency_key, pos; none null) by the sequential rule, for any mix of ids and keys.
+
+    A record is inserted when no earlier inserted one has its key or its id. Each round inserts the records
+    that come first both under their key and under their id and lets go of all that share either with them;
+    rounds go on over what is left (nothing, as a rule, after the first). At the end a record is a duplicate when
+    an earlier inserted one has its key, else a conflict.
+    """
+    left, placed = records.select("pos", "message_id", "idempotency_key"), None
+    while True:
+        first = lambda c: F.min("pos").over(Window.partitionBy(c))
+        ranked = cut(left.withColumns({"_k": first("idempotency_key"), "_m": first("message_id")}), "dedupe")
+        won = ranked.where("pos = _k and pos = _m").select("pos", "message_id", "idempotency_key")
+        placed = won if placed is None else placed.unionByName(won)
+        left = ranked.drop("_k", "_m").join(won.select("idempotency_key"), "idempotency_key", "left_anti").join(won.select("message_id"), "message_id", "left_anti")
+        if left.isEmpty():
+            break
+    owner = placed.select("idempotency_key", F.col("pos").alias("_by"))
+    out = records.join(owner, "idempotency_key", "left")
+    return out.withColumn("outcome", F.when(F.col("_by") == F.col("pos"), "Inserted").when(F.col("_by") < F.col("pos"), "DuplicateIdempotencyKey").otherwise("MessageIdConflict")).select(*records.columns, "outcome")
+
+
+def skip_runs(records: DataFrame, skipped: Column, limit: int) -> DataFrame:
+    """Runs of at least `limit` skipped records in a row, in order of pos: first_pos, trip_pos (of the record that trips the breaker), n."""
+    rows = numbered(records.select("pos", skipped.alias("_skip")), "pos", name="_n")
+    bad = numbered(rows.where("_skip"), "pos", name="_i").withColumn("_run", F.col("_n") - F.col("_i"))
+    runs = bad.groupBy("_run").agg(F.min("pos").alias("first_pos"), F.min("_i").alias("_i0"), F.count("*").alias("n")).where(F.col("n") >= limit)
+    trip = bad.select(F.col("_run"), F.col("_i"), F.col("pos").alias("trip_pos"))
+    return runs.withColumn("_i", F.col("_i0") + limit - 1).join(trip, ["_run", "_i"]).select("first_pos", "trip_pos", "n")
+
+
+def panic_trips(cycles: DataFrame, limit: int) -> DataFrame:
+    """Streaks of dispatch cycles (pos, message_id or null when idle, panicked) in which at least `limit` different rows panicked: first_pos, rows.
+
+    A claimed row that doesn't panic ends a streak; an idle cycle doesn't.
+    """
+    busy = numbered(cycles.where("message_id is not null"), "pos", name="_n")
+    bad = numbered(busy.where("panicked"), "pos", name="_i")
+    return bad.groupBy((F.col("_n") - F.col("_i")).alias("_run")).agg(F.min("pos").alias("first_pos"), F.count_distinct("message_id").alias("rows")).where(F.col("rows") >= limit).drop("_run")
+
+
+def route(rows: DataFrame, types: DataFrame) -> DataFrame:
+    """Adds `failure`: MissingHandler for rows whose message_type isn't among the registered types (a table, at most one row per type)."""
+    known = types.select("message_type", F.lit(True).alias("_known")).dropDuplicates(["message_type"])
+    return rows.join(known, "message_type", "left").withColumn("failure", F.when(F.col("_known").isNull(), "MissingHandler")).select(*rows.columns, "failure")
+
+
+def settle(rows: DataFrame, now: int, max_attempts: int = 10, initial: float = 1.0, most: float = 300.0, multiplier: float = 2.0, errors_limit: int = 20, stored: str = "kind") -> DataFrame:
+    """Ledger rows after dispatch, from `failure` (null: handled or ignored) and `terminal`.
+
+    Handled rows are Processed. Failed ones count an attempt, keep the newest errors, and are Retryable at
+    now plus the backoff without jitter, or Failed when terminal or out of attempts.
+    """
+    bad = F.col("failure").isNotNull()
+    status = F.when(~bad, "Processed").otherwise(after_failure(F.col("attempts"), max_attempts, F.coalesce("terminal", F.lit(False))))
+    wait = F.ceil(backoff(F.col("attempts"), initial, most, multiplier)).cast("long")
+    errors = F.col("errors") if "errors" in rows.columns else F.lit(None).cast("array<string>")
+    out = rows.withColumn("_status", status)
+    return out.withColumns(
+        {
+            "due_s": F.when(F.col("_status") == "Retryable", F.lit(now) + wait),
+            "errors": F.when(bad, bounded(errors, F.col("failure"), errors_limit)).otherwise(errors),
+            "last_failed_s": F.when(bad, F.lit(now).cast("long")).otherwise(F.col("last_failed_s")),
+            stored: F.when(bad, F.col("failure")).otherwise(F.col(stored)),
+            "attempts": F.when(bad, F.col("attempts") + 1).otherwise(F.col("attempts")),
+            "status": F.col("_status"),
+        }
+    ).drop("_status", "failure", "terminal")
+
+
+def redrive_into(ledger: DataFrame, limit: int, clear: bool = False, **only) -> DataFrame:
+    """The whole ledger after a redrive."""
+    back = redrive(ledger, limit, clear, **only)
+    return ledger.join(back.select("message_id"), "message_id", "left_anti").select(*ledger.columns).unionByName(back.select(*ledger.columns))
+
+
+def redrive_estimate(ledger: DataFrame, limit: int, **only) -> DataFrame:
+    """How many rows a redrive of at most `limit` would move."""
+    return failed(ledger, **only).limit(max(0, limit)).agg(F.count("*").alias("n"))
