@@ -42,7 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.max("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("copies").alias("copies"), F.sum("taken").alias("taken")
     )
     took, _ = written(took, "mixed")
-    one = docs.dropDuplicates(["doc_id"])
+    one = docs.select("doc_id", "text", "lang", "source").dropDuplicates(["doc_id"])
     return one.join(took, one.doc_id.eqNullSafe(F.col("_id"))).select("doc_id", "text", "lang", "source", "size", "source_size", "target", "copies", "taken")
 
 
