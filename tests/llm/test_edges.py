@@ -64,3 +64,15 @@ def test_stages(spark, tables):
         assert out.count() <= n["documents"], name
         if k < 4:
             assert set(SCHEMAS["documents"].replace(",", "").split()[::2]) <= set(out.columns), name
+
+
+def test_components_of_nodes_with_very_many_links(spark):
+    """Two nodes that share most of their neighbours, each with more links than HOT, a chain, and a node that only later rounds reach."""
+    from tidemark.llm.components import HOT, components
+
+    n = 3 * HOT
+    star = [(7, 1000 + i) for i in range(n)] + [(6, 1000 + i) for i in range(0, n, 2)] + [(5, 1000 + n - 1)]
+    chain = [(9000 + i, 9001 + i) for i in range(20)] + [(9010, 9010), (None, 3)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(star + chain, "a long, b long")).collect()}
+    want = {x: 5 for x in (5, 6, 7, *range(1000, 1000 + n))} | {x: 9000 for x in range(9000, 9021)}
+    assert got == want
