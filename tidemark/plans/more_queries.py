@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import headers, problems, text
-from ..operators import admin, cache, outbox, received, resync, telemetry
+from ..operators import admin, cache, orders, outbox, received, resync, telemetry
 from ..sources import tables as src
 from ..sources.scratch import folder
 from .queries import NOW, query
@@ -269,3 +269,37 @@ def topic_names(s, d):
     k = F.col("n_nationkey")
     raw = F.element_at(F.array(*map(F.lit, (" Compact,", "delete, COMPACT", "delete,delete", "fast,compact", ""))), (k % 5 + 1).cast("int"))
     return src.read(s, d, "nation").select("n_nationkey", text.cleanup_policy(raw).alias("policy"), text.prefix_ok(F.when(k % 2 == 0, "dev-1.").otherwise("Dev-1")).alias("prefix_ok"))
+
+
+# Example domain
+
+
+def _changed(s, d):
+    k = F.col("o_orderkey")
+    was = F.when(F.col("o_orderstatus") == "O", "Placed").when(F.col("o_orderstatus") == "F", "Fulfilled").otherwise("Cancelled")
+    placed = src.read(s, d, "orders").select(k.alias("order_id"), was.alias("status"), (k % 5 + 1).cast("int").alias("version"))
+    asked = src.read(s, d, "orders").where(k % 4 != 0).select(F.when(k % 50 == 1, -k).otherwise(k).alias("order_id"), F.when(k % 4 == 1, "Fulfilled").otherwise("Cancelled").alias("to"))
+    return orders.change(placed, asked)
+
+
+_CHANGED = """p AS (SELECT o_orderkey AS order_id, CASE o_orderstatus WHEN 'O' THEN 'Placed' WHEN 'F' THEN 'Fulfilled' ELSE 'Cancelled' END AS status, CAST(o_orderkey % 5 + 1 AS INTEGER) AS version,
+ CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 50 = 1 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'Fulfilled' ELSE 'Cancelled' END AS "to" FROM orders),
+c AS (SELECT order_id, CASE WHEN ok THEN "to" ELSE status END AS status, CASE WHEN ok THEN version + 1 ELSE version END AS version, CASE WHEN "to" IS NULL THEN 'Unasked' WHEN ok THEN 'Changed' ELSE 'Illegal' END AS outcome
+ FROM (SELECT *, coalesce((status = 'Placed' AND "to" <> 'Placed') OR (status = 'Fulfilled' AND "to" = 'Cancelled'), false) AS ok FROM p)
+ UNION ALL SELECT -o_orderkey, NULL, NULL, 'NotFound' FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 50 = 1)"""
+
+
+@query(sql=f"WITH {_CHANGED} SELECT order_id, status, version, outcome FROM c")
+def order_change(s, d):
+    return _changed(s, d)
+
+
+@query(sql=f"""WITH {_CHANGED} SELECT order_id, version, CAST(order_id AS VARCHAR) AS entity_key, sha256('tidemark:orders' || chr(0) || '["' || order_id || '",' || version || ']') AS idempotency_key,
+ '{{"order_id":' || order_id || ',"status":"' || status || '"}}' AS payload FROM c WHERE outcome = 'Changed'""")
+def order_snapshots(s, d):
+    return orders.snapshots(_changed(s, d), "tidemark:orders")
+
+
+@query(sql="SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS placed_s FROM orders ORDER BY o_orderdate, o_orderkey")
+def order_list(s, d):
+    return orders.listing(src.read(s, d, "orders").select("o_orderkey", src.seconds("o_orderdate").alias("placed_s")), "placed_s", "o_orderkey")
