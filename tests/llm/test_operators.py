@@ -121,6 +121,18 @@ def test_guess_cost_orders_values():
     assert c("qwertyuiop") < c("qmwnebrvtc") and c("abababab") < c("aqzbxcyd") and c("") == 0
 
 
+def test_secrets_are_whole(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefXYZ0189+/") for _ in range(400))
+    texts = ["password: Tr0ub4dor9&3horse!Battery end", f"pwd: {long} end", "password: " + "a" * 7 + "&" + "a" * 300, "pwd: " + "1xy" * 80]
+    assert secrets.guess_spans(texts[0], secrets.base_spans(texts[0])) == [(10, 3, 35)]
+    assert secrets.guess_spans(texts[1], secrets.base_spans(texts[1])) == [(5, 3, 405)]
+    assert secrets.guess_spans("password: abcdefgh1x9Q.", secrets.base_spans("password: abcdefgh1x9Q.")) == []
+    clean = [r.text for r in secrets.redact(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert clean[:2] == ["[SECRET] end", "pwd: [SECRET] end"] and clean[3] == texts[3]
+    assert secrets.guess_cost("1" * 500) < 5 and secrets.guess_cost("1xy" * 80) < secrets.LEAST <= secrets.guess_cost(long, secrets.LEAST)
+
+
 def test_fingerprints(spark, corpus):
     rows = [r for r in corpus if r[0] is not None]
     got = fingerprints.with_edited(frame(spark, rows), span=40).collect()

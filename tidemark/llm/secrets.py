@@ -2,8 +2,9 @@
 
 The guess cost of a value is the smallest sum, over all ways to cut it into words, dates,
 repeats, keyboard walks and brute-force spans, of the log10 guesses of its pieces. A value
-that a credential name is assigned (`pwd: ...`, `passphrase = ...`) and that no fixed pattern
-has found is added as kind `guess` when its cost reaches LEAST.
+that a credential name is assigned (`pwd: ...`, `passphrase = ...`) and that no fixed patterns
+cover wholly is added as kind `guess` when its cost reaches LEAST. Values, and repeats and walks in them,
+have no longest length; the program takes time linear in the value and stops once LEAST is sure.
 
 Defined cases: null text is empty text and has no spans; spans count code points, end
 exclusive; repeated rows give repeated results; other columns aren't looked at.
@@ -25,8 +26,10 @@ from .textops import lean
 
 #: log10 guesses from which an assigned value counts as a secret.
 LEAST = 8.0
-#: Longest piece that the dynamic program looks at, in characters.
-PIECE = 40
+#: Longest unit of a repeat, in characters.
+UNIT = 8
+#: Characters after which the dynamic program looks whether it may stop; no word or date is longer.
+CHECK = 16
 
 # The patterns of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,13 +37,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
 # Names that put a value into a credential context.
-CONTEXT = re.compile(r"""\b(?:pwd|pass|pin|passphrase|passcode|passwort|kennwort|credentials?|auth|bearer|private_?key|client_?secret|access_?key|secret_?key|auth_?token|password|passwd|secret|token|api_?key)["']?\s{0,4}(?::|=|\bis\b)\s{0,4}["']?([^\s"'<>]{4,200})""", re.I | re.A)
+CONTEXT = re.compile(r"""\b(?:pwd|pass|pin|passphrase|passcode|passwort|kennwort|credentials?|auth|bearer|private_?key|client_?secret|access_?key|secret_?key|auth_?token|password|passwd|secret|token|api_?key)["']?\s{0,4}(?::|=|\bis\b)\s{0,4}["']?([^\s"'<>]{4,})""", re.I | re.A)
 MAYBE = r"(?i)(?:pwd|pass|pin|kennwort|credential|auth|bearer|key|secret|token|AKIA)|[0-9a-f]{32}"
 # Common words of guessed passwords, most common first.
 WORDS = """password qwerty admin welcome monkey dragon letmein login master hello secret shadow sunshine princess football
 baseball superman batman trustno access flower hunter ranger summer winter spring autumn love test user root guest
 default changeme example sample demo token service server client database public private company account""".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+#: Longest word or date.
+LONGEST = max(10, *map(len, WORDS))
 # Rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {a + b for r in ROWS for x in (r, r[::-1]) for a, b in zip(x, x[1:], strict=False)}
@@ -48,38 +53,56 @@ _LEET = str.maketrans("4301$5@7", "aeoissat")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of the value takes."""
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of the value takes; or a part's cost, once no segmentation costs less than `enough`."""
     n = len(value)
     low, best = value.lower(), [0.0] + [math.inf] * n
     plain = low.translate(_LEET)
     alphabet = sum(k for k, p in ((26, r"[a-z]"), (26, r"[A-Z]"), (10, r"\d"), (33, r"[^A-Za-z0-9]")) if re.search(p, value)) or 1
     each = math.log10(alphabet)
-    dates = {}
-    for m in (x for i in range(n) for x in [_DATE.match(low, i)] if x):
-        dates.setdefault(m.start(), set()).add(m.end())
-    for i in range(n):
-        if best[i] + each < best[i + 1]:
-            best[i + 1] = best[i] + each
-        walk = rep = True
-        for j in range(i + 1, min(n, i + PIECE) + 1):
-            k, cost = j - i, math.inf
-            if k > 1:
-                walk = walk and low[j - 2 : j] in _NEXT
-                rep = rep and low[j - 1] == low[i]
-            if k >= 3 and walk:
-                cost = min(cost, 2.0 + math.log10(k))
-            if k >= 3 and rep:
-                cost = min(cost, each + math.log10(k))
-            if j in dates.get(i, ()):
-                cost = min(cost, 4.5)
+    ends: list[int] = []
+    # Open starts of walks (unit 0) and repeats, per unit and place modulo it.
+    opened: list[list[list[int]]] = [[[0] if q == 0 else [] for q in range(max(1, u))] for u in range(UNIT + 1)]
+    for j in range(1, n + 1):
+        m = _DATE.match(low, j - 1)
+        ends.append(m.end() if m else 0)
+        here = best[j - 1] + each
+        for k in range(2, min(j, LONGEST) + 1):
+            i = j - k
             if r := RANK.get(plain[i:j]):
-                cost = min(cost, 1.0 + math.log10(r + 1) + 0.3 * (value[i:j] != low[i:j]) + 0.5 * (plain[i:j] != low[i:j]))
-            for unit in range(2, min(k // 2, 8) + 1):
-                if k % unit == 0 and value[i:j] == value[i : i + unit] * (k // unit):
-                    cost = min(cost, unit * each + math.log10(k // unit))
-            if best[i] + cost < best[j]:
-                best[j] = best[i] + cost
+                here = min(here, best[i] + 1.0 + math.log10(r + 1) + 0.3 * (value[i:j] != low[i:j]) + 0.5 * (plain[i:j] != low[i:j]))
+            if ends[i] == j:
+                here = min(here, best[i] + 4.5)
+        for u in range(UNIT + 1):
+            # The last character breaks the pieces that began so early that they compare it.
+            if u == 0:
+                broken, least, price = j >= 2 and low[j - 2 : j] not in _NEXT, 3, 2.0
+            else:
+                of = low if u == 1 else value
+                broken, least, price = j > u and of[j - 1] != of[j - 1 - u], max(3, 2 * u), u * each
+            if broken:
+                first = j - max(1, u)
+                opened[u] = [[i for i in starts if i >= first] if starts and starts[0] < first else starts for starts in opened[u]]
+            starts = opened[u][j % max(1, u)]
+            if not starts or j - starts[0] < least:
+                continue
+            keep, lowest = [], math.inf
+            for i in starts:
+                if j - i < least:
+                    keep.append(i)
+                    continue
+                c = best[i] + math.log10((j - i) / max(1, u))
+                # A later start that costs more now costs more at every later end.
+                if c < lowest:
+                    lowest = c
+                    keep.append(i)
+            opened[u][j % max(1, u)] = keep
+            here = min(here, lowest + price)
+        best[j] = here
+        for u in range(UNIT + 1):
+            opened[u][j % max(1, u)].append(j)
+        if j % CHECK == 0 and j < n and min(best[j - CHECK : j + 1]) >= enough and all(best[i] >= enough for x in opened for starts in x for i in starts):
+            return min(best[j - CHECK : j + 1])
     return best[n]
 
 
@@ -91,13 +114,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAST) -> list[tuple[int, int, int]]:
-    """Values in credential contexts that no base span touches and whose guess cost reaches least."""
+    """Values in credential contexts that base spans don't cover wholly and whose guess cost reaches least."""
     out = []
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
         while b > a and text[b - 1] in ".,;:!?)]}":
             b -= 1
-        if b - a >= 4 and not any(s < b and a < e for s, _, e in base) and re.search(r"[\d\W_]", text[a:b]) and guess_cost(text[a:b]) >= least:
+        done = a
+        for s, _, e in base:
+            done = max(done, e) if s <= done else done
+        if b - a >= 4 and done < b and re.search(r"[\d\W_]", text[a:b]) and guess_cost(text[a:b], least) >= least:
             out.append((a, 3, b))
     return out
 
