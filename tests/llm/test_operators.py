@@ -90,6 +90,20 @@ def test_pigeonhole_meets_every_linked_pair(spark):
         assert full[0] & full[1] or full[0] & gone[1] or gone[0] & full[1]
 
 
+def test_pigeonhole_meets_subsets_of_common_tokens():
+    rng = np.random.default_rng(11)
+    lost = []
+    for k in range(400):
+        n = int(rng.integers(4, 40)) if k % 2 else int(rng.integers(4, 8))
+        a = np.sort(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        b = np.sort(rng.permutation(a)[: -(-3 * n // 4)])
+        f, fo, g, go = jaccard_join.keys(np.concatenate((a, b)), np.array([0, n, n + len(b)]), 10**6, b)
+        full, gone = [set(f[fo == k].tolist()) for k in (0, 1)], [set(g[go == k].tolist()) for k in (0, 1)]
+        if not (full[0] & full[1] or full[0] & gone[1] or gone[0] & full[1]):
+            lost.append(n)
+    assert not lost
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(50, 60), (60, 70), (45, 45), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
