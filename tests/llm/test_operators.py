@@ -213,6 +213,22 @@ def test_decontamination(spark, corpus):
     assert decontamination.find(frame(spark, []), bench, ["doc_id"]).count() == 0 == decontamination.find(frame(spark, rows), bench.limit(0), ["doc_id"]).count()
 
 
+def test_decontamination_of_short_and_changed_copies(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(7))
+    lead = [word() for _ in range(12)]
+    items = [[*(lead if k % 2 else []), *(word() for _ in range(38 if k % 2 else 50))] for k in range(40)]
+    docs = [(k, " ".join(w[1:] if k % 3 else w[:-2]), "s") for k, w in enumerate(items)]
+    docs += [(100 + k, " ".join(w[:20] + w[21:]), "s") for k, w in enumerate(items)]
+    docs += [(200 + k, " ".join([*w[:44], *(word() for _ in range(6)), "end"]), "s") for k, w in enumerate(items) if k % 2 == 0]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.find(frame(spark, docs), bench, ["doc_id"]).collect()}
+    assert set(got) == {(i, i % 100) for i, *_ in docs}
+    assert all(r.n_words == min(len(items[i]), len(docs[i][1].split())) for (i, _), r in got.items() if i < 40)
+    split = {(r.doc_id, r.item_id): r for r in decontamination.find(frame(spark, docs), bench, ["doc_id"], most=15).collect()}
+    assert set(split) == set(got) and all(split[k].similarity == pytest.approx(got[k].similarity) for k in got)
+
+
 def test_multi_index_finds_all_within_radius():
     from tidemark.llm.decontamination import BLOCKS, RADIUS, index
 

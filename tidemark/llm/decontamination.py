@@ -1,11 +1,13 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index search, then weighted-shingle similarity.
 
-A window has as many words (A-Z folded) as an item. Its 64-bit SimHash over words is looked up in
-BLOCKS blocks of the items' fingerprints; as a pair within RADIUS bits agrees up to
-RADIUS // BLOCKS bits in one block at least, and the index holds each block's neighbourhood of that
-radius, every pair within RADIUS is found. A found pair counts when the weighted Jaccard
-similarity of five-word shingles is SIMILAR or more; a shingle weighs 1 + ln(items / items
-that have it).
+A window has as many words (A-Z folded) as an item, or all words of a text that has fewer. Its 64-bit SimHash
+over words is looked up in BLOCKS blocks of the items' fingerprints. The index holds each block's neighbourhood of
+RADIUS // BLOCKS bits, so a lookup finds every pair within RADIUS; pairs beyond it, up to
+REACH, come from comparing the fingerprint with those of all items of the block, at most ITEMS, at once (flipping bits in
+the lookups would take 2788 of them a window). REACH is 4 deviations over the mean that the
+SimHash angle gives for pairs at SIMILAR with equal weights (11.0 and 3.0 bits). A found pair counts when the
+weighted Jaccard similarity of five-word shingles is SIMILAR or more; a shingle weighs 1 + ln(items / items
+that have it), both counted over the whole benchmark.
 
 Windows whose shingles shared with any item weigh too little for SIMILAR are skipped before:
 that bound is exact and loses nothing that the last test would keep.
@@ -30,6 +32,14 @@ from .textops import lean
 
 K, SIMILAR, BLOCKS, RADIUS, ITEMS = 5, 0.75, 4, 11, 2_000
 _BITS = 64 // BLOCKS
+#: Bits apart up to which every pair is found.
+REACH = 23
+#: Fingerprints whose candidates a task remembers.
+REMEMBERED = 1 << 14
+
+
+def _masks(most: int) -> list[int]:
+    return [sum(1 << b for b in bits) for r in range(most + 1) for bits in combinations(range(_BITS), r)]
 
 
 def _signs(h: np.ndarray) -> np.ndarray:
@@ -53,26 +63,33 @@ def _grams(w: np.ndarray, k: int) -> np.ndarray:
     return mix64(h)
 
 
-def index(items: list[tuple]) -> dict:
-    """The lookup tables of items (id, text)."""
+def _words_and_grams(t: str | None) -> tuple[np.ndarray, set]:
     from .textops import word_hashes
 
+    d = np.frombuffer((t or "").encode(), np.uint8)
+    w = word_hashes(d, np.array([0, len(d)]))[0]
+    return w, set(_grams(w, min(K, len(w))).tolist()) if len(w) else set()
+
+
+def index(items: list[tuple], whole: tuple | None = None) -> dict:
+    """The lookup tables of items (id, text). whole: of the benchmark they are a block of, what `counted` returns."""
     parts, df = [], {}
     for i, t in items:
-        d = np.frombuffer((t or "").encode(), np.uint8)
-        w = word_hashes(d, np.array([0, len(d)]))[0]
+        w, g = _words_and_grams(t)
         if len(w):
-            g = set(_grams(w, min(K, len(w))).tolist())
             parts.append((i, w, g))
             for s in g:
                 df[s] = df.get(s, 0) + 1
-    top = 1 + np.log(max(1, len(parts)))
+    total, shared, times = whole or (len(parts), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    top = 1 + np.log(max(1, total))
+    if whole:
+        df = dict.fromkeys(df, 1)
+        df.update(zip(shared.tolist(), times.tolist(), strict=True))
     weight = {s: float(top - np.log(n)) for s, n in df.items()}
-    known = np.array(sorted(weight), np.uint64)
+    known = np.array(sorted(set().union(*(g for _, _, g in parts))), np.uint64)
     near: list[dict] = [{} for _ in range(BLOCKS)]
     prints = np.array([_pack(_signs(w).sum(0, keepdims=True))[0] for _, w, _ in parts], np.uint64)
-    reach = RADIUS // BLOCKS
-    masks = [sum(1 << b for b in bits) for r in range(reach + 1) for bits in combinations(range(_BITS), r)]
+    masks = _masks(RADIUS // BLOCKS)
     for j, p in enumerate(prints.tolist()):
         for b in range(BLOCKS):
             part = p >> (b * _BITS) & ((1 << _BITS) - 1)
@@ -84,7 +101,18 @@ def index(items: list[tuple]) -> dict:
         lengths[len(w)] = min(lengths.get(len(w), total), total)
     maybe = np.zeros(1 << 20, bool)
     maybe[(known >> np.uint64(44)).astype(np.int64)] = True
-    return {"parts": parts, "weight": weight, "top": float(top), "known": known, "weights": np.array([weight[s] for s in known.tolist()]), "near": near, "prints": prints, "lengths": sorted(lengths.items()), "maybe": maybe}
+    return {"parts": parts, "weight": weight, "top": float(top), "known": known, "weights": np.array([weight[s] for s in known.tolist()]), "near": near, "prints": prints, "lengths": sorted(lengths.items()), "maybe": maybe, "met": {}}
+
+
+def candidates(f: int, at: dict) -> list[int]:
+    """Places of the items within REACH bits of a fingerprint."""
+    got = at["met"].get(f)
+    if got is None:
+        near = {j for b in range(BLOCKS) for j in at["near"][b].get(f >> (b * _BITS) & ((1 << _BITS) - 1), ()) if (f ^ int(at["prints"][j])).bit_count() <= RADIUS}
+        got = sorted(near.union(np.flatnonzero(np.bitwise_count(at["prints"] ^ np.uint64(f)) <= REACH).tolist()))
+        if len(at["met"]) < REMEMBERED:
+            at["met"][f] = got
+    return got
 
 
 def leaks(w: np.ndarray, at: dict) -> dict:
@@ -93,8 +121,8 @@ def leaks(w: np.ndarray, at: dict) -> dict:
     grams: dict[int, tuple] = {}
     sums = None
     for n, least in at["lengths"]:
-        k = min(K, n)
-        if len(w) < n:
+        k, m = min(K, n), min(n, len(w))
+        if m < k:
             break
         if k not in grams:
             g = _grams(w, k)
@@ -107,35 +135,51 @@ def leaks(w: np.ndarray, at: dict) -> dict:
         g, c, some = grams[k]
         if not some:
             continue
-        span = n - k + 1
+        span = m - k + 1
         starts = np.flatnonzero(c[span:] - c[:-span] >= SIMILAR * least - 1e-9)
         if not len(starts):
             continue
         if sums is None:
             sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_signs(w), axis=0, dtype=np.int32)))
-        fp = _pack(sums[starts + n] - sums[starts])
+        fp = _pack(sums[starts + m] - sums[starts])
         for s, f in zip(starts.tolist(), fp.tolist(), strict=True):
-            found = {j for b in range(BLOCKS) for j in at["near"][b].get(f >> (b * _BITS) & ((1 << _BITS) - 1), ())}
             own = None
-            for j in found:
+            for j in candidates(f, at):
                 _, iw, ig = at["parts"][j]
-                if len(iw) != n or (apart := (f ^ int(at["prints"][j])).bit_count()) > RADIUS:
+                if len(iw) != n:
                     continue
+                apart = (f ^ int(at["prints"][j])).bit_count()
                 if own is None:
                     own = set(g[s : s + span].tolist())
                 both = sum(at["weight"][x] for x in own & ig)
                 either = sum(at["weight"].get(x, at["top"]) for x in own | ig)
                 if both >= SIMILAR * either - 1e-12:
-                    best[j] = max(best.get(j, (-1.0, 0, 0, 0)), (both / either, -s, n, apart))
+                    best[j] = max(best.get(j, (-1.0, 0, 0, 0)), (both / either, -s, m, apart))
     return best
 
 
+def counted(benchmark: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Items with words of the whole benchmark, and its shingles that two items or more have with the items of each (any other weighs as one item's)."""
+
+    def grams(batches):
+        for batch in batches:
+            got = [np.array(sorted(g), np.uint64) for _, g in map(_words_and_grams, batch.column("text").to_pylist()) if g]
+            yield pa.RecordBatch.from_arrays([pa.array([len(got)], pa.int64()), pa.array([np.concatenate([np.zeros(0, np.uint64), *got]).view(np.int64)], pa.list_(pa.int64()))], names=["items", "grams"])
+
+    found = benchmark.select("text").mapInArrow(lean(grams), "items long, grams array<long>")
+    total = found.agg(F.sum("items")).first()[0] or 0
+    times = found.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").toPandas()
+    return total, times["gram"].to_numpy(np.int64).view(np.uint64), times["n"].to_numpy(np.int64)
+
+
 def _blocks(benchmark: DataFrame, most: int):
+    """(items, what `counted` returns of the whole benchmark, or None if one block holds it)."""
     n = benchmark.count()
     k = -(-n // most)
+    whole = counted(benchmark) if k > 1 else None
     for b in range(k):
         part = benchmark.select("item_id", "text") if k == 1 else benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == b)
-        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), whole
 
 
 def _per_text(batch_column, at: dict):
@@ -152,10 +196,10 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], most: int = ITE
     fields = T._parse_datatype_string("similarity double, start_word long, n_words long, hamming int").fields
     schema = T.StructType([docs.schema[c] for c in keep] + [benchmark.schema["item_id"], *fields])
     out = None
-    for items in _blocks(benchmark, most):
+    for items, whole in _blocks(benchmark, most):
 
-        def apply(batches, items=items):
-            at = index(items)
+        def apply(batches, items=items, whole=whole):
+            at = index(items, whole)
             for batch in batches:
                 rows, got = [], []
                 for i, found in _per_text(batch.column(len(keep)), at):
@@ -177,10 +221,10 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], most: int = ITE
 def clean(docs: DataFrame, benchmark: DataFrame, most: int = ITEMS) -> DataFrame:
     """The rows of docs in which no item is found, with all columns."""
     place = docs.columns.index("text")
-    for items in _blocks(benchmark, most):
+    for items, whole in _blocks(benchmark, most):
 
-        def apply(batches, items=items):
-            at = index(items)
+        def apply(batches, items=items, whole=whole):
+            at = index(items, whole)
             for batch in batches:
                 yield batch.filter(pa.array([not found for _, found in _per_text(batch.column(place), at)], pa.bool_()))
 
