@@ -70,6 +70,52 @@ def test_jaccard_join_is_brute_force(spark, corpus, monkeypatch, frequent):
     assert sorted(map(tuple, got), key=repr) == brute_components(corpus)
 
 
+@pytest.fixture(scope="module")
+def near_copies():
+    """A passage with words changed at random, so that many copies share keys but only some pairs link; and pairs at the threshold."""
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(4000)]
+    base, rows = [rng.choice(vocab) for _ in range(120)], []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 3, 4])):
+            w[rng.randrange(120)] = rng.choice(vocab)
+        rows.append((i, " ".join(w), "s"))
+    return rows
+
+
+@pytest.mark.parametrize("tile", [1024, 20])
+def test_jaccard_join_of_a_large_group_of_near_copies(spark, near_copies, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    got = jaccard_join.link(frame(spark, near_copies).repartition(3)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(near_copies)
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(2)
+    for trial in range(60):
+        base = [rng.integers(0, 2**63, int(rng.integers(1, 80))).astype(np.uint64) * np.uint64(2) for _ in range(3)]
+        sets = [np.zeros(0, np.uint64)]
+        for _ in range(int(rng.integers(1, 50))):
+            b = base[int(rng.integers(3))].copy()
+            b[rng.integers(0, len(b), len(b) // 4)] = rng.integers(0, 2**63, len(b) // 4).astype(np.uint64)
+            sets.append(np.unique(b))
+        m = len(sets)
+        label, side = rng.integers(0, m, m), (rng.integers(0, 2, m) if trial % 2 else None)
+        pairs = [(a, b) for a in range(m) for b in range(a) if (side is None or side[a] != side[b]) and len(sets[a]) * len(sets[b]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
+
+        def joined(edges, label=label):
+            of = {int(x): int(x) for x in label}
+            for a, b in edges:
+                x, y = of[int(label[a])], of[int(label[b])]
+                of = {k: min(x, y) if v in (x, y) else v for k, v in of.items()}
+            return of
+
+        got = jaccard_join.forest(sets, label, side)
+        assert joined(got) == joined(pairs) and len(got) < len({*label.tolist()})
+        assert {(max(e), min(e)) for e in got} <= set(pairs)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.link(frame(spark, [])).count() == 0
 
