@@ -1,6 +1,7 @@
 """The corpus operators on small tables: brute force, and the defined cases (nulls, empty, very long, repeated, empty tables, clashing names)."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -181,6 +182,57 @@ def test_guess_cost_orders_values():
     assert c("qwertyuiop") < c("qmwnebrvtc") and c("abababab") < c("aqzbxcyd") and c("") == 0
 
 
+def exhaustive_cost(value, ranks):
+    """The least sum over all segmentations, each piece priced on its own."""
+    low = value.lower()
+    plain = low.translate(str.maketrans("4301$5@7", "aeoissat"))
+    kinds = [any(c.isascii() and c.islower() for c in value), any(c.isascii() and c.isupper() for c in value), any(c.isdigit() for c in value), any(not (c.isascii() and c.isalnum()) for c in value)]
+    each = math.log10(sum(k for k, has in zip((26, 26, 10, 33), kinds, strict=True) if has) or 1)
+
+    def piece(i, j):
+        v, n = low[i:j], j - i
+        out = [each] if n == 1 else []
+        if plain[i:j] in ranks:
+            out.append(math.log10(ranks[plain[i:j]] + 1) + 0.3 * (value[i:j] != v) + 0.5 * (plain[i:j] != v))
+        if (m := secrets._DATE.match(low, i)) and m.end() == j:
+            out.append(4.5)
+        if n >= 3 and all(v[k : k + 2] in {r[x : x + 2] for row in secrets.ROWS for r in (row, row[::-1]) for x in range(len(row) - 1)} for k in range(n - 1)):
+            out.append(2.0 + math.log10(n))
+        for u in range(1, 9):
+            if n % u == 0 and n >= max(3, 2 * u) and (v == v[:u] * (n // u) if u == 1 else value[i:j] == value[i : i + u] * (n // u)):
+                out.append(u * each + math.log10(n / u))
+        return min(out, default=math.inf)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + piece(i, j) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    from tidemark.llm.textops import hashes_of
+
+    rng = random.Random(3)
+    own = ["well", "known", "snow", "covered", "blå", "ok"]
+    h = np.concatenate([hashes_of(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])) for w in own])
+    order = np.argsort(h)
+    words = {"hash": h[order], "rank": order + 1}
+    ranks = dict(secrets.RANK)
+    for k, w in enumerate(own):
+        ranks[w] = min(k + 1, ranks.get(w, 10**9))
+    parts = [*own, "password", "Dragon", "pa55word", "1999-12-31", "20240101", "qwert", "4321", "aaaa", "abab", "xyzxyz", "-", "Q", "7", "é", "%"]
+    for _ in range(400):
+        v = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        assert secrets.guess_cost(v, words=words) == pytest.approx(exhaustive_cost(v, ranks))
+
+
+def test_guess_spans_know_the_words_of_the_corpus(spark):
+    texts = ["The pin is well-known, and the pass is snow-covered"] + [f"well known snow covered roads {k}" for k in range(30)] + ["passphrase: qzjxkvbwpfmhgtyrndlc here"]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.spans for r in secrets.digest(docs, secrets.dictionary(docs)).collect()}
+    assert got[0] == "" and got[31] == "guess:12:32"
+
+
 def test_secrets_are_whole(spark):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefXYZ0189+/") for _ in range(400))
@@ -275,6 +327,12 @@ def test_decontamination_of_short_and_changed_copies(spark):
     assert set(split) == set(got) and all(split[k].similarity == pytest.approx(got[k].similarity) for k in got)
 
 
+def test_decontamination_takes_ids_of_any_type(spark):
+    bench = spark.createDataFrame([("b", "one two three four five six seven"), ("a", "eight nine ten eleven twelve"), (None, "one two three four five six seven"), (None, None)], "item_id string, text string")
+    got = decontamination.find(frame(spark, [(1, "x one two three four five six seven y", "s"), (2, "eight nine ten eleven twelve", "s")]), bench, ["doc_id"]).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, "b"), (1, None), (2, "a")}
+
+
 def test_multi_index_finds_all_within_radius():
     from tidemark.llm.decontamination import BLOCKS, RADIUS, index
 
@@ -301,6 +359,13 @@ def test_url_filters(spark):
     assert url_filters.judge(pages.limit(0), spark.createDataFrame(rules, url_filters.RULE_SCHEMA), ["page_id"]).count() == 0
 
 
+def test_url_filters_with_very_many_path_lengths(spark):
+    rules = [("allow", "a.net", "/" + "x" * n) for n in range(0, 10_050)] + [("block", "a.net", "/" + "x" * 10_100)]
+    pages = spark.createDataFrame([(1, "http://a.net/" + "x" * 10_200), (2, "http://a.net/" + "x" * 50)], "page_id long, url string")
+    got = {r.page_id: (r.verdict, len(r.rule)) for r in url_filters.judge(pages, spark.createDataFrame(rules, url_filters.RULE_SCHEMA), ["page_id"]).collect()}
+    assert got == {1: ("block", 10_106), 2: ("allow", 56)}
+
+
 def brute_targets(sizes):
     names = sorted((k for k in sizes if k is not None), key=str) + ([None] if None in sizes else [])
     w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
@@ -329,6 +394,26 @@ def test_mixing(spark, corpus):
     assert len(a) == len(corpus) and mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixing_of_rows_that_are_alike(spark):
+    rows = [(None, "one two three", "s")] * 300 + [(1, "four five", "s")] * 100 + [(2, "six", "t")]
+    got = mixing.mix(frame(spark, rows), block=32).collect()
+    assert sorted((r.doc_id is None, r.size) for r in got) == sorted((i is None, len(t.split())) for i, t, _ in rows)
+    assert abs(sum(r.taken for r in got if r.source == "s") - got[0].target) < 0.02 * got[0].target
+
+
+def test_mixed_stage_returns_every_row_taken(spark):
+    import corpus_pipeline
+
+    rows = [(1, "one two three four", "s"), (1, "five six seven eight", "s"), (None, "nine ten", "s"), (None, "nine ten", "s"), (None, "eleven twelve", "t"), *((k, f"w{k} " * 4, "t") for k in range(10, 40))]
+    docs = frame(spark, rows)
+    took = mixing.mix(docs, mark=F.xxhash64("text")).where("copies > 0").collect()
+    out = corpus_pipeline.mixed(spark, docs, "").collect()
+    assert len(out) == len(took) and sum(r.taken for r in out) == sum(r.taken for r in took)
+    assert all(r.taken == r.copies * r.size == r.copies * len(r.text.split()) for r in out)
+    assert {(r.doc_id, r.text, r.source) for r in out} <= set(rows)
+    assert {r.text for r in out if r.doc_id == 1} == {"one two three four", "five six seven eight"}
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(0)
     size, p = rng.integers(1, 500, 300), np.full(300, 0.37)
@@ -343,11 +428,11 @@ def test_language_id(spark):
     for i in range(240):
         lang = sorted(parts)[i % 3]
         rows.append((i, " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(30)), lang))
-    docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "123 !!", None), (902, "", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "123 !!", None), (902, "", None), (903, "\u00bd \u00b2 \u2460", None)], "doc_id long, text string, lang string")
     model = language_id.learn(docs.where("doc_id < 150"))
     got = {r.doc_id: r for r in language_id.predict(docs, model, ["doc_id"]).collect()}
     assert np.mean([got[i].lang_pred == lang for i, _, lang in rows[150:]]) > 0.98
-    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902, 903))
     assert {r.lang_pred for r in language_id.predict(docs, language_id.learn(docs.limit(0)), ["doc_id"]).collect()} == {"und"}
 
 

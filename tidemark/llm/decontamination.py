@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .textops import lean
 
@@ -179,7 +180,7 @@ def _blocks(benchmark: DataFrame, most: int):
     whole = counted(benchmark) if k > 1 else None
     for b in range(k):
         part = benchmark.select("item_id", "text") if k == 1 else benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == b)
-        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), whole
+        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1] or "")), whole
 
 
 def _per_text(batch_column, at: dict):
@@ -193,6 +194,7 @@ def _per_text(batch_column, at: dict):
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], most: int = ITEMS) -> DataFrame:
     """A row for each row of docs and item found in it: `keep`, item_id, similarity, start_word, n_words, hamming (best window)."""
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     fields = T._parse_datatype_string("similarity double, start_word long, n_words long, hamming int").fields
     schema = T.StructType([docs.schema[c] for c in keep] + [benchmark.schema["item_id"], *fields])
     out = None
@@ -209,7 +211,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], most: int = ITE
                 cols = list(zip(*got, strict=True)) or [[]] * 5
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(take) for c in range(len(keep))), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array([-x for x in cols[2]], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())],
+                    [*(batch.column(c).take(take) for c in range(len(keep))), pa.array(cols[0], item_type), pa.array(cols[1], pa.float64()), pa.array([-x for x in cols[2]], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())],
                     names=[f.name for f in schema.fields],
                 )
 

@@ -13,10 +13,9 @@ aren't looked at.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +28,8 @@ CENTROIDS = 4
 #: Cosine below which a document is marked as rejected.
 REJECT = 0.15
 
-_LETTER = re.compile(r"[^\W\d_]")
+# Letters are Unicode category L: number characters such as a superscript 2 are none.
+_LETTER = re.compile(r"\p{L}")
 
 
 def _counts(col):

@@ -9,7 +9,8 @@ other blocks on the next level, until a source has one block: the landing proble
 
 Defined cases: null text has size 0; a document of size 0 is never taken; null sources form
 one source that sorts last; an empty table gives an empty one; a table without any word has
-all targets 0; repeated rows are units of their own; results depend on the rows and the seed
+all targets 0; repeated rows are units of their own, counted first and dealt to blocks one by
+one, so that rows that are alike can't fill a block; results depend on the rows and the seed
 alone, so reruns agree. Other columns of the table aren't looked at.
 """
 
@@ -88,23 +89,27 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, last: bool
     return p
 
 
-def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (copies x size) of each row of docs (doc_id, text, source)."""
+def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 1, block: int = BLOCK, mark: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (copies x size) of each row of docs (doc_id, text, source); with mark, an expression that tells rows apart, that as `mark` too."""
     from .textops import written
 
-    sized, _ = written(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "mix-sizes")
+    own = ["mark"] if mark is not None else []
+    like = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *([mark.alias("mark")] if own else []))
+    # Rows that are alike are counted, then numbered: no group of them meets in one task.
+    like = like.groupBy("doc_id", "source", "size", *own).agg(F.count("*").alias("_n"))
+    sized, _ = written(like.withColumn("unit", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n"), "mix-sizes")
     per = targets(sized, weights, share, most)
     wish = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = sized.join(per.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     units = units.withColumn("wish", wish).withColumn("whole", F.floor("wish").cast("long")).withColumn("open", F.col("wish") - F.col("whole"))
     blocks = F.greatest(F.ceil(F.col("n_docs") / block), F.lit(1))
-    units = units.withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), blocks)).drop("wish", "n_docs")
+    units = units.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "unit", *own), blocks)).drop("wish", "n_docs")
     largest = per.agg(F.max("n_docs")).first()[0] or 0
     schema = units.schema
 
     def settle(last: bool, level: int):
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["doc_id", "size"], kind="stable", na_position="last", ignore_index=True)
+            pdf = pdf.sort_values(["doc_id", "size", *own, "unit"], kind="stable", na_position="last", ignore_index=True)
             key = int(pdf["block"].iloc[0]) if len(pdf) else 0
             rng = np.random.default_rng([seed, level, key, int(pdf["size"].sum()) & 0xFFFFFFFF])
             pdf["open"] = flight(pdf["size"].to_numpy(), pdf["open"].to_numpy(), rng, last)
@@ -125,4 +130,4 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: f
         fan = max(2, block // (2 * LANDING + 4))
         units, count, level = moved.where("open > 0 and open < 1").withColumn("block", F.floor(F.col("block") / fan)), -(-count // fan), level + 1
     copies = (F.col("whole") + F.round("open").cast("long")).alias("copies")
-    return done.select("doc_id", "source", "size", "source_size", "target", copies, ((F.col("whole") + F.round("open").cast("long")) * F.col("size")).alias("taken"))
+    return done.select("doc_id", "source", "size", "source_size", "target", copies, ((F.col("whole") + F.round("open").cast("long")) * F.col("size")).alias("taken"), *own)

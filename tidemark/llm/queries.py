@@ -24,7 +24,8 @@ def op1_html_extraction(spark, sf_dir):
 
 
 def op2_secrets(spark, sf_dir):
-    return secrets.digest(_read(spark, sf_dir, "documents"))
+    docs = _read(spark, sf_dir, "documents")
+    return secrets.digest(docs, secrets.dictionary(docs))
 
 
 def op3_jaccard_join(spark, sf_dir):

@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a guess-cost dynamic program on values in credential contexts.
 
 The guess cost of a value is the smallest sum, over all ways to cut it into words, dates,
-repeats, keyboard walks and brute-force spans, of the log10 guesses of its pieces. A value
+repeats, keyboard walks and brute-force spans, of the log10 guesses of its pieces. Words are common passwords and
+the corpus' own words of letters, ranked by the number of documents that have them (`dictionary`). A value
 that a credential name is assigned (`pwd: ...`, `passphrase = ...`) and that no fixed patterns
 cover wholly is added as kind `guess` when its cost reaches LEAST. Values, and repeats and walks in them,
 have no longest length; the program takes time linear in the value and stops once LEAST is sure.
@@ -16,6 +17,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -25,11 +27,15 @@ from pyspark.sql import types as T
 from .textops import lean
 
 #: log10 guesses from which an assigned value counts as a secret.
-LEAST = 8.0
+LEAST = 10.0
+#: Words of the dictionary, documents that a word must be in, and its longest word in characters.
+DICTIONARY, FOUND, LONGEST = 200_000, 8, 24
 #: Longest unit of a repeat, in characters.
 UNIT = 8
 #: Characters after which the dynamic program looks whether it may stop; no word or date is longer.
-CHECK = 16
+CHECK = LONGEST
+#: Characters whose parts are looked up in the dictionary at once.
+STRETCH = 1024
 
 # The patterns of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,8 +50,6 @@ WORDS = """password qwerty admin welcome monkey dragon letmein login master hell
 baseball superman batman trustno access flower hunter ranger summer winter spring autumn love test user root guest
 default changeme example sample demo token service server client database public private company account""".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-#: Longest word or date.
-LONGEST = max(10, *map(len, WORDS))
 # Rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {a + b for r in ROWS for x in (r, r[::-1]) for a, b in zip(x, x[1:], strict=False)}
@@ -53,24 +57,73 @@ _LEET = str.maketrans("4301$5@7", "aeoissat")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
+def dictionary(docs: DataFrame, most: int = DICTIONARY, found: int = FOUND) -> dict:
+    """The words of letters that most documents have: sorted hashes and their ranks from 1. Words in all of docs (text) are counted."""
+    from .textops import distinct_by_row, slices, word_hashes, word_spans
+
+    letter = np.zeros(256, bool)
+    letter[65:91] = letter[97:123] = letter[128:] = True
+
+    def count(batches):
+        for batch in batches:
+            parts = []
+            for _, data, off in slices(batch.column("text")):
+                if not len(data):
+                    continue
+                h, first = word_hashes(data, off)
+                s, e, _ = word_spans(data, off)
+                odd = np.concatenate(([0], np.cumsum(~letter[data])))
+                ok = (odd[e] == odd[s]) & (e - s >= 2) & (e - s <= LONGEST)
+                parts.append(distinct_by_row(h[ok], np.concatenate(([0], np.cumsum(ok)))[first])[0])
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    every = docs.select("text").mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = every.where(F.col("n") >= found).orderBy(F.desc("n"), "word").limit(most).toPandas()
+    h = top["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return {"hash": h[order], "rank": order + 1}
+
+
+def _ranks(plain: str, words: dict | None) -> dict:
+    """(start, end): rank of the parts of a value that are words of the dictionary."""
+    if not words or not len(words["hash"]) or not plain:
+        return {}
+    from .textops import hashes_of
+
+    at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in plain])))
+    n = len(plain)
+    a, k = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(2, LONGEST + 1), indexing="ij"))
+    a, b = a[a + k <= n], (a + k)[a + k <= n]
+    h = hashes_of(np.frombuffer(plain.encode(), np.uint8), at[a], at[b])
+    i = np.minimum(np.searchsorted(words["hash"], h), len(words["hash"]) - 1)
+    hit = np.flatnonzero(words["hash"][i] == h)
+    return {(x, y): r for x, y, r in zip(a[hit].tolist(), b[hit].tolist(), words["rank"][i[hit]].tolist(), strict=True)}
+
+
+def guess_cost(value: str, enough: float = math.inf, words: dict | None = None) -> float:
     """log10 of the guesses that the cheapest segmentation of the value takes; or a part's cost, once no segmentation costs less than `enough`."""
     n = len(value)
     low, best = value.lower(), [0.0] + [math.inf] * n
+    low = low if len(low) == n else value
     plain = low.translate(_LEET)
+    known: dict = {}
     alphabet = sum(k for k, p in ((26, r"[a-z]"), (26, r"[A-Z]"), (10, r"\d"), (33, r"[^A-Za-z0-9]")) if re.search(p, value)) or 1
     each = math.log10(alphabet)
     ends: list[int] = []
     # Open starts of walks (unit 0) and repeats, per unit and place modulo it.
     opened: list[list[list[int]]] = [[[0] if q == 0 else [] for q in range(max(1, u))] for u in range(UNIT + 1)]
     for j in range(1, n + 1):
+        if j % STRETCH == 1:
+            a = max(0, j - 1 - LONGEST)
+            known = {(a + x, a + y): r for (x, y), r in _ranks(plain[a : j - 1 + STRETCH], words).items()}
         m = _DATE.match(low, j - 1)
         ends.append(m.end() if m else 0)
         here = best[j - 1] + each
         for k in range(2, min(j, LONGEST) + 1):
             i = j - k
-            if r := RANK.get(plain[i:j]):
-                here = min(here, best[i] + 1.0 + math.log10(r + 1) + 0.3 * (value[i:j] != low[i:j]) + 0.5 * (plain[i:j] != low[i:j]))
+            if (r := min(RANK.get(plain[i:j], math.inf), known.get((i, j), math.inf))) < math.inf:
+                here = min(here, best[i] + math.log10(r + 1) + 0.3 * (value[i:j] != low[i:j]) + 0.5 * (plain[i:j] != low[i:j]))
             if ends[i] == j:
                 here = min(here, best[i] + 4.5)
         for u in range(UNIT + 1):
@@ -113,7 +166,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
-def guess_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAST) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAST, words: dict | None = None) -> list[tuple[int, int, int]]:
     """Values in credential contexts that base spans don't cover wholly and whose guess cost reaches least."""
     out = []
     for m in CONTEXT.finditer(text):
@@ -123,7 +176,7 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], least: float = LEAS
         done = a
         for s, _, e in base:
             done = max(done, e) if s <= done else done
-        if b - a >= 4 and done < b and re.search(r"[\d\W_]", text[a:b]) and guess_cost(text[a:b], least) >= least:
+        if b - a >= 4 and done < b and guess_cost(text[a:b], least, words) >= least:
             out.append((a, 3, b))
     return out
 
@@ -132,7 +185,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scan(docs: DataFrame, keep: list[str], least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], words: dict | None = None, least: float = LEAST) -> DataFrame:
     """The columns `keep` of each row, then base and guess: arrays of (start, kind, end), kind's place in KINDS."""
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("base", span), T.StructField("guess", span)])
@@ -146,25 +199,25 @@ def scan(docs: DataFrame, keep: list[str], least: float = LEAST) -> DataFrame:
             for i in pc.indices_nonzero(maybe).to_pylist():
                 t = text[i].as_py()
                 base[i] = base_spans(t)
-                more[i] = guess_spans(t, base[i], least)
+                more[i] = guess_spans(t, base[i], least, words)
             as_rows = lambda x: pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in y] for y in x], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], as_rows(base), as_rows(more)], names=[f.name for f in schema.fields])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(lean(apply), schema)
 
 
-def digest(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def digest(docs: DataFrame, words: dict | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row of docs (doc_id, text)."""
     name = F.lit(list(KINDS))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"], s["end"])), ",")
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     every = F.array_sort(F.concat("base", "guess"))
-    return scan(docs, ["doc_id"], least).select(
+    return scan(docs, ["doc_id"], words, least).select(
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(every).alias("spans")
     )
 
 
-def redact(docs: DataFrame, least: float = LEAST, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, words: dict | None = None, least: float = LEAST, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of text replaced by the mark; the other columns stay as they are."""
     names = docs.columns
     at = names.index("text")
@@ -178,7 +231,7 @@ def redact(docs: DataFrame, least: float = LEAST, mark: str = "[SECRET]") -> Dat
                 for i in maybe:
                     t, out, done = new[i], [], 0
                     base = base_spans(t)
-                    for a, _, b in sorted(base + guess_spans(t, base, least)):
+                    for a, _, b in sorted(base + guess_spans(t, base, least, words)):
                         if a >= done:
                             out += [t[done:a], mark]
                         done = max(done, b)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -90,12 +91,17 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(data) == 0:
         return np.zeros(0, U64), np.zeros(len(off), np.int64)
     starts, ends, first = word_spans(data, off)
+    return hashes_of(data, starts, ends), first
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of bytes with A-Z folded."""
     p, inv = _powers(len(data) + 1)
     c = np.empty(len(data) + 1, U64)
     c[0] = 0
     np.cumsum((_LOWER[data].astype(U64) + U64(1)) * p[: len(data)], out=c[1:])
     h = (c[ends] - c[starts]) * inv[starts]
-    return mix64(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)), first
+    return mix64(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -142,12 +148,14 @@ def lean(apply):
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder that the session names; where none is set (as in tests) a folder of its own is set."""
+    """The shared folder that the session names; where none is set, a folder of its own in local mode (as in tests), and an error on a cluster."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = found.get() if found.isDefined() else None
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         d = tempfile.mkdtemp(prefix="spark-checkpoint-")

@@ -7,9 +7,9 @@ words that begin like a lexicon entry but are usual in clean documents) cancel t
 inside them. The summed weight, alone and normalised by length, goes through a logistic
 function fitted on the same labelled rows.
 
-Learning takes a bounded sample: SAMPLE labelled rows at most, about; scoring takes every
+Learning takes a bounded sample: SAMPLE labelled rows at most, about, which bounds what the lexicon can hold; scoring takes every
 document's whole text. Defined cases: null and empty text have no evidence and get the base
-score; without labels of both classes every score is 0; a document labelled twice counts twice;
+score; without labels of both classes every score is 0; exact copies with the same label count once;
 repeated rows give repeated results; other columns aren't looked at.
 """
 
@@ -28,8 +28,6 @@ from .textops import lean
 
 #: Labelled rows to learn from, at most about.
 SAMPLE = 20_000
-#: Entries of the learned lexicon, at most.
-LEXICON = 4_000
 #: Toxic documents an entry must be found in, and the least log odds of an entry.
 SUPPORT, ODDS = 4, 2.0
 PREFIXES = (4, 5, 6, 7)
@@ -134,7 +132,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
             yield pa.RecordBatch.from_arrays([pa.array([shown]), pa.array([toxic.count(0)], pa.int64()), pa.array([toxic.count(1)], pa.int64())], names=["f", "clean", "toxic"])
 
     counts = rows.mapInArrow(lean(count), "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = counts.where((F.col("toxic") >= SUPPORT) | (F.col("f") == shown)).where((F.col("clean") <= 4 * F.col("toxic")) | (F.col("f") == shown)).orderBy(F.col("f") != shown, F.desc("toxic"), "clean", "f").limit(20 * LEXICON).collect()
+    kept = counts.where((F.col("toxic") >= SUPPORT) | (F.col("f") == shown)).where((F.col("clean") <= 4 * F.col("toxic")) | (F.col("f") == shown)).collect()
     total = next((r for r in kept if r.f == shown), None)
     if total is None or not total.clean or not total.toxic:
         return {"lexicon": {}, "exceptions": (), "beta": None}
@@ -144,7 +142,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions=E
         # A longer entry is kept only if it says more than its beginning does.
         if not any(lexicon.get(f[:k], -1.0) >= odds[f] - 0.5 for k in range(3, len(f))):
             lexicon[f] = odds[f]
-    lexicon = dict(sorted(lexicon.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
     spared = [f.strip() for f, w in odds.items() if f.endswith(" ") and w < 0.5 and any(f[:k] in lexicon for k in range(4, len(f)))]
     model = {"lexicon": lexicon, "exceptions": tuple(exceptions) + tuple(sorted(spared)), "beta": None}
 

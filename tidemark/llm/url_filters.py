@@ -40,7 +40,8 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str], url: str = "url",
     ready = rules.where("host is not null and path is not null and action is not null").select(
         "action", F.concat("host", "path").alias("rule"), F.length("path").alias("n"), _digest(F.col("host"), F.col("path")).alias("rule_digest")
     )
-    size, lengths = ready.count(), [r.n for r in ready.select("n").distinct().orderBy("n").limit(10_000).collect()]
+    # Lengths of rule paths, not rules: as many at most as the longest path has characters.
+    size, lengths = ready.count(), [r.n for r in ready.select("n").distinct().orderBy("n").collect()]
     host, path = host_and_path(F.col(url))
     rows = pages.select(
         F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("_keep"), host.alias("_host"), path.alias("_path")
