@@ -32,18 +32,22 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text is replaced by a mark; n_chars follows the new text; all documents stay."""
-    out = secrets.redact(docs)
+    out = secrets.redact(docs, secrets.dictionary(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, one row a doc_id, with size, source_size, target, copies and taken."""
-    took = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("copies").alias("copies"), F.sum("taken").alias("taken")
-    )
-    took, _ = written(took, "mixed")
-    one = docs.select("doc_id", "text", "lang", "source").dropDuplicates(["doc_id"])
-    return one.join(took, one.doc_id.eqNullSafe(F.col("_id"))).select("doc_id", "text", "lang", "source", "size", "source_size", "target", "copies", "taken")
+    """The documents that the mix takes, one row for each row taken, with size, source_size, target, copies and taken; rows without doc_id and repeated ids are rows of their own."""
+    docs = docs.select("doc_id", "text", "lang", "source")
+    mark = F.concat_ws(":", *(f("text", F.lit(1), "lang", F.lit(2), "source") for f in (F.xxhash64, F.hash)))
+    taken = mixing.mix(docs, mark=mark).where("copies > 0")
+    taken = taken.groupBy("doc_id", "mark", "size", "source_size", "target", "copies", "taken").agg(F.count("*").alias("_rows"))
+    taken, _ = written(taken.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}), "mixed")
+    # Rows that are alike in all columns share one text; each comes out as often as it was taken.
+    one = docs.withColumn("mark", mark).dropDuplicates(["doc_id", "mark"])
+    met = one.join(taken, one.doc_id.eqNullSafe(F.col("_id")) & (one.mark == F.col("_mark")))
+    met = met.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
+    return met.select("doc_id", "text", "lang", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [
