@@ -436,20 +436,62 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(docs, language_id.learn(docs.limit(0)), ["doc_id"]).collect()} == {"und"}
 
 
+def lm_forward(p, ctx, y):
+    """Log probability of one unit given its window, plainly."""
+    x = np.concatenate([p["e"][c] for c in ctx]).astype(float)
+    hid = np.tanh(x @ p["h"] + p["hb"])
+    c, w = divmod(int(y), lm_scoring.CLASSES)
+    top, low = hid @ p["c"] + p["cb"], hid @ p["w"][c] + p["wb"][c]
+    return top[c] - np.log(np.exp(top).sum()) + low[w] - np.log(np.exp(low).sum())
+
+
 def test_lm_scoring(spark):
     rng, rows = random.Random(6), []
     for i in range(200):
         rows.append((i, " ".join(f"w{j % 9}" for j in range(rng.randint(0, 5), rng.randint(40, 90))), "s"))
+    rows += [(300 + i, f"w1 w2 w3 rare{i} w5 w6 rare{i}", "s") for i in range(3)] + [(400, "w1 w2 w3 rare1 w5 w6 rare1", "s")]
     shuffled = [(1000 + i, " ".join(rng.sample(t.split(), len(t.split()))), "s") for i, t, _ in rows[:40]]
     docs = frame(spark, rows)
     vocab = lm_scoring.vocabulary(docs)
-    params = lm_scoring.train(docs, vocab, rounds=4, every=1)
+    params = lm_scoring.train(docs, vocab)
     got = {r.doc_id: r for r in lm_scoring.score(frame(spark, rows + shuffled + [(2000, None, "s"), (2001, "", "s")]), vocab, params, ["doc_id"]).collect()}
     assert np.mean([got[i].mean_log_prob for i in range(40)]) > np.mean([got[1000 + i].mean_log_prob for i in range(40)]) + 0.2
     assert got[2000].n_words == 0 and got[2000].log_prob == 0 and got[2001].mean_log_prob is None
-    u, first = lm_scoring.units(np.frombuffer(rows[0][1].encode(), np.uint8), np.array([0, len(rows[0][1])]), vocab)
-    total = sum(lm_scoring.log_probs(params, lm_scoring.windows(u, first, np.array([k])), u[k : k + 1])[0] for k in range(len(u)))
-    assert got[0].log_prob == pytest.approx(total - vocab["spread"][u].sum(), rel=1e-3)
+    # Every document's sum, word by word, with the network written out plainly; words here are all frequent enough for units of their own.
+    for i, t, _ in [*rows[:5], rows[-1]]:
+        u, first, within = lm_scoring.units(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), vocab)
+        padded = [lm_scoring.UNITS] * 2 + u.tolist() + [lm_scoring.UNITS] * 2
+        total = sum(lm_forward(params, padded[k : k + 2] + padded[k + 3 : k + 5], u[k]) + within[k] for k in range(len(u)))
+        assert got[i].log_prob == pytest.approx(total, rel=1e-3)
+    # The parameters don't depend on the partitions.
+    for n in (1, 5):
+        again = lm_scoring.train(docs.repartition(n), vocab)
+        assert all((again[k] == params[k]).all() for k in params)
+
+
+def test_lm_words_share_a_bucket_by_frequency(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "UNITS", lm_scoring.BUCKETS + 1)  # on the driver: one word has a unit of its own
+    texts = ["the the the the the", "aab aab aab", "bab", "xab"]
+    vocab = lm_scoring.vocabulary(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert len(vocab["words"]) == 1 and vocab["total"] == 10
+    data = np.frombuffer(b"the aab bab xab", np.uint8)
+    within = lm_scoring.units(data, np.array([0, len(data)]), vocab)[2]
+    assert np.exp(within) == pytest.approx([1.0, 0.6, 0.2, 0.2], rel=1e-5)
+
+
+def test_lm_gradient_is_the_slope():
+    rng = np.random.default_rng(4)
+    p = {k: v.astype(np.float64) for k, v in lm_scoring.start().items()}
+    ctx, y = rng.integers(0, lm_scoring.UNITS + 1, (7, 4)), rng.integers(0, lm_scoring.UNITS, 7)
+    ctx[0] = ctx[1]
+    loss = lambda q: -np.mean([lm_forward(q, c, v) for c, v in zip(ctx, y, strict=True)])
+    g2 = {k: np.zeros(v.shape) for k, v in p.items()}
+    lm_scoring.step({k: v.copy() for k, v in p.items()}, g2, ctx, y)
+    for k, v in p.items():
+        # Adagrad's sums start at 0 here, so they are the squared gradient.
+        at = np.unravel_index(np.argmax(g2[k]), v.shape)
+        up, down = ({**p, k: v + np.where(np.arange(v.size).reshape(v.shape) == np.ravel_multi_index(at, v.shape), d, 0)} for d in (1e-5, -1e-5))
+        assert abs((loss(up) - loss(down)) / 2e-5) == pytest.approx(np.sqrt(g2[k][at]), rel=1e-3)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy</div>{main}

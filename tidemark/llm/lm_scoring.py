@@ -2,15 +2,16 @@
 
 The network predicts each word from the SIDE words on its left and right: embeddings, a tanh
 layer, then a two-level softmax over CLASSES x CLASSES units. Units are the most frequent
-words of the whole corpus and buckets for all others, chosen by a word's ending and length; a word of
-a bucket shares its probability with the bucket's other word types. A document's score is the sum over
-its words of the log probability given both sides.
-
-Counts come from all words. Training is data-parallel: every partition trains a copy on
-every STEP-th word of all its documents, and the copies are averaged in Spark, weighted
-by words, ROUNDS times. Defined cases: null and empty texts have no words, sum 0 and a null mean; with an
-empty table there is nothing to score; repeated rows give repeated results; other columns
-aren't looked at.
+words of the whole corpus and buckets for all others, chosen by a word's ending and length. Within a bucket a word
+has the probability of its own frequency among the bucket's words, read from CELLS counters by the word's hash (words that
+share a counter share its count evenly). A document's score is the sum over its words of the log probability given both sides.
+
+Counts come from all words. Training is data-parallel and reads every word as a target once: rows are dealt by hash to
+shards of about SHARD words, each shard trains a copy in the order of the rows' hashes, and the copies
+are averaged in Spark, weighted by words, in the order of the shards; round r takes the words at places r, r + ROUNDS, ... of each text.
+So the parameters depend on the rows alone, not on how they are partitioned. Defined cases: null and empty texts have no words,
+sum 0 and a null mean; a word that was never counted has the count 1; with an empty table there is nothing to score;
+repeated rows give repeated results; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from .textops import lean
 
 SIDE, DIM, HIDDEN, CLASSES, BUCKETS = 2, 16, 32, 32, 128
 UNITS = CLASSES * CLASSES
-STEP, ROUNDS, BATCH, RATE = 12, 2, 512, 0.1
+ROUNDS, BATCH, RATE = 2, 2048, 0.1
+#: Counters of the words in buckets, words that a shard has on average, shards at most (beyond, they have more words), and words whose order is mixed at once.
+CELLS, SHARD, SHARDS, MIXED = 1 << 22, 1 << 20, 1 << 16, 16 * BATCH
 #: Copies of the parameters that one task averages.
 FAN = 32
 SHAPES = {"e": (UNITS + 1, DIM), "h": (2 * SIDE * DIM, HIDDEN), "hb": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (CLASSES, HIDDEN, CLASSES), "wb": (CLASSES, CLASSES)}
@@ -41,7 +44,7 @@ def _bucket(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def vocabulary(docs: DataFrame) -> dict:
-    """The units: sorted hashes of the frequent words with their ids, and log of the word types a bucket has."""
+    """The units: sorted hashes of the frequent words with their ids; the log count of a word by counter; the log of all such counts of a bucket; and words in all."""
     from .textops import slices, word_hashes, word_spans
 
     def count(batches):
@@ -60,28 +63,35 @@ def vocabulary(docs: DataFrame) -> dict:
 
     counts, _ = written(docs.select("text").mapInArrow(lean(count), "word long, bucket int, n long").groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")), "lm-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(UNITS - BUCKETS).toPandas()
-    types = {r.bucket: r.t for r in counts.groupBy("bucket").agg(F.count("*").alias("t")).collect()}
     h = top["word"].to_numpy(np.int64).view(np.uint64)
+    rare = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(x),) for x in top["word"]], "word long")), "word", "left_anti")
+    both = rare.groupBy(F.pmod("word", F.lit(CELLS)).cast("int").alias("cell"), "bucket").agg(F.count("*").alias("t"), F.sum("n").alias("n"))
+    cell = both.groupBy("cell").agg((F.sum("n") / F.sum("t")).alias("each"))
+    mass = {r.bucket: r.m for r in both.join(cell, "cell").groupBy("bucket").agg(F.sum(F.col("t") * F.col("each")).alias("m")).collect()}
+    table, got = np.zeros(CELLS, np.float32), cell.select("cell", F.log("each").cast("float").alias("v")).toPandas()
+    table[got["cell"]] = got["v"]
     order = np.argsort(h)
     spread = np.zeros(UNITS)
-    for b, t in types.items():
-        spread[UNITS - BUCKETS + b] = np.log(max(t, 1))
-    return {"words": h[order], "ids": order.astype(np.int64), "spread": spread, "total": int(top["n"].sum()) if len(top) else 0}
+    for b, m in mass.items():
+        spread[UNITS - BUCKETS + b] = np.log(max(m, 1.0))
+    return {"words": h[order], "ids": order.astype(np.int64), "cells": table, "spread": spread, "total": counts.agg(F.sum("n")).first()[0] or 0}
 
 
-def units(data: np.ndarray, off: np.ndarray, vocab: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Unit of each word and each row's first word."""
+def units(data: np.ndarray, off: np.ndarray, vocab: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit of each word, each row's first word, and each word's log probability within its unit."""
     from .textops import word_hashes, word_spans
 
     h, first = word_hashes(data, off)
     if not len(h):
-        return np.zeros(0, np.int64), first
+        return np.zeros(0, np.int64), first, np.zeros(0)
     s, e, _ = word_spans(data, off)
-    out = UNITS - BUCKETS + _bucket(data, s, e)
+    out, own = UNITS - BUCKETS + _bucket(data, s, e), (h.view(np.int64) % CELLS)
+    within = vocab["cells"][own] - vocab["spread"][out]
     if len(vocab["words"]):
         at = np.minimum(np.searchsorted(vocab["words"], h), len(vocab["words"]) - 1)
-        out = np.where(vocab["words"][at] == h, vocab["ids"][at], out)
-    return out, first
+        known = vocab["words"][at] == h
+        out, within = np.where(known, vocab["ids"][at], out), np.where(known, 0.0, within)
+    return out, first, within
 
 
 def windows(u: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -162,50 +172,71 @@ def step(p: dict, g2: dict, ctx: np.ndarray, y: np.ndarray, rate: float = RATE)
     p["e"][uniq] -= rate * de / (np.sqrt(g2["e"][uniq]) + 1e-6)
 
 
-def train(docs: DataFrame, vocab: dict, rounds: int = ROUNDS, every: int = STEP) -> dict:
-    """Averaged parameters after `rounds` passes of data-parallel training over docs (text)."""
+def train(docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> dict:
+    """Averaged parameters after training over docs (text, and doc_id if there is one) in `rounds` rounds, which share out the words."""
     from .textops import slices
 
+    shards = min(max(1, -(-vocab["total"] // SHARD)), SHARDS)
+    h = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
+    dealt = docs.where("text is not null").select(F.pmod(h, F.lit(shards)).alias("shard"), h.alias("h"), "text").repartition("shard").sortWithinPartitions("shard", "h").drop("h")
     params = start()
     for r in range(rounds):
         now = flat(params)
 
         def local(batches, now=now, r=r):
-            p, seen, held = shaped(now.copy()), 0, ([], [])
-            g2, size = {k: np.full(s, 1e-4, np.float32) for k, s in SHAPES.items()}, 0
+            state: dict = {}
+
+            def begin(shard):
+                state.update(shard=shard, p=shaped(now.copy()), g2={k: np.full(s, 1e-4, np.float32) for k, s in SHAPES.items()}, x=[], y=[], held=0, seen=0)
+
+            def learn(last):
+                """Steps over the words held, MIXED at a time; with last, over all of them."""
+                x, y = np.concatenate([np.zeros((0, 2 * SIDE), np.int64), *state["x"]]), np.concatenate([np.zeros(0, np.int64), *state["y"]])
+                k = 0
+                while len(y) - k >= (1 if last else MIXED):
+                    n = min(MIXED, len(y) - k)
+                    at = k + np.random.default_rng([r, state["seen"]]).permutation(n)
+                    for i in range(0, n, BATCH):
+                        step(state["p"], state["g2"], x[at[i : i + BATCH]], y[at[i : i + BATCH]])
+                    k += n
+                    state["seen"] += n
+                state.update(x=[x[k:]], y=[y[k:]], held=len(y) - k)
+
+            def end():
+                learn(True)
+                if state["seen"]:
+                    yield pa.RecordBatch.from_arrays([pa.array([state["shard"]], pa.int64()), pa.array([float(state["seen"])]), pa.array([flat(state["p"]).tobytes()], pa.binary())], names=["shard", "n", "p"])
+
             for batch in batches:
-                for _, data, off in slices(batch.column("text"), 1 << 18):
-                    u, first = units(data, off, vocab)
-                    at = np.arange((r * 5) % every, len(u), every)
-                    if not len(at):
-                        continue
-                    at = np.random.default_rng([r, len(u)]).permutation(at)
-                    held[0].append(windows(u, first, at))
-                    held[1].append(u[at])
-                    size += len(at)
-                    if size >= BATCH:
-                        x, y, k = np.concatenate(held[0]), np.concatenate(held[1]), 0
-                        while k + BATCH <= len(y):
-                            step(p, g2, x[k : k + BATCH], y[k : k + BATCH])
-                            k += BATCH
-                        seen += k
-                        held, size = ([x[k:]], [y[k:]]), len(y) - k
-            if size:
-                step(p, g2, np.concatenate(held[0]), np.concatenate(held[1]))
-                seen += size
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([float(seen)]), pa.array([flat(p).astype(np.float32).tobytes()], pa.binary())], names=["part", "n", "p"])
+                shard = batch.column("shard").to_numpy()
+                cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)] if len(shard) else [0]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if state.get("shard") != shard[a]:
+                        if state:
+                            yield from end()
+                        begin(int(shard[a]))
+                    for _, data, off in slices(batch.column("text").slice(a, b - a), 1 << 18):
+                        u, first, _ = units(data, off, vocab)
+                        place = np.arange(len(u)) - np.repeat(first[:-1], np.diff(first))
+                        at = np.flatnonzero(place % rounds == r)
+                        state["x"].append(windows(u, first, at))
+                        state["y"].append(u[at])
+                        state["held"] += len(at)
+                        if state["held"] >= MIXED:
+                            learn(False)
+            if state:
+                yield from end()
 
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("shard")
             n = pdf["n"].to_numpy(float)
-            v = sum(np.frombuffer(b, np.float32) * x for b, x in zip(pdf["p"], n, strict=True)) / n.sum()
-            return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [n.sum()], "p": [v.astype(np.float32).tobytes()]})
-
-        copies = docs.select("text").mapInArrow(lean(local), "part long, n double, p binary").withColumn("part", F.spark_partition_id().cast("long"))
-        parts = max(1, docs.rdd.getNumPartitions())
-        while parts > 1:
-            copies = copies.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInPandas(mean, "part long, n double, p binary")
-            parts = -(-parts // FAN)
+            v = sum(np.frombuffer(b, np.float32).astype(float) * x for b, x in zip(pdf["p"], n, strict=True)) / n.sum()
+            return pd.DataFrame({"shard": [pdf["shard"].iloc[0] // FAN], "n": [n.sum()], "p": [v.astype(np.float32).tobytes()]})
+
+        copies, left = dealt.mapInArrow(lean(local), "shard long, n double, p binary"), shards
+        while left > 1:
+            copies = copies.groupBy(F.floor(F.col("shard") / FAN).alias("part")).applyInPandas(mean, "shard long, n double, p binary")
+            left = -(-left // FAN)
         got = copies.collect()  # one row
         if not got:
             break
@@ -223,10 +254,10 @@ def score(docs: DataFrame, vocab: dict, params: dict, keep: list[str]) -> DataFr
         for batch in batches:
             text = batch.column(len(keep))
             for a, data, off in slices(text, 1 << 18):
-                u, first = units(data, off, vocab)
+                u, first, within = units(data, off, vocab)
                 n = np.diff(first)
                 lp = np.concatenate([np.zeros(0), *(log_probs(params, windows(u, first, at), u[at]).astype(float) for at in (np.arange(k, min(k + 8192, len(u))) for k in range(0, len(u), 8192)))])
-                c = np.concatenate(([0.0], np.cumsum(lp - vocab["spread"][u])))
+                c = np.concatenate(([0.0], np.cumsum(lp + within)))
                 total = c[first[1:]] - c[first[:-1]]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(j).slice(a, len(n)) for j in range(len(keep))), pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=[f.name for f in schema.fields]
