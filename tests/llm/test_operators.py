@@ -1,6 +1,7 @@
 """The corpus operators on small tables: brute force, and the defined cases (nulls, empty, very long, repeated, empty tables, clashing names)."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -513,13 +514,106 @@ def test_html_extraction(spark):
     assert got[100].text == "" == got[101].text and got[102].text == "lone text a < b" and got[103].text == "cut of" and got[0].n_chars == len(want[0])
     assert html_extraction.main_text(df.limit(0)).count() == 0
     w = {r.host: r for r in html_extraction.wrappers(df).collect()}
-    assert w["a.org"].container == "html>body>article" and ")+" in w["a.org"].wrapper
-
+    assert [json.loads(w["a.org"].labels)[i] for i in w["a.org"].main] == ["2article"] and ")+" in w["a.org"].wrapper and ")?" in w["a.org"].wrapper
+
+
+def rule_of(pages):
+    """The rule of one host's pages, as wrappers() finds it, from the distinct streams in the order of their numbers."""
+    seen = {}
+    for html in pages:
+        labels, texts = html_extraction.tokens(html)
+        items = html_extraction.fold(labels)
+        slots = []
+        for x, members in items:
+            for leaf, places in zip(html_extraction.leaves(x), members, strict=True):
+                if leaf == "#":
+                    of = [t for i in places for t in texts.get(i, ())]
+                    h = hash(tuple(of))
+                    slots.append([1, sum(len(t[0]) for t in of), sum(t[1] for t in of), h, h, int(any(t[2] for t in of))])
+        key = tuple(x for x, _ in items)
+        n, old = seen.get(key, (0, None))
+        seen[key] = (n + 1, slots if old is None else [html_extraction._joined(u, v) for u, v in zip(old, slots, strict=True)])
+    streams = []
+    for key, (_, slots) in sorted(seen.items(), key=lambda x: -x[1][0]):
+        left = iter(slots)
+        streams.append([(x, False, [next(left) for y in html_extraction.leaves(x) if y == "#"]) for x in key])
+    wrapper, main = html_extraction.infer(streams)
+    return {"wrapper": [x for x, _, _ in wrapper], "main": set(main)}, wrapper
+
+
+BOXES = "<html><body><div>Top of the house</div>{extra}<div><p>{text}</p>{more}</div><div>All rights of the house</div></body></html>"
+
+
+def boxes(n):
+    """Pages without any telling name: only what changes from page to page says where the text is."""
+    pages, want = [], []
+    for k in range(n):
+        more = f"<h2>Part {k}</h2><p>more {k}</p>" if k % 2 else ""
+        pages.append(BOXES.format(text=f"story number {k} of many", extra="<div>Breaking!</div>" if k % 3 == 0 else "", more=more))
+        want.append(f"story number {k} of many" + (f"\nPart {k}\nmore {k}" if k % 2 else ""))
+    return pages, want
+
+
+def test_html_extraction_follows_the_aligned_wrapper(spark, monkeypatch):
+    pages, want = boxes(12)
+    rule, wrapper = rule_of(pages)
+    assert [html_extraction.extract(p, rule) for p in pages] == want
+    assert ")?" in html_extraction.written_out(wrapper) and ")+" in html_extraction.written_out(wrapper)
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extraction.main_text(df).collect()} == dict(enumerate(want))
+    monkeypatch.setattr(html_extraction, "align", lambda a, b: [])
+    rule, _ = rule_of(pages)
+    assert [html_extraction.extract(p, rule) for p in pages] != want
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 30])
+def test_html_extraction_of_equal_pages_and_fixed_headings(spark, n):
+    same = "<html><body><div class=content><p>always the same text</p></div></body></html>"
+    head = "<html><body><nav>menu</nav><article><header><h1>Title {k}</h1></header><h2>Summary</h2><p>text {k}</p></article></body></html>"
+    rows = [(k, f"http://same.org/{k}", same) for k in range(n)] + [(100 + k, f"http://head.org/{k}", head.format(k=k)) for k in range(n)]
+    got = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "always the same text" for k in range(n)} | {100 + k: f"Title {k}\nSummary\ntext {k}" for k in range(n)}
+
+
+def test_align_is_a_longest_common_subsequence(monkeypatch):
+    rng = random.Random(4)
 
-def test_align_makes_optionals():
-    a = html_extraction.align(["x", "p", "#", "/p", "/x"], ["x", "h", "#", "/h", "p", "#", "/p", "/x"])
-    assert [t for t in a if isinstance(t, str)] == ["x", "p", "#", "/p", "/x"] and sum(isinstance(t, tuple) for t in a) == 3
-    assert html_extraction.repeats(["p", "#", "/p"] * 3) == [("+", ("p", "#", "/p"))]
+    def longest(a, b):
+        return max((len(x) for k in range(1 << len(a)) for x in [[t for i, t in enumerate(a) if k >> i & 1]] if is_part(x, b)), default=0)
+
+    def is_part(x, b):
+        at = iter(b)
+        return all(t in at for t in x)
+
+    for _ in range(150):
+        a, b = ([("+", (rng.choice("pqr"),)) for _ in range(rng.randint(0, 8))] for _ in range(2))
+        pairs = html_extraction.align(a, b)
+        assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+    # Both streams are found in what the wrapper accepts: take away optional pieces and the stream is left.
+    a, b = ["0x", "1p", "#", "/1p", "/0x"], ["0x", "1h", "#", "/1h", "1p", "#", "/1p", "/0x"]
+    piece = lambda s: [(t, False, [[1, 1, 0, 5, 5, 0]] if t == "#" else []) for t in s]
+    w = html_extraction.extended(piece(a), piece(b))
+    assert [t for t, _, _ in w] == b and [t for t, o, _ in w if not o] == a
+    # A box more comes in whole, wherever it stands.
+    box, story = ["1d", "#", "/1d"], ["1d", "2s", "#", "/2s", "/1d"]
+    a, b = [*box, *story, *box], [*box, *box, *story, *box]
+    w = html_extraction.extended(piece(a), piece(b))
+    assert [t for t, _, _ in w] == b and [o for _, o, _ in w] == [False] * 3 + [True] * 3 + [False] * 8
+    assert html_extraction.fold(["1p", "#", "/1p"] * 3)[0][0] == ("+", ("1p", "#", "/1p"))
+    monkeypatch.setattr(html_extraction, "CELLS", 3)
+    one = lambda s: [("+", (c,)) for c in s]
+    assert html_extraction.align(one("pqrs"), one("pxys")) == [(0, 0), (3, 3)]
+
+
+def test_html_extraction_of_long_pages():
+    """Pages that don't fold and are too different to align keep all their text."""
+    rng = random.Random(1)
+    page = lambda k: "<body><article>" + "".join(f"<div><h{rng.randint(1, 6)}>{k} {i}</h></div>" if i % 2 else f"<div>{k} {i}</div>" for i in range(3000)) + "</article><div>foot</div></body>"
+    pages = [page(k) for k in range(3)]
+    rule, _ = rule_of(pages)
+    for k, p in enumerate(pages):
+        assert html_extraction.extract(p, rule) == "\n".join(f"{k} {i}" for i in range(3000))
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
