@@ -267,6 +267,75 @@ def test_fingerprints(spark, corpus):
     assert fingerprints.with_edited(frame(spark, [])).count() == 0
 
 
+def test_fingerprints_are_i_match(spark):
+    """Fingerprints and likeness against sets of words, the published rule and plain loops."""
+    from tidemark.llm.textops import mix64, mix_int
+
+    rng = random.Random(12)
+    vocab = [f"t{k}" for k in range(60)]
+    rows = [(i, " ".join(rng.choice(vocab[: 20 + i]) for _ in range(rng.randint(5, 40))), "s") for i in range(40)] + [(50, "Only Rare Terms here", "s"), (51, None, "s"), (None, "t1 t2 t3", "s"), (60, "t4 t5 t6 t7", "s"), (60, "t4 t5 t6 t7", "s")]
+    df = frame(spark, rows)
+    band = fingerprints.lexicon(df, 1 / 20, 1 / 3)
+    hashes = {w: int(jaccard_hash(w)) for _, t, _ in rows for w in words(t)}
+    found = {w: sum(w in words(t) for _, t, _ in rows) for w in hashes}
+    assert {int(x) for x in band} == {hashes[w] for w, n in found.items() if max(2, len(rows) / 20) <= n <= len(rows) / 3}
+    got = fingerprints.with_edited(df, band).collect()
+
+    def plain(t):
+        inside, outside = ([w for w in {*words(t)} if (hashes[w] in {int(x) for x in band}) == known] for known in (True, False))
+        number = lambda ws: mix64(np.array([sum(int(mix64(np.array([hashes[w] + 0x51ED270B & 2**64 - 1], np.uint64))[0]) | 1 for w in ws) & 2**64 - 1], np.uint64))[0] if ws else None
+        subsets = [inside]
+        for i, rate in enumerate(fingerprints.RATES):
+            subsets += [[w for w in inside if mix_int(hashes[w] ^ mix_int(1000 * i + j + 1)) < int(rate * 2.0**64)] for j in range(fingerprints.COPIES)]
+        for i, rate in enumerate(fingerprints.RATES):
+            k = round(-np.log2(rate))
+            subsets += [[w for w in outside if mix_int(hashes[w] ^ mix_int(77 + i)) >> (j * k) & ((1 << k) - 1) == 0] for j in range(fingerprints.OUTER)]
+        return [0 if (x := number(ws)) is None else int(x) & 0xFFFF | 1 for ws in subsets]
+
+    def alike(x, y):
+        shares, n = [], len(fingerprints.RATES)
+        for start, copies in ((1, fingerprints.COPIES), (1 + n * fingerprints.COPIES, fingerprints.OUTER)):
+            for i in range(n):
+                part = list(zip(x, y, strict=True))[start + i * copies : start + (i + 1) * copies]
+                shares.append(sum(a == b != 0 for a, b in part) / (sum(a or b for a, b in ((a != 0, b != 0) for a, b in part)) + 1))
+        return max(shares)
+
+    by_text = {}
+    for r in got:
+        t = [t for i, t, _ in rows if i == r.doc_id][0] or ""
+        by_text[r.fingerprint] = t
+        if words(t):
+            assert np.frombuffer(bytes.fromhex(r.fingerprint), np.uint16).tolist() == plain(t)
+    for r in got:
+        if r.fingerprint != r.edited_fingerprint and "=" not in r.fingerprint + r.edited_fingerprint:
+            x, y = (np.frombuffer(bytes.fromhex(v), np.uint16).tolist() for v in (r.fingerprint, r.edited_fingerprint))
+            assert r.near_edited == pytest.approx(alike(x, y))
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 1
+
+
+def jaccard_hash(word):
+    from tidemark.llm.textops import word_hashes
+
+    d = np.frombuffer(word.encode(), np.uint8)
+    return word_hashes(d, np.array([0, len(d)]))[0][0]
+
+
+def test_toxicity_matches_as_a_naive_search_does():
+    rng = random.Random(2)
+    keys = [" ab", " abc ", " cad", " bad", " dab ", " acc", " bca"]
+    lexicon = {k: rng.random() + 0.1 for k in keys}
+    phrases = ("bad cad", "abcd", "da")
+    automaton = toxicity.matcher(lexicon, phrases)
+    for _ in range(500):
+        text = toxicity.fold(" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 12))))
+        spared = [(a, a + len(f) - 1) for f in map(toxicity.fold, phrases) for a in range(len(text)) if text.startswith(f, a)]
+        want = 0.0
+        for a in range(len(text)):
+            best = max((w for k, w in lexicon.items() if text.startswith(k, a)), default=0.0)
+            want += 0.0 if any(x <= a < y for x, y in spared) else best
+        assert toxicity.evidence(text, automaton) == pytest.approx(want)
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     rows, labels = [], []
@@ -334,6 +403,40 @@ def test_decontamination_takes_ids_of_any_type(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(1, "b"), (1, None), (2, "a")}
 
 
+def test_decontamination_against_all_windows(spark):
+    """Every item-sized window of every text against every item: exact similarities, and how many near passages are found."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(500)]
+    items = [[rng.choice(vocab) for _ in range(rng.choice([4, 8, 12, 25, 45]))] for _ in range(20)]
+    items[3][:6] = items[4][:6] if len(items[4]) > 6 else items[3][:6]
+    docs = []
+    for k in range(150):
+        w = list(items[k % 20])
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            w[rng.choice([0, len(w) - 1, rng.randrange(len(w))])] = rng.choice(vocab)
+        lead, tail = ([rng.choice(vocab) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        docs.append((k, " ".join([*lead, *w, *tail]), "s"))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    df = {}
+    for w in items:
+        for g in grams(w):
+            df[g] = df.get(g, 0) + 1
+    weigh = lambda gs: sum(1 + np.log(len(items) / df.get(g, 1)) for g in gs)
+    want = {}
+    for i, t, _ in docs:
+        w = t.split()
+        for k, item in enumerate(items):
+            n = min(len(item), len(w))
+            best = max(weigh(a & grams(item)) / weigh(a | grams(item)) for a in (grams(w[s : s + n]) for s in range(len(w) - n + 1)))
+            if best >= decontamination.SIMILAR - 1e-9:
+                want[(i, k)] = best
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    for most in (2000, 6):
+        got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.find(frame(spark, docs), bench, ["doc_id"], most=most).collect()}
+        assert set(got) <= set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+        assert len(got) >= 0.99 * len(want) and len(want) > 60 and sum(v < 0.999 for v in want.values()) > 20
+
+
 def test_multi_index_finds_all_within_radius():
     from tidemark.llm.decontamination import BLOCKS, RADIUS, index
 
@@ -437,6 +540,31 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(docs, language_id.learn(docs.limit(0)), ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_id_is_the_nearest_centroid(spark):
+    """Counts, TF-IDF, cosine and the choice by plain loops over byte strings."""
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        rows.append((i, " ".join("".join(rng.choice(("ab", "de", "Ça", "x1") if i % 2 else ("fg", "hé", "ij", "ab")) for _ in range(3)) for _ in range(rng.randint(1, 12))), ("bb", "aa")[i % 2]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs)
+    got = {r.doc_id: r for r in language_id.predict(docs, model, ["doc_id"]).collect()}
+    for i, t, _ in rows:
+        raw = [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in t.encode()]
+        x = np.zeros(language_id.DIMS)
+        for k in (2, 3):
+            for a in range(len(raw) - k + 1):
+                n = 0
+                for b in raw[a : a + k]:
+                    n = (n * 257 + b) & 0xFFFFFFFF
+                x[(n * 2654435761 & 0xFFFFFFFF) >> (32 - 11)] += 1
+        x = np.log1p(x) * model["idf"]
+        cos = [float(x @ m) / np.linalg.norm(x) for m in model["centroids"]]
+        best = {lang: max(c for c, of in zip(cos, model["of"], strict=True) if model["langs"][of] == lang) for lang in model["langs"]}
+        top = max(sorted(best), key=lambda lang: best[lang])
+        assert got[i].lang_pred == top and got[i].score == pytest.approx(np.exp(20 * best[top]) / sum(np.exp(20 * v) for v in best.values()), rel=1e-3)
+        assert got[i].rejected == (best[top] < language_id.REJECT)
+
+
 def lm_forward(p, ctx, y):
     """Log probability of one unit given its window, plainly."""
     x = np.concatenate([p["e"][c] for c in ctx]).astype(float)
