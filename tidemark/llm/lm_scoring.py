@@ -30,6 +30,8 @@ UNITS = CLASSES * CLASSES
 ROUNDS, BATCH, RATE = 2, 2048, 0.1
 #: Counters of the words in buckets, words that a shard has on average, shards at most (beyond, they have more words), and words whose order is mixed at once.
 CELLS, SHARD, SHARDS, MIXED = 1 << 22, 1 << 20, 1 << 16, 16 * BATCH
+#: Counters that come to the driver as one value.
+PACK = 1 << 16
 #: Copies of the parameters that one task averages.
 FAN = 32
 SHAPES = {"e": (UNITS + 1, DIM), "h": (2 * SIDE * DIM, HIDDEN), "hb": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (CLASSES, HIDDEN, CLASSES), "wb": (CLASSES, CLASSES)}
@@ -68,13 +70,21 @@ def vocabulary(docs: DataFrame) -> dict:
     both = rare.groupBy(F.pmod("word", F.lit(CELLS)).cast("int").alias("cell"), "bucket").agg(F.count("*").alias("t"), F.sum("n").alias("n"))
     cell = both.groupBy("cell").agg((F.sum("n") / F.sum("t")).alias("each"))
     mass = {r.bucket: r.m for r in both.join(cell, "cell").groupBy("bucket").agg(F.sum(F.col("t") * F.col("each")).alias("m")).collect()}
-    table, got = np.zeros(CELLS, np.float32), cell.select("cell", F.log("each").cast("float").alias("v")).toPandas()
-    table[got["cell"]] = got["v"]
+
+    def packed(t: pa.Table) -> pa.Table:
+        at, v = t.column("cell").to_numpy(), np.zeros(PACK, np.float32)
+        v[at % PACK] = np.log(t.column("each").to_numpy())
+        return pa.table({"part": pa.array([int(at[0]) // PACK], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    # A fixed number of counters, however large the corpus is.
+    table = np.zeros(CELLS, np.float32)
+    for r in cell.groupBy(F.floor(F.col("cell") / PACK).alias("part")).applyInArrow(packed, "part int, v binary").collect():
+        table[r.part * PACK : (r.part + 1) * PACK] = np.frombuffer(r.v, np.float32)
     order = np.argsort(h)
     spread = np.zeros(UNITS)
     for b, m in mass.items():
         spread[UNITS - BUCKETS + b] = np.log(max(m, 1.0))
-    return {"words": h[order], "ids": order.astype(np.int64), "cells": table, "spread": spread, "total": counts.agg(F.sum("n")).first()[0] or 0}
+    return {"words": h[order], "ids": order.astype(np.int64), "cells": counts.sparkSession.sparkContext.broadcast(table), "spread": spread, "total": counts.agg(F.sum("n")).first()[0] or 0}
 
 
 def units(data: np.ndarray, off: np.ndarray, vocab: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +96,7 @@ def units(data: np.ndarray, off: np.ndarray, vocab: dict) -> tuple[np.ndarray, n
         return np.zeros(0, np.int64), first, np.zeros(0)
     s, e, _ = word_spans(data, off)
     out, own = UNITS - BUCKETS + _bucket(data, s, e), (h.view(np.int64) % CELLS)
-    within = vocab["cells"][own] - vocab["spread"][out]
+    within = vocab["cells"].value[own] - vocab["spread"][out]
     if len(vocab["words"]):
         at = np.minimum(np.searchsorted(vocab["words"], h), len(vocab["words"]) - 1)
         known = vocab["words"][at] == h
