@@ -20,7 +20,7 @@ def test_pinned_digest(spark):
 def test_backoff_and_exhaustion(spark):
     got = one(spark, *[received.backoff(F.lit(a), 1.0, 8.0) for a in (0, 1, 2, 3, 60, 5000)])
     assert list(got) == [1, 2, 4, 8, 8, 8]
-    j = spark.range(200).select(received.jittered(F.lit(8.0), 3).alias("j")).agg(F.min("j"), F.max("j")).first()
+    j = spark.range(200).select(received.jittered(F.lit(8.0), 3, "id").alias("j")).agg(F.min("j"), F.max("j")).first()
     assert 4 <= j[0] <= j[1] <= 8
     assert list(one(spark, received.after_failure(F.lit(3), 5, F.lit(False)), received.after_failure(F.lit(4), 5, F.lit(False)), received.after_failure(F.lit(0), 5, F.lit(True)))) == ["Retryable", "Failed", "Failed"]
 
@@ -68,8 +68,8 @@ def test_fold_is_the_sequential_model(spark, seed):
 
 def test_dedupe_by_order(spark):
     # The conflict of key k2 under id m1 leaves k2 free: the later row with k2 is inserted.
-    rows = [("g", "m1", "k1", 1), ("g", "m1", "k2", 2), ("g", "m2", "k2", 3), ("g", "m3", "k1", 4)]
-    got = received.dedupe_ordered(spark.createDataFrame(rows, "g string, message_id string, idempotency_key string, pos long"), "g")
+    rows = [("m1", "k1", 1), ("m1", "k2", 2), ("m2", "k2", 3), ("m3", "k1", 4)]
+    got = received.dedupe_exact(spark.createDataFrame(rows, "message_id string, idempotency_key string, pos long"))
     assert [r.outcome for r in got.orderBy("pos").collect()] == ["Inserted", "MessageIdConflict", "Inserted", "DuplicateIdempotencyKey"]
 
 

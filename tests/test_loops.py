@@ -4,10 +4,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from tidemark.functions import headers, text
-from tidemark.operators import admin, outbox, received, resync
+from tidemark.functions import envelope, headers, text, times
+from tidemark.operators import admin, cache, dispatch, outbox, received, recovery, resync
 from tidemark.plans import config, roles
-from tidemark.sources.sinks import FileSink
+from tidemark.sources.sinks import CapturingSink, FileSink
 from tidemark.streaming import jobs
 
 
@@ -83,7 +83,8 @@ def test_enqueue_and_relay(spark, tmp_path):
     assert {r.message_id: (r.status, r.enqueue_order) for r in out.collect()} == {1: ("Superseded", 1), 2: ("Publishing", 2), 10: ("Superseded", 3), 11: ("Pending", 4), 12: ("Failed", 5)}
     assert {r.message_id: r["headers"] for r in out.where("message_id >= 10").collect()}[11] == {"tidemark-entity-key": "a"}
     sink = FileSink(str(tmp_path / "sent"))
-    done = jobs.drain(out, sink, 100, limit=1)
+    done, total = jobs.drain(out, sink, 100, limit=1)
+    assert total == jobs.RelayStats(1, 1)
     assert {r.message_id: r.status for r in done.collect()} == {1: "Superseded", 2: "Publishing", 10: "Superseded", 11: "Published", 12: "Failed"}
     assert [r.message_id for r in sink.read(spark).collect()] == [11]
 
@@ -91,13 +92,156 @@ def test_enqueue_and_relay(spark, tmp_path):
         def write(self, df, batch_id):
             raise OSError("down")
 
-    failed, n = jobs.relay(out, Down(), 100)
+    failed, stats = jobs.relay(out, Down(), 100)
     row = failed.where("message_id = 11").first()
-    assert (n, row.status, row.last_error, row.next_attempt_s, row.claim_expires_s, row.attempts) == (1, "Pending", "down", 101, None, 1)
+    assert (stats, row.status, row.last_error, row.next_attempt_s, row.claim_expires_s, row.attempts) == (jobs.RelayStats(1, 0, 1), "Pending", "down", 101, None, 1)
     with pytest.raises(ValueError):
         outbox.redrive(ledger)
 
 
+def test_relay_takes_only_its_own_claim_and_settles_rows_one_by_one(spark, tmp_path):
+    rows = [(i, f"e{i}", i, "Pending", 0, 0, None, None) for i in range(1, 6)]
+    ledger = outbox.claim_into(spark.createDataFrame(rows, LEDGER), 100, 2, claim_id="other", worker="w2")
+    sink = CapturingSink(str(tmp_path / "sent"))
+
+    class Poisoned:
+        def write(self, df, batch_id):
+            sink.write(df.where("message_id <> 4"), batch_id)
+            return df.where("message_id = 4").selectExpr("message_id", "'too large' as error")
+
+    # While rows are sent, somebody takes row 5 over.
+    stolen = lambda df: df.withColumn("claim_id", F.when(F.col("message_id") == 5, "thief").otherwise(F.col("claim_id"))).where("message_id <> 3")
+    after, stats = jobs.relay(ledger, Poisoned(), 100, limit=10, worker="w1", meanwhile=stolen)
+    assert stats == jobs.RelayStats(3, 0, 1, 1, 1)
+    assert sorted((r.message_id, r.offset) for r in sink.read(spark).collect()) == [(3, 0), (5, 1)]
+    got = {r.message_id: (r.status, r.claim_id, r.last_error) for r in after.collect()}
+    assert got == {1: ("Publishing", "other", None), 2: ("Publishing", "other", None), 4: ("Pending", None, "too large"), 5: ("Publishing", "thief", None)}
+
+
+RECEIVED = "message_id long, message_type string, topic string, part int, pos long, entity_key string, payload string, status string, attempts int, created_s long, due_s long, last_failed_s long, kind string"
+CACHE = "entity_key string, payload string, topic string, part int, applied_pos long"
+
+
+def due_rows(spark):
+    row = lambda i, e, pos, payload, part=0, **kw: (i, kw.get("type", "t"), "t", part, pos, e, payload, kw.get("status", "Pending"), kw.get("attempts", 0), i, kw.get("due"), None, None)
+    rows = [row(1, "a", 5, "a5"), row(2, "a", 6, "bad"), row(3, "a", 6, "a6"), row(4, "b", 1, "b1", part=1), row(5, "c", 1, "c1", type="x"), row(6, None, 1, "n"), row(7, "d", 2, "skip"), row(8, "e", 1, "e1", status="Retryable", due=999), row(9, "f", 1, "f1", status="Retryable", due=1, attempts=9)]
+    cached = spark.createDataFrame([("b", "b0", "t", 0, 0), ("d", "d0", "t", 0, 1), ("f", "f9", "t", 0, 9)], CACHE)
+    return spark.createDataFrame(rows, RECEIVED), cached, spark.createDataFrame([("t",)], "message_type string")
+
+
+def test_dispatch_of_due_rows(spark):
+    ledger, cached, types = due_rows(spark)
+    before = lambda rows, ctx: rows.withColumns({"go": F.col("payload") != "skip", "failure": F.lit(None).cast("string")})
+
+    def after(rows, ctx):
+        ctx.enqueue(rows.select(F.col("message_id").alias("cause"), F.concat("payload", F.lit("!")).alias("payload")))
+        return rows.where("payload = 'bad'").select("message_id", F.lit("no").alias("failure"))
+
+    got = dispatch.dispatch_due(ledger, cached, 100, 50, types, "t", before, after)
+    assert {r.message_id: r.outcome for r in got.outcomes.collect()} == {1: "Applied", 2: "no", 3: "Applied", 4: "CacheOriginMismatch", 5: "MissingHandler", 6: "MissingEntityKey", 7: "Skipped", 9: "Ignored"}
+    rows = {r.message_id: (r.status, r.attempts, r.kind, r.due_s) for r in got.ledger.collect()}
+    assert rows == {
+        1: ("Processed", 0, None, None), 2: ("Retryable", 1, "Handler", 101), 3: ("Processed", 0, None, None), 4: ("Failed", 1, "CacheOriginMismatch", None), 5: ("Retryable", 1, "MissingHandler", 101),
+        6: ("Failed", 1, "MissingEntityKey", None), 7: ("Processed", 0, None, None), 8: ("Retryable", 0, None, 999), 9: ("Processed", 9, None, None),
+    }
+    assert {(r.entity_key, r.payload, r.applied_pos) for r in got.cache.collect()} == {("a", "a6", 6), ("b", "b0", 0), ("d", "d0", 1), ("f", "f9", 9)}
+    assert sorted(r.payload for r in got.sent.collect()) == ["a5!", "a6!"]
+    assert got.stats == {"claimed": 8, "processed": 4, "failed": 4, "panicked": 0}
+
+
+def test_dispatch_contains_panics_and_hooks(spark):
+    ledger, cached, types = due_rows(spark)
+    got = dispatch.dispatch_due(ledger, cached, 100, 50, types, "t", dispatch.fault("panic", F.col("payload") == "a5"), jitter=3)
+    assert got.stats == {"claimed": 8, "processed": 0, "failed": 8, "panicked": 6}
+    assert {r.status for r in got.ledger.where("message_id in (1, 2, 3, 4, 7)").collect()} == {"Retryable"} and got.ledger.where("message_id = 9").first().status == "Failed"
+    assert got.cache.exceptAll(cached).count() == 0 == cached.exceptAll(got.cache).count()
+    late = lambda rows, ctx: rows.select("message_id", F.raise_error(F.lit("late")).cast("string").alias("failure"))
+    assert dispatch.dispatch_due(ledger, cached, 100, 1, types, "t", after=late).stats["panicked"] == 1
+    for kind, n in (("off", 0), ("error", 1), ("constraint", 1)):
+        assert dispatch.dispatch_due(ledger, cached, 100, 1, types, "t", dispatch.fault(kind, F.col("payload") == "a5")).stats["failed"] == n
+
+    def stop():
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        dispatch.dispatch_due(ledger, cached, 100, 1, types, "t", hooks=dispatch.Hooks(before_record=stop))
+
+
+def test_ingest_breaker_counts_over_batches(spark, tmp_path):
+    bad = lambda i: (i, "other", "{}", key(i), i, "e")
+    batches = [[bad(1), bad(2)], [bad(3)], [(4, "t", "{}", key(4), 4, "e"), bad(5)], [bad(6), bad(7), bad(8)]]
+    root = str(tmp_path / "r")
+    jobs.run(jobs.ingest(source(spark, str(tmp_path / "in"), batches[:3], RECORDS), root, "t", max_skips=4))
+    spark.createDataFrame(batches[3], RECORDS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="limit of 4 was met at 8"):
+        jobs.run(jobs.ingest(spark.readStream.schema(RECORDS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), root, "t", max_skips=4))
+
+
+def test_dispatch_stream_keeps_whole_copies_of_the_cache(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT", 2)
+    schema = "entity_key string, payload string, topic string, part int, pos long, arrival long"
+    batches = [[(f"e{k}", f"v{k}", "t", 0, k, k), ("all", f"v{k}", "t", 0, k, 100 + k)] for k in range(5)]
+    root = str(tmp_path / "r")
+    jobs.run(jobs.dispatch(source(spark, str(tmp_path / "in"), batches, schema), root, "t"))
+    want = {(f"e{k}", f"v{k}") for k in range(5)} | {("all", "v4")}
+    assert {(r.entity_key, r.payload) for r in jobs.cached(spark, root).collect()} == want
+    assert {r.batch for r in jobs.written(spark, f"{root}/snapshot", jobs.MOVED).where("batch >= 0").select("batch").distinct().collect()} == {1, 3}
+    assert {r.payload for r in jobs.cached(spark, root, 3).where("entity_key = 'all'").collect()} == {"v2"}
+
+
+class Source:
+    def __init__(self, name, spark, keys, states):
+        self.name, self.all = name, spark.createDataFrame([(k,) for k in keys], "entity_key string")
+        self.states = spark.createDataFrame([(k, p, 1000 + i, k, f"key-{k}", {}, "{}") for i, (k, p) in enumerate(states)], "entity_key string, payload_key string, message_id long, partition_key string, idempotency_key string, headers map<string,string>, payload string")
+
+    def keys(self, after):
+        return self.all if after is None else self.all.where(F.col("entity_key") > after)
+
+    def load(self, keys):
+        return self.states.join(keys, "entity_key", "left_semi")
+
+
+def test_recovery(spark):
+    good = Source("good", spark, "abcde", [(k, k) for k in "abde"])
+    bad = Source("bad", spark, "uvwxyz", [(k, "other" if k == "x" else k) for k in "uvwxyz"])
+    last = Source("last", spark, "q", [("q", "q")])
+    ledger = spark.createDataFrame([(1, "a", 1, "Pending", 0, 0, None, None)], LEDGER)
+    out, report = recovery.Recovery(good, bad, last).run(ledger, 9, recovery.Request(page=2))
+    assert [tuple(r) for r in recovery.Recovery.table(spark, report).collect()] == [("good", "Done", 3, 4, 1, "e"), ("bad", "Failed", 1, 2, 0, "v")]
+    assert {r.entity_key for r in out.where("status = 'Pending'").collect()} == set("abdeuv") and out.where("message_id = 1").first().status == "Superseded"
+    bad.states = bad.states.withColumn("payload_key", F.col("entity_key"))
+    out, again = recovery.Recovery(good, bad, last).run(out, 9, recovery.resumed(recovery.Request(page=2), report[-1]))
+    assert again == [recovery.Outcome("bad", "Done", 2, 4, 0, "z")] and out.where("status = 'Pending'").count() == 10
+    for wrong in (lambda: recovery.Recovery(), lambda: recovery.Recovery(good, good), lambda: recovery.Recovery(good).check(recovery.Request(("x",))), lambda: recovery.Recovery(good, bad).check(recovery.Request(after="a")), lambda: recovery.Recovery(good).check(recovery.Request(page=0)), lambda: recovery.redrive(ledger, recovery.Request(max_rows=0))):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_topics_converge(spark):
+    declared = spark.createDataFrame([("a", 4, "compact"), ("b", 4, "compact"), ("a", 4, "compact")], "topic string, partitions int, policy string")
+    seen = spark.createDataFrame([("b", 8, "COMPACT")], declared.schema)
+    made = []
+
+    def create(new):
+        made.extend(r.topic for r in new.collect())
+        return new.withColumn("partitions", F.lit(3))
+
+    assert {r.topic: r.outcome for r in cache.converge(declared, seen, "create", create).collect()} == {"a": "PartitionDrift", "b": "PartitionDrift"} and made == ["a"]
+    assert {r.outcome for r in cache.converge(declared, seen, "off").collect()} == {"Skipped"}
+    for wrong in (lambda: cache.converge(declared, seen, "verify"), lambda: cache.converge(declared.withColumn("partitions", F.lit(None).cast("int")), seen, "create", create), lambda: cache.converge(declared, declared.withColumn("policy", F.lit("delete")), "create", create)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_times_and_ids(spark):
+    cases = {"2024-01-31T00:00:00Z": 1706659200000000, "2024-01-31T00:00:00.25Z[UTC]": 1706659200250000, "2024-01-31t02:00:00.1234567+02:00[Europe/Paris]": 1706659200123456, "2024-01-30T00:30:00-23:30": 1706659200000000, "2024-01-31 00:00:00Z": None, "2024-02-30T00:00:00Z": None, "2024-01-31T00:00:00": None, "": None, "x": None}
+    assert one(spark, *[times.parse(F.lit(v)) for v in cases]) == list(cases.values())
+    assert one(spark, *[times.render(F.lit(v)) for v in (1706659200250000, 0, -1, 1706659200000000)]) == ["2024-01-31T00:00:00.25Z[UTC]", "1970-01-01T00:00:00Z[UTC]", "1969-12-31T23:59:59.999999Z[UTC]", "2024-01-31T00:00:00Z[UTC]"]
+    u = "67e55044-10b1-426f-9247-bb680e5fe0c8"
+    forms = [u, u.upper(), u.replace("-", ""), "{" + u + "}", "urn:uuid:" + u]
+    assert one(spark, *[envelope.uuid(F.lit(v)) for v in [*forms, u[:-1], "{" + u, ""]]) == [u] * 5 + [None] * 3
+
+
 def test_resync(spark):
     keys = spark.createDataFrame([("a",), ("b",), ("c",)], "entity_key string")
     facts = "entity_key string, payload_key string, payload string, message_id long, partition_key string, idempotency_key string, headers map<string,string>"
@@ -157,6 +301,26 @@ def test_roles_and_change_log(spark, tmp_path):
         roles.migrate(spark, changed, path)
 
 
+def test_change_log_makes_ledgers_and_replays_once(spark, tmp_path):
+    root, history = str(tmp_path / "tables"), str(tmp_path / "history")
+    log = roles.change_log([("received", "event"), ("outbox", "order"), ("cache", "event")], root=root)
+    roles.migrate(spark, log, history)
+    path = roles.ledger_path(root, "received", "event")
+    assert spark.read.parquet(path).count() == 0 and spark.read.parquet(roles.ledger_path(root, "outbox", "order")).columns[0] == "message_id"
+    rows = spark.createDataFrame([(i, "Failed", 3, i) for i in range(4)], "message_id long, status string, attempts int, created_s long")
+    rows.withColumns({c: F.lit(None).cast(t) for c, t in (f.split(" ") for f in roles.LEDGERS["received"].split(", ")) if c not in rows.columns}).select(*spark.read.parquet(path).columns).write.mode("append").parquet(path)
+    replay = roles.replay(log[-1].version + 1, "replay of May", path, 3, frozenset({"prod"}))
+    assert {r.action for r in roles.dry_run(spark, [*log, replay], spark.createDataFrame([], "version long, checksum string"), {"prod"}).collect()} == {"WouldApply"}
+    roles.migrate(spark, [*log, replay], history)
+    assert spark.read.parquet(path).where("status = 'Failed'").count() == 4
+    roles.migrate(spark, [*log, replay], history, {"prod"})
+    assert spark.read.parquet(path).where("status = 'Failed'").count() == 1
+    roles.migrate(spark, [*log, replay], history, {"prod"})
+    assert spark.read.parquet(path).where("status = 'Failed'").count() == 1
+    with pytest.raises(ValueError):
+        roles.replay(1, "x", path, 10_001)
+
+
 def test_configuration(tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "app.toml").write_text('[retry]\nmax_attempts = 3\n[retry.overrides.order]\ninitial_backoff = "5s"\n[topics]\nprefix = "dev-"\n[app]\nport = 80\n')

@@ -63,10 +63,6 @@ def correlation_ok(value: Column) -> Column:
     return value.rlike(r"^[!-~]{1,128}$")
 
 
-def rfc9557(ts: Column) -> Column:
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z[UTC]"))
-
-
 def bucket(value: Column, ends: list[float]) -> Column:
     """The first bucket end that is not below the value; infinity beyond the last."""
     out = F.lit("inf")

@@ -58,14 +58,15 @@ def dead_letters(receiveds: dict[str, DataFrame], limit: int = 50, **only) -> Da
 
 
 def access(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Per wanted (schema, table, privileges array): Usable, Denied (a privilege is lacking) or Missing.
+    """Per wanted (schema, table, privileges array): Usable, Denied (a privilege, or the schema's, is lacking), NotATable (a view, say) or Missing.
 
-    catalog: schema, table, kind ('r' or 'p' is a table), granted array. No privileges wanted: presence is enough.
+    catalog: schema, table, kind ('r' or 'p' is a table), granted array, schema_usage boolean. No privileges wanted: presence is enough.
     """
-    have = catalog.where(F.col("kind").isin("r", "p")).select("schema", "table", "granted")
+    have = catalog.select("schema", "table", "kind", "granted", "schema_usage")
     each = wanted.join(have, ["schema", "table"], "left").withColumn("p", F.explode_outer("privileges"))
-    ok = F.bool_and(F.coalesce(F.array_contains("granted", F.col("p")), F.col("p").isNull()))
-    return each.groupBy("schema", "table").agg(F.when(F.bool_and(F.col("granted").isNull()), "Missing").when(ok, "Usable").otherwise("Denied").alias("access"))
+    ok = F.bool_and(F.coalesce(F.array_contains("granted", F.col("p")) & F.col("schema_usage"), F.col("p").isNull()))
+    kind = F.max("kind")
+    return each.groupBy("schema", "table").agg(F.when(kind.isNull(), "Missing").when(~kind.isin("r", "p"), "NotATable").when(ok, "Usable").otherwise("Denied").alias("access"))
 
 
 def readiness(access_rows: DataFrame) -> DataFrame:

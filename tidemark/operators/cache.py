@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.envelope import json_long
+from ..functions.identity import idempotency_key
+from ..functions.text import cleanup_policy
+
 
 def current(log: DataFrame) -> DataFrame:
     """Newest payload per entity of a log with one origin per entity: one partial aggregation, no sort."""
@@ -12,9 +16,9 @@ def current(log: DataFrame) -> DataFrame:
 
 
 def outcomes(log: DataFrame, arrival: str) -> DataFrame:
-    """Applied or Ignored for each record in order of arrival (column), by the strict offset guard of one origin."""
-    seen = F.max("pos").over(Window.partitionBy("entity_key").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
-    return log.withColumn("outcome", F.when(seen.isNull() | (F.col("pos") > seen), "Applied").otherwise("Ignored"))
+    """Applied or Ignored for each record in order of arrival (a number, different within an entity), by the strict offset guard of one origin."""
+    seen = _seen(log, ["entity_key"], arrival)
+    return seen.withColumn("outcome", F.when(F.col("_seen").isNull() | (F.col("pos") > F.col("_seen")), "Applied").otherwise("Ignored")).drop("_seen")
 
 
 def _seen(log: DataFrame, keys: list[str], arrival: str) -> DataFrame:
@@ -82,6 +86,20 @@ def availability(products: DataFrame, orders: DataFrame) -> DataFrame:
     return products.join(used, "product_id", "left").select("product_id", "on_hand", used_or_0.alias("fulfilled_quantity"), F.greatest(F.col("on_hand") - used_or_0, F.lit(0)).alias("available"))
 
 
+def recompute(products: DataFrame, orders: DataFrame, touched: DataFrame, namespace: str) -> DataFrame:
+    """Products (product_id, on_hand, version) after their fulfilled orders changed: available, the next version, and the snapshot to publish.
+
+    orders is a cache (payload: JSON with product_id, quantity, status; deleted); touched: product_id, repeats allowed. Products that
+    aren't touched don't come out, and touched ones that aren't there have nothing to recompute.
+    """
+    live = orders.where("not deleted").select(json_long(F.col("payload"), "product_id").alias("product_id"), json_long(F.col("payload"), "quantity").alias("quantity"), F.get_json_object("payload", "$.status").alias("status"))
+    used = live.where("status = 'Fulfilled'").groupBy("product_id").agg(F.sum("quantity").alias("used"))
+    left = F.greatest(F.col("on_hand") - F.coalesce("used", F.lit(0)), F.lit(0)).cast("long")
+    out = products.join(touched.select("product_id").distinct(), "product_id", "left_semi").join(used, "product_id", "left").withColumns({"available": left, "version": F.col("version") + 1})
+    canonical = F.concat(F.lit('["'), F.col("product_id").cast("string"), F.lit('",'), F.col("version").cast("string"), F.lit("]"))
+    return out.select("product_id", "on_hand", "available", "version", F.col("product_id").cast("string").alias("entity_key"), idempotency_key(namespace, canonical).alias("idempotency_key"), F.to_json(F.struct("product_id", "available", "version")).alias("payload"))
+
+
 def admit(orders: DataFrame, cached: DataFrame) -> DataFrame:
     """Orders whose cached product is Available in the quantity asked for."""
     return orders.join(cached, "product_id").where("status = 'Available' and available >= quantity").select(*orders.columns)
@@ -93,14 +111,33 @@ def page(keys: DataFrame, key: str, cursor, size: int) -> DataFrame:
 
 
 def reconcile(declared: DataFrame, observed: DataFrame, mode: str) -> DataFrame:
-    """Outcome per declared topic (topic, partitions, policy) against observed ones: the policy must agree, partitions may drift."""
+    """Outcome per declared topic (topic, partitions or null, policy) against observed ones: the policy must agree, partitions may drift.
+
+    Types that share a topic declare it once: the first by partitions and policy counts. Create needs a declared number of partitions.
+    """
+    once = declared.groupBy("topic").agg(F.min(F.struct("partitions", "policy")).alias("d")).select("topic", "d.partitions", "d.policy")
     seen = observed.select("topic", F.col("partitions").alias("_n"), F.col("policy").alias("_p"))
-    set_of = lambda c: F.array_sort(F.transform(F.split(c, ","), lambda x: F.lower(F.trim(x))))
+    new = F.when(F.col("partitions").isNull(), "PartitionsUndeclared").otherwise("Create") if mode == "create" else F.lit("Missing")
     out = (
         F.when(F.lit(mode) == "off", "Skipped")
-        .when(F.col("_p").isNull(), "Create" if mode == "create" else "Missing")
-        .when(set_of("policy") != set_of("_p"), "PolicyMismatch")
+        .when(F.col("_p").isNull(), new)
+        .when(cleanup_policy(F.col("policy")) != cleanup_policy(F.col("_p")), "PolicyMismatch")
         .when(F.col("partitions") != F.col("_n"), "PartitionDrift")
         .otherwise("Ok")
     )
-    return declared.join(seen, "topic", "left").select("topic", out.alias("outcome"))
+    return once.join(seen, "topic", "left").select("topic", out.alias("outcome"))
+
+
+def converge(declared: DataFrame, observed: DataFrame, mode: str, create=None) -> DataFrame:
+    """`reconcile`, then topics to create go to create(DataFrame of topic, partitions, policy), which returns them as observed afterwards; those are verified in turn.
+
+    Raises for what can't be mended: a missing topic, another policy, or no number of partitions to create with. Drift is returned.
+    """
+    found = reconcile(declared, observed, mode)
+    new = declared.join(found.where("outcome = 'Create'").select("topic"), "topic", "left_semi").dropDuplicates(["topic"])
+    if create is not None and not new.isEmpty():
+        found = found.where("outcome <> 'Create'").unionByName(reconcile(new, create(new), "verify"))
+    wrong = found.where("outcome in ('Missing', 'PolicyMismatch', 'PartitionsUndeclared')").orderBy("topic").limit(20).collect()
+    if wrong:
+        raise ValueError(", ".join(f"{r.topic}: {r.outcome}" for r in wrong))
+    return found

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import headers, identity
 
 TERMINAL = ("Published", "Superseded", "Failed")
+#: Columns that a row has while a worker holds it.
+LEASE = ("claim_expires_s", "claim_id", "claimed_by")
+#: What a row says that another one has overtaken.
+OVERTAKEN = "superseded by newer pending state for the same entity"
 
 
 def _entity():
@@ -20,10 +24,16 @@ def _entity():
 
 
 def supersede(ledger: DataFrame) -> DataFrame:
-    """Pending rows overtaken by a newer pending row of their entity become Superseded and lose their lease."""
-    newest = F.max(F.when(F.col("status") == "Pending", F.col("enqueue_order"))).over(_entity())
-    old = (F.col("status") == "Pending") & (F.col("enqueue_order") < newest)
-    return ledger.withColumn("_old", old).withColumn("status", F.when(F.col("_old"), "Superseded").otherwise(F.col("status"))).withColumn("claim_expires_s", F.when(~F.col("_old"), F.col("claim_expires_s"))).drop("_old")
+    """Pending rows overtaken by a newer pending row of their entity become Superseded and lose their lease. Only pending rows are grouped and joined."""
+    newest = ledger.where("status = 'Pending' and entity_key is not null").groupBy("entity_key").agg(F.max("enqueue_order").alias("_newest"))
+    waiting = ledger.where("status = 'Pending'").join(newest, "entity_key", "left").withColumn("_old", F.coalesce(F.col("enqueue_order") < F.col("_newest"), F.lit(False)))
+    out = waiting.withColumns({"status": F.when(F.col("_old"), "Superseded").otherwise("Pending"), **{c: F.when(~F.col("_old"), F.col(c)) for c in LEASE if c in ledger.columns}})
+    return ledger.where("status is null or status <> 'Pending'").unionByName(out.select(*ledger.columns))
+
+
+def with_lease(ledger: DataFrame) -> DataFrame:
+    """The ledger with all columns of a lease."""
+    return ledger.withColumns({c: F.lit(None).cast("string") for c in ("claim_id", "claimed_by", "last_error") if c not in ledger.columns})
 
 
 def claimable(ledger: DataFrame, now: int) -> DataFrame:
@@ -55,21 +65,28 @@ def claim_by_joins(ledger: DataFrame, now: int, limit: int, lease: int = 30) ->
     return picked.withColumns({"status": F.lit("Publishing"), "attempts": F.col("attempts") + 1, "claim_expires_s": F.lit(now + lease).cast("long")})
 
 
-def collapse(ledger: DataFrame, limit: int) -> DataFrame:
-    """Older pending rows of the first `limit` newest-pending rows whose entity has nothing in flight: message_id, by."""
-    w = _entity()
-    live = ledger.where(F.col("status").isin("Pending", "Publishing") & F.col("entity_key").isNotNull()).withColumns(
-        {"_fly": F.max((F.col("status") == "Publishing").cast("int")).over(w), "_new": F.max(F.when(F.col("status") == "Pending", F.col("enqueue_order"))).over(w)}
-    )
-    free = live.where("status = 'Pending' and _fly = 0")
-    front = free.where("enqueue_order = _new").orderBy("enqueue_order").limit(limit).select("entity_key", F.col("enqueue_order").alias("by"))
-    return free.where("enqueue_order < _new").join(front, "entity_key").select("message_id", "by")
+def collapse(ledger: DataFrame, now: int, limit: int) -> DataFrame:
+    """Older pending rows of the first `limit` due newest-pending rows whose entity has nothing in flight: message_id, by."""
+    live = ledger.where(F.col("status").isin("Pending", "Publishing") & F.col("entity_key").isNotNull())
+    per = live.groupBy("entity_key").agg(F.bool_or(F.col("status") == "Publishing").alias("_fly"), F.max_by(F.struct("enqueue_order", "next_attempt_s"), F.when(F.col("status") == "Pending", F.col("enqueue_order"))).alias("_new"))
+    front = per.where((~F.col("_fly")) & F.col("_new").isNotNull() & (F.col("_new.next_attempt_s").isNull() | (F.col("_new.next_attempt_s") <= now)))
+    front = front.select("entity_key", F.col("_new.enqueue_order").alias("by")).orderBy("by").limit(limit)
+    return live.where("status = 'Pending'").join(F.broadcast(front), "entity_key").where("enqueue_order < by").select("message_id", "by")  # limit rows
+
+
+def collapse_into(ledger: DataFrame, now: int, limit: int) -> DataFrame:
+    """The whole ledger after a collapse: the older rows are Superseded, hold no lease and say why."""
+    ledger = with_lease(ledger)
+    old = collapse(ledger, now, limit).select("message_id", F.lit(True).alias("_old"))
+    waiting = ledger.where("status = 'Pending'").join(old, "message_id", "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
+    out = waiting.withColumns({"status": F.when(F.col("_old"), "Superseded").otherwise("Pending"), "last_error": F.when(F.col("_old"), OVERTAKEN).otherwise(F.col("last_error")), **{c: F.when(~F.col("_old"), F.col(c)) for c in LEASE}})
+    return ledger.where("status is null or status <> 'Pending'").unionByName(out.select(*ledger.columns))
 
 
 def mark(ledger: DataFrame, acks: DataFrame) -> DataFrame:
-    """What each acknowledgement (message_id, claim_expires_s as its claim) does: Updated, StaleClaim or Missing."""
-    held = ledger.select("message_id", "status", F.col("claim_expires_s").alias("_claim"))
-    ok = (F.col("status") == "Publishing") & (F.col("_claim") == F.col("claim_expires_s"))
+    """What each acknowledgement (message_id, claim_id) does: Updated, StaleClaim or Missing."""
+    held = with_lease(ledger).select("message_id", "status", F.col("claim_id").alias("_claim"))
+    ok = (F.col("status") == "Publishing") & (F.col("_claim") == F.col("claim_id"))
     return acks.join(held, "message_id", "left").select("message_id", F.when(F.col("status").isNull(), "Missing").when(ok, "Updated").otherwise("StaleClaim").alias("outcome"))
 
 
@@ -127,45 +144,51 @@ def enqueue(ledger: DataFrame, messages: DataFrame, now: int, prefix: str = head
     waiting = ledger.where("status = 'Pending'").unionByName(new, allowMissingColumns=True)
     newest = new.where("status = 'Pending'").groupBy("entity_key").agg(F.max("enqueue_order").alias("_newest"))
     out = waiting.join(newest, "entity_key", "left").withColumn("_old", F.coalesce((F.col("status") == "Pending") & (F.col("enqueue_order") < F.col("_newest")), F.lit(False)))
-    out = out.withColumns({"status": F.when(F.col("_old"), "Superseded").otherwise(F.col("status")), "claim_expires_s": F.when(~F.col("_old"), F.col("claim_expires_s"))})
+    out = out.withColumns({"status": F.when(F.col("_old"), "Superseded").otherwise(F.col("status")), **{c: F.when(~F.col("_old"), F.col(c)) for c in LEASE if c in out.columns}})
     return ledger.where("status <> 'Pending'").unionByName(out.drop("_old", "_newest"), allowMissingColumns=True)
 
 
-def claim_into(ledger: DataFrame, now: int, limit: int, lease: int = 30) -> DataFrame:
+def claim_into(ledger: DataFrame, now: int, limit: int, lease: int = 30, claim_id: str = "claim", worker: str = "relay") -> DataFrame:
     """The whole ledger after a claim: the batch is Publishing under its lease, older pending rows of its entities are Superseded."""
-    picked = claim(ledger, now, limit, lease).select("message_id", F.lit(True).alias("_mine"), F.col("claim_expires_s").alias("_until"))
-    front = claim(ledger, now, limit, lease).where("entity_key is not null").groupBy("entity_key").agg(F.max("enqueue_order").alias("_front"))
+    ledger = with_lease(ledger)
+    batch = claim(ledger, now, limit, lease)
+    picked = batch.select("message_id", F.lit(True).alias("_mine"), F.col("claim_expires_s").alias("_until"))
+    front = batch.where("entity_key is not null").groupBy("entity_key").agg(F.max("enqueue_order").alias("_front"))
     live = ledger.where(F.col("status").isin("Pending", "Publishing")).join(picked, "message_id", "left").join(front, "entity_key", "left")
-    mine, old = F.col("_mine").isNotNull(), (F.col("status") == "Pending") & (F.col("enqueue_order") < F.col("_front"))
-    live = live.withColumns(
+    mine, old = F.col("_mine").isNotNull(), F.coalesce((F.col("status") == "Pending") & (F.col("enqueue_order") < F.col("_front")), F.lit(False))
+    held = lambda c, v: F.when(mine, v).when(~old, F.col(c))
+    live = live.withColumns({"_is": mine, "_old": old}).withColumns(
         {
             "attempts": F.when(mine, F.col("attempts") + 1).otherwise(F.col("attempts")),
-            "claim_expires_s": F.when(mine, F.col("_until")).when(~F.coalesce(old, F.lit(False)), F.col("claim_expires_s")),
+            "claim_expires_s": held("claim_expires_s", F.col("_until")), "claim_id": held("claim_id", F.lit(claim_id)), "claimed_by": held("claimed_by", F.lit(worker)),
             "status": F.when(mine, "Publishing").when(old, "Superseded").otherwise(F.col("status")),
         }
-    )
+    )
     return ledger.where(~F.col("status").isin("Pending", "Publishing")).unionByName(live.select(*ledger.columns))
 
 
 def acknowledge(ledger: DataFrame, acks: DataFrame, now: int, retry_after: int = 1) -> DataFrame:
-    """The whole ledger after acknowledgements (message_id, claim_expires_s as its claim, error or null).
+    """The whole ledger after acknowledgements (message_id, claim_id, error or null), each on its own.
 
     Published without error; with one, Pending again `retry_after` seconds later. Stale or unknown claims change
     nothing (`mark` says which they are).
     """
-    ack = acks.select("message_id", F.col("claim_expires_s").alias("_claim"), F.col("error").alias("_error"), F.lit(True).alias("_acked"))
-    flying = ledger.where("status = 'Publishing'").join(ack, "message_id", "left")
-    hit = F.col("_acked").isNotNull() & (F.col("_claim") == F.col("claim_expires_s"))
-    bad = F.col("_error").isNotNull()
-    done = flying.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumns(
+    ledger = with_lease(ledger)
+    if "published_s" not in ledger.columns:
+        ledger = ledger.withColumn("published_s", F.lit(None).cast("long"))
+    ack = acks.select("message_id", F.col("claim_id").alias("_claim"), F.col("error").alias("_error"))
+    flying = ledger.where("status = 'Publishing'").join(ack, "message_id", "left").withColumn("_hit", F.coalesce(F.col("_claim") == F.col("claim_id"), F.lit(False)))
+    bad, hit = F.col("_error").isNotNull(), F.col("_hit")
+    done = flying.withColumns(
         {
-            "status": F.when(F.col("_hit"), F.when(bad, "Pending").otherwise("Published")).otherwise(F.col("status")),
-            "next_attempt_s": F.when(F.col("_hit") & bad, F.lit(now + retry_after).cast("long")).otherwise(F.col("next_attempt_s")),
-            "last_error": F.when(F.col("_hit") & bad, F.col("_error")).otherwise(F.col("last_error") if "last_error" in ledger.columns else F.lit(None).cast("string")),
-            "claim_expires_s": F.when(~F.col("_hit"), F.col("claim_expires_s")),
+            "status": F.when(hit, F.when(bad, "Pending").otherwise("Published")).otherwise(F.col("status")),
+            "next_attempt_s": F.when(hit & bad, F.lit(now + retry_after).cast("long")).otherwise(F.col("next_attempt_s")),
+            "last_error": F.when(hit & bad, F.col("_error")).otherwise(F.col("last_error")),
+            "published_s": F.when(hit & ~bad, F.lit(now).cast("long")).otherwise(F.col("published_s")),
+            **{c: F.when(~hit, F.col(c)) for c in LEASE},
         }
     )
-    return ledger.where("status <> 'Publishing'").unionByName(done.drop("_hit", "_claim", "_error", "_acked"), allowMissingColumns=True)
+    return ledger.where("status <> 'Publishing'").unionByName(done.select(*ledger.columns))
 
 
 def redrive(*_, **__) -> DataFrame:

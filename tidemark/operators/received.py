@@ -60,8 +60,9 @@ def backoff(attempts: Column, initial: float = 1.0, most: float = 300.0, multipl
     return F.least(F.lit(initial) * F.pow(F.lit(multiplier), F.least(attempts, F.lit(60)).cast("double")), F.lit(most))
 
 
-def jittered(base: Column, seed: int) -> Column:
-    return base / 2 + F.rand(seed) * base / 2
+def jittered(base: Column, seed: int, *of: Column | str) -> Column:
+    """Between half the base and all of it, by a hash of the columns: a row's retries differ, reading it again doesn't change them."""
+    return base / 2 + F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 20)) / float(1 << 20) * base / 2
 
 
 def after_failure(attempts: Column, most: int, terminal: Column) -> Column:
@@ -75,7 +76,7 @@ def bounded(errors: Column, new: Column, most: int) -> Column:
 
 
 def classify(records: DataFrame, topic: str) -> DataFrame:
-    """First failing check of each record (topic, payload, idempotency_key, occurred_at), or null."""
+    """First failing check of each record (topic, payload, idempotency_key), or null; `envelope.decode` checks whole records with their headers."""
     bad = (
         F.when(F.col("topic") != topic, "UnexpectedTopic")
         .when(F.col("payload").isNull(), "MissingPayload")
@@ -90,7 +91,7 @@ def dedupe(records: DataFrame) -> DataFrame:
     """Outcome of each record (message_id, idempotency_key, pos) in order of pos, where message ids are unique or tied to keys.
 
     Inserted for the first of a key, DuplicateIdempotencyKey after it, MessageIdConflict for a new key under
-    a message id that another key has taken. `dedupe_ordered` settles what one conflict changes for others.
+    a message id that another key has taken. `dedupe_exact` settles what one conflict changes for others.
     """
     key = F.row_number().over(Window.partitionBy("idempotency_key").orderBy("pos"))
     mid = F.row_number().over(Window.partitionBy("message_id").orderBy("pos"))
@@ -98,28 +99,6 @@ def dedupe(records: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("_k") > 1, "DuplicateIdempotencyKey").when(F.col("_m") > 1, "MessageIdConflict").otherwise("Inserted")).drop("_k", "_m")
 
 
-def dedupe_ordered(records: DataFrame, group: str) -> DataFrame:
-    """Outcomes by the exact sequential rule within each `group` (records that share an id or a key must share the group)."""
-
-    def fold(pdf):
-        keys, ids, out = set(), set(), []
-        pdf = pdf.sort_values("pos", kind="stable")
-        for k, m in zip(pdf["idempotency_key"], pdf["message_id"], strict=True):
-            if k in keys:
-                out.append("DuplicateIdempotencyKey")
-            elif m in ids:
-                out.append("MessageIdConflict")
-            else:
-                keys.add(k)
-                ids.add(m)
-                out.append("Inserted")
-        return pdf.assign(outcome=out)
-
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    return records.groupBy(group).applyInPandas(fold, StructType([*records.schema.fields, StructField("outcome", StringType())]))
-
-
 def dedupe_exact(records: DataFrame) -> DataFrame:
     """Outcome of each record (message_id, idempotency_key, pos; none null) by the sequential rule, for any mix of ids and keys.
 
@@ -142,13 +121,25 @@ def dedupe_exact(records: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("_by") == F.col("pos"), "Inserted").when(F.col("_by") < F.col("pos"), "DuplicateIdempotencyKey").otherwise("MessageIdConflict")).select(*records.columns, "outcome")
 
 
-def skip_runs(records: DataFrame, skipped: Column, limit: int) -> DataFrame:
-    """Runs of at least `limit` skipped records in a row, in order of pos: first_pos, trip_pos (of the record that trips the breaker), n."""
+def skip_runs(records: DataFrame, skipped: Column, limit: int, before: int = 0) -> DataFrame:
+    """Runs of at least `limit` skipped records in a row, in order of pos: first_pos, trip_pos (of the record that trips the breaker), n.
+
+    before: skipped records in a row that came right before these.
+    """
     rows = numbered(records.select("pos", skipped.alias("_skip")), "pos", name="_n")
     bad = numbered(rows.where("_skip"), "pos", name="_i").withColumn("_run", F.col("_n") - F.col("_i"))
-    runs = bad.groupBy("_run").agg(F.min("pos").alias("first_pos"), F.min("_i").alias("_i0"), F.count("*").alias("n")).where(F.col("n") >= limit)
+    runs = bad.groupBy("_run").agg(F.min("pos").alias("first_pos"), F.min("_i").alias("_i0"), F.count("*").alias("n"))
+    have = F.when(F.col("_run") == 0, F.lit(before)).otherwise(F.lit(0))
     trip = bad.select(F.col("_run"), F.col("_i"), F.col("pos").alias("trip_pos"))
-    return runs.withColumn("_i", F.col("_i0") + limit - 1).join(trip, ["_run", "_i"]).select("first_pos", "trip_pos", "n")
+    long = runs.withColumn("n", F.col("n") + have).where(F.col("n") >= limit).withColumn("_i", F.col("_i0") + F.greatest(limit - have, F.lit(1)) - 1)
+    return long.join(trip, ["_run", "_i"]).select("first_pos", "trip_pos", "n")
+
+
+def open_run(records: DataFrame, skipped: Column, before: int = 0) -> int:
+    """How many skipped records in a row the records end with, those right before them included."""
+    last = records.agg(F.max(F.when(~skipped, F.col("pos"))).alias("at")).first()["at"]
+    n = (records if last is None else records.where(F.col("pos") > last)).where(skipped).count()
+    return n + (before if last is None else 0)
 
 
 def panic_trips(cycles: DataFrame, limit: int) -> DataFrame:
@@ -161,21 +152,34 @@ def panic_trips(cycles: DataFrame, limit: int) -> DataFrame:
     return bad.groupBy((F.col("_n") - F.col("_i")).alias("_run")).agg(F.min("pos").alias("first_pos"), F.count_distinct("message_id").alias("rows")).where(F.col("rows") >= limit).drop("_run")
 
 
+def quarantined(have: DataFrame, new: DataFrame) -> DataFrame:
+    """The refused records to add: one for each (topic, part, pos) that isn't there yet; of several the first by failure_kind."""
+    place = ["topic", "part", "pos"]
+    first = new.groupBy(*place).agg(F.min(F.struct("failure_kind", *[c for c in new.columns if c not in (*place, "failure_kind")])).alias("r"))
+    return first.select(*place, "r.*").join(have.select(*place), place, "left_anti").select(*new.columns)
+
+
+def quarantine_at(quarantine: DataFrame, topic: str, part: int, pos: int) -> DataFrame:
+    """The refused record at a place, or nothing."""
+    return quarantine.where((F.col("topic") == topic) & (F.col("part") == part) & (F.col("pos") == pos))
+
+
 def route(rows: DataFrame, types: DataFrame) -> DataFrame:
     """Adds `failure`: MissingHandler for rows whose message_type isn't among the registered types (a table, at most one row per type)."""
     known = types.select("message_type", F.lit(True).alias("_known")).dropDuplicates(["message_type"])
     return rows.join(known, "message_type", "left").withColumn("failure", F.when(F.col("_known").isNull(), "MissingHandler")).select(*rows.columns, "failure")
 
 
-def settle(rows: DataFrame, now: int, max_attempts: int = 10, initial: float = 1.0, most: float = 300.0, multiplier: float = 2.0, errors_limit: int = 20, stored: str = "kind") -> DataFrame:
+def settle(rows: DataFrame, now: int, max_attempts: int = 10, initial: float = 1.0, most: float = 300.0, multiplier: float = 2.0, errors_limit: int = 20, stored: str = "kind", jitter: int | None = None) -> DataFrame:
     """Ledger rows after dispatch, from `failure` (null: handled or ignored) and `terminal`.
 
     Handled rows are Processed. Failed ones count an attempt, keep the newest errors, and are Retryable at
-    now plus the backoff without jitter, or Failed when terminal or out of attempts.
+    now plus the backoff (with jitter, a seed: between half of it and all), or Failed when terminal or out of attempts.
     """
     bad = F.col("failure").isNotNull()
     status = F.when(~bad, "Processed").otherwise(after_failure(F.col("attempts"), max_attempts, F.coalesce("terminal", F.lit(False))))
-    wait = F.ceil(backoff(F.col("attempts"), initial, most, multiplier)).cast("long")
+    base = backoff(F.col("attempts"), initial, most, multiplier)
+    wait = F.ceil(base if jitter is None else jittered(base, jitter, "message_id", "attempts")).cast("long")
     errors = F.col("errors") if "errors" in rows.columns else F.lit(None).cast("array<string>")
     out = rows.withColumn("_status", status)
     return out.withColumns(

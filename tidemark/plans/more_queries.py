@@ -48,7 +48,8 @@ def outbox_claim_rewrite(s, d):
  CASE WHEN hit AND message_id % 2 = 0 THEN 'broker down' END AS last_error, CASE WHEN NOT hit THEN claim_expires_s END AS claim_expires_s FROM (SELECT *, status='Publishing' AND message_id % 3 <> 0 AS hit FROM outbox)""")
 def outbox_acknowledge(s, d):
     led, m = src.outbox(s, d), F.col("message_id")
-    acks = led.where("status = 'Publishing'").select("message_id", (F.col("claim_expires_s") + F.when(m % 3 == 0, 1).otherwise(0)).alias("claim_expires_s"), F.when(m % 2 == 0, "broker down").alias("error"))
+    led = led.withColumn("claim_id", F.when(F.col("status") == "Publishing", "mine"))
+    acks = led.where("status = 'Publishing'").select("message_id", F.when(m % 3 == 0, "other").otherwise("mine").alias("claim_id"), F.when(m % 2 == 0, "broker down").alias("error"))
     return outbox.acknowledge(led, acks, NOW).select("message_id", "status", "next_attempt_s", "last_error", "claim_expires_s")
 
 
@@ -188,12 +189,15 @@ def admin_dead_letters(s, d):
     return admin.dead_letters({"event": src.received(s, d).withColumn("errors", F.array("kind"))})
 
 
-@query(sql="""SELECT 'app' AS schema, n_name AS "table", CASE WHEN n_nationkey % 5 = 0 THEN 'Missing' WHEN n_nationkey % 3 = 0 THEN 'Denied' ELSE 'Usable' END AS access FROM nation""")
+@query(sql="""SELECT s AS schema, n_name AS "table", CASE WHEN n_nationkey % 7 = 6 THEN 'Missing' WHEN n_nationkey % 5 = 0 THEN 'NotATable' WHEN n_nationkey % 4 = 1 THEN 'Usable' WHEN n_nationkey % 3 = 0 OR s = 'shut' THEN 'Denied' ELSE 'Usable' END AS access
+ FROM (SELECT *, CASE WHEN n_regionkey = 2 THEN 'shut' ELSE 'app' END AS s FROM nation)""")
 def admin_access(s, d):
-    k, n = F.col("n_nationkey"), src.read(s, d, "nation").withColumn("schema", F.lit("app")).withColumn("table", F.col("n_name"))
+    """Views are no tables, a schema without usage denies what wants a privilege, and a table that nothing is wanted of is usable if it is there."""
+    k, n = F.col("n_nationkey"), src.read(s, d, "nation").withColumn("schema", F.when(F.col("n_regionkey") == 2, "shut").otherwise("app")).withColumn("table", F.col("n_name"))
     grants = F.when(k % 3 == 0, F.array(F.lit("SELECT"))).otherwise(F.array(F.lit("SELECT"), F.lit("UPDATE")))
-    catalog = n.select("schema", "table", F.when(k % 5 == 0, "v").otherwise("r").alias("kind"), grants.alias("granted"))
-    return admin.access(catalog, n.select("schema", "table", F.array(F.lit("SELECT"), F.lit("UPDATE")).alias("privileges")))
+    catalog = n.where(k % 7 != 6).select("schema", "table", F.when(k % 5 == 0, "v").when(k % 2 == 0, "p").otherwise("r").alias("kind"), grants.alias("granted"), (F.col("schema") == "app").alias("schema_usage"))
+    wanted = F.when(k % 4 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("SELECT"), F.lit("UPDATE")))
+    return admin.access(catalog, n.select("schema", "table", wanted.alias("privileges")))
 
 
 # Telemetry

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import identity as fn
-from ..operators import cache, outbox, received
+from ..operators import cache, outbox, received, resync
 from ..sources import tables as src
 
 NOW = src.NOW
@@ -52,18 +50,18 @@ def outbox_claim_batch(s, d):
 
 @query("outbox", sql="""SELECT o.message_id, f.enqueue_order AS "by" FROM outbox o JOIN (SELECT entity_key, enqueue_order FROM outbox c WHERE status='Pending'
  AND NOT EXISTS (SELECT 1 FROM outbox x WHERE x.entity_key=c.entity_key AND x.status='Publishing') AND NOT EXISTS (SELECT 1 FROM outbox n WHERE n.entity_key=c.entity_key AND n.status='Pending' AND n.enqueue_order>c.enqueue_order)
- ORDER BY enqueue_order LIMIT 100) f ON o.entity_key=f.entity_key AND o.status='Pending' AND o.enqueue_order<f.enqueue_order""")
+ ORDER BY enqueue_order LIMIT 100) f ON o.entity_key=f.entity_key AND o.status='Pending' AND o.enqueue_order<f.enqueue_order""".replace("WHERE status='Pending'\n", f"WHERE status='Pending' AND (next_attempt_s IS NULL OR next_attempt_s <= {NOW})\n"))
 def outbox_collapse(s, d):
-    return outbox.collapse(src.outbox(s, d), 100)
+    return outbox.collapse(src.outbox(s, d), NOW, 100)
 
 
-@query("outbox", sql="""SELECT a.message_id, CASE WHEN o.status IS NULL THEN 'Missing' WHEN o.status='Publishing' AND o.claim_expires_s=a.c THEN 'Updated' ELSE 'StaleClaim' END AS outcome
- FROM (SELECT message_id * CASE WHEN message_id % 11 = 0 THEN -1 ELSE 1 END AS message_id, coalesce(claim_expires_s, 0) + CASE WHEN message_id % 3 = 0 THEN 1 ELSE 0 END AS c FROM outbox WHERE message_id % 97 = 0) a LEFT JOIN outbox o ON a.message_id=o.message_id""")
+@query("outbox", sql="""SELECT a.message_id, CASE WHEN o.status IS NULL THEN 'Missing' WHEN o.status='Publishing' AND a.c = 'w' || o.message_id % 2 THEN 'Updated' ELSE 'StaleClaim' END AS outcome
+ FROM (SELECT message_id * CASE WHEN message_id % 11 = 0 THEN -1 ELSE 1 END AS message_id, CASE WHEN message_id % 3 = 0 THEN 'w9' ELSE 'w' || message_id % 2 END AS c FROM outbox WHERE message_id % 97 = 0) a LEFT JOIN outbox o ON a.message_id=o.message_id""")
 def outbox_mark_outcome(s, d):
-    ledger, m = src.outbox(s, d), F.col("message_id")
-    acks = ledger.where("message_id % 97 = 0").select(
-        (m * F.when(m % 11 == 0, -1).otherwise(1)).cast("long").alias("message_id"), (F.coalesce("claim_expires_s", F.lit(0)) + F.when(m % 3 == 0, 1).otherwise(0)).cast("long").alias("claim_expires_s")
-    )
+    m = F.col("message_id")
+    own = F.concat(F.lit("w"), (m % 2).cast("string"))
+    ledger = src.outbox(s, d).withColumn("claim_id", F.when(F.col("status") == "Publishing", own))
+    acks = ledger.where("message_id % 97 = 0").select((m * F.when(m % 11 == 0, -1).otherwise(1)).cast("long").alias("message_id"), F.when(m % 3 == 0, "w9").otherwise(own).alias("claim_id"))
     return outbox.mark(ledger, acks)
 
 
@@ -149,10 +147,13 @@ def retry_schedule(s, d):
 
 @query("received", sql="""SELECT entity_key, string_agg(kind, '|' ORDER BY message_id) AS errors FROM (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY message_id DESC) AS r FROM received WHERE kind IS NOT NULL) WHERE r <= 20 GROUP BY entity_key""")
 def bounded_errors(s, d):
-    rows = src.received(s, d).where("kind is not null").groupBy("entity_key").agg(F.array_sort(F.collect_list(F.struct("message_id", "kind"))).alias("e"))
-    kinds = F.transform("e", lambda e: e["kind"])
-    kept = F.aggregate(kinds, F.array().cast("array<string>"), lambda have, e: received.bounded(have, e, 20))
-    return rows.select("entity_key", F.array_join(kept, "|").alias("errors"))
+    from pyspark.sql import Window
+
+    # The newest 20 of an entity are picked before any are collected; a rank filter leaves the rest where they are.
+    rank = F.row_number().over(Window.partitionBy("entity_key").orderBy(F.desc("message_id")))
+    kept = src.received(s, d).where("kind is not null").withColumn("r", rank).where("r <= 20")
+    rows = kept.groupBy("entity_key").agg(F.array_sort(F.collect_list(F.struct("message_id", "kind"))).alias("e"))
+    return rows.select("entity_key", F.array_join(F.transform("e", lambda e: e["kind"]), "|").alias("errors"))
 
 
 # Ingest
@@ -209,7 +210,9 @@ def idempotency_key(s, d):
     return src.read(s, d, "events").select("event_id", fn.idempotency_key("tidemark:v1", fn.canonical_json(text)).alias("idempotency_key"))
 
 
-@query()
+@query(sql="""WITH b AS (SELECT c_custkey, list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length('events/' || c_custkey) + 1), lambda i: ord(substr('events/' || c_custkey, i, 1))::HUGEINT)) AS l FROM customer),
+h AS (SELECT c_custkey, list_reduce(l, lambda a, x: (xor(a, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM b)
+SELECT c_custkey, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS lock_key FROM h""")
 def fnv_lock_key(s, d):
     return src.read(s, d, "customer").select("c_custkey", fn.fnv1a64(F.concat(F.lit("events/"), F.col("c_custkey").cast("string"))).alias("lock_key"))
 
@@ -234,7 +237,8 @@ _SHUFFLED = "(pos * 7919) % 10007"
 
 @query("log", sql=f"SELECT pos, CASE WHEN m IS NULL OR pos > m THEN 'Applied' ELSE 'Ignored' END AS outcome FROM (SELECT pos, max(pos) OVER (PARTITION BY entity_key ORDER BY {_SHUFFLED}, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM log)")
 def cache_apply_outcome(s, d):
-    return cache.outcomes(src.log(s, d).withColumn("arrival", F.struct(F.expr(_SHUFFLED), "pos")), "arrival").select("pos", "outcome")
+    # Arrival by the shuffled number, then by pos, as one number.
+    return cache.outcomes(src.log(s, d).withColumn("arrival", F.expr(f"cast(({_SHUFFLED}) as bigint) * 1000000000000 + pos")), "arrival").select("pos", "outcome")
 
 
 @query("log", sql="""SELECT pos, CASE WHEN pos = first THEN 'Applied' WHEN NOT isnew AND news_before > 0 THEN 'Ignored' WHEN NOT isnew THEN 'Applied' WHEN isnew AND news_before = 0 THEN 'Migrated' ELSE 'Applied' END AS outcome FROM (
@@ -247,10 +251,10 @@ def cache_apply_migration(s, d):
 
 @query("log")
 def stream_cache_state(s, d):
-    root = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
+    from ..sources.scratch import folder
     from ..streaming.cache_stream import run_to_end
 
-    path, root = f"{d}/events.parquet", f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path, root = f"{d}/events.parquet", folder(s, "stream")
     stream = s.readStream.schema(s.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")
     log = stream.select(F.col("user_id").cast("string").alias("entity_key"), F.col("event_id").alias("pos"), F.col("props").alias("payload"), (F.col("user_id") % 4).cast("int").alias("part"))
     return run_to_end(s, log, root).select("entity_key", "payload", "applied_pos", "part")
@@ -266,18 +270,18 @@ def resync_page(s, d):
 
 @query("log", sql="SELECT CAST(floor((r - 1) / 50) AS BIGINT) AS page, count(*) AS enqueued, max(entity_key) AS last_key FROM (SELECT entity_key, row_number() OVER (ORDER BY entity_key) AS r FROM (SELECT DISTINCT entity_key FROM log)) GROUP BY 1")
 def resync_progress(s, d):
-    from pyspark.sql import Window
-
-    keys = src.log(s, d).select("entity_key").distinct().withColumn("r", F.row_number().over(Window.orderBy("entity_key")))
-    return keys.groupBy(F.floor((F.col("r") - 1) / 50).cast("long").alias("page")).agg(F.count("*").alias("enqueued"), F.max("entity_key").alias("last_key"))
+    keys = src.log(s, d).select("entity_key").distinct().withColumn("outcome", F.lit("Enqueue"))
+    return resync.progress(keys, 50).select("page", "enqueued", "last_key")
 
 
-@query(sql="SELECT n_name AS topic, CASE WHEN n_nationkey % 5 = 0 THEN 'Create' WHEN n_nationkey % 5 = 1 THEN 'PolicyMismatch' WHEN n_nationkey % 5 = 2 THEN 'PartitionDrift' ELSE 'Ok' END AS outcome FROM nation")
+@query(sql="SELECT n_name AS topic, CASE WHEN n_nationkey % 10 = 5 THEN 'PartitionsUndeclared' WHEN n_nationkey % 5 = 0 THEN 'Create' WHEN n_nationkey % 5 = 1 THEN 'PolicyMismatch' WHEN n_nationkey % 10 = 2 THEN 'PartitionDrift' ELSE 'Ok' END AS outcome FROM nation")
 def topic_reconcile(s, d):
-    n, k = src.read(s, d, "nation"), F.col("n_nationkey") % 5
-    declared = n.select(F.col("n_name").alias("topic"), F.lit(4).alias("partitions"), F.lit("compact").alias("policy"))
-    observed = n.where(k != 0).select(F.col("n_name").alias("topic"), F.when(k == 2, 8).otherwise(4).alias("partitions"), F.when(k == 1, "compact, Delete").otherwise(" Compact").alias("policy"))
-    return cache.reconcile(declared, observed, "create")
+    key = F.col("n_nationkey")
+    n, k = src.read(s, d, "nation"), key % 5
+    declared = n.select(F.col("n_name").alias("topic"), F.when(key % 10 < 5, 4).alias("partitions"), F.lit("compact").alias("policy"))
+    observed = n.where(k != 0).select(F.col("n_name").alias("topic"), F.when(k == 2, 8).otherwise(4).alias("partitions"), F.when(k == 1, "compact, Delete").otherwise(" Compact,compact").alias("policy"))
+    # Two types on one topic declare it twice.
+    return cache.reconcile(declared.unionByName(declared.where(k < 3)), observed, "create")
 
 
 def _availability(s, d):
