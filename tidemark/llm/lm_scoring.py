@@ -27,9 +27,9 @@ from .textops import lean
 
 SIDE, DIM, HIDDEN, CLASSES, BUCKETS = 2, 16, 32, 32, 128
 UNITS = CLASSES * CLASSES
-ROUNDS, BATCH, RATE = 2, 2048, 0.1
+ROUNDS, BATCH, RATE = 2, 4096, 0.1
 #: Counters of the words in buckets, words that a shard has on average, shards at most (beyond, they have more words), and words whose order is mixed at once.
-CELLS, SHARD, SHARDS, MIXED = 1 << 22, 1 << 20, 1 << 16, 16 * BATCH
+CELLS, SHARD, SHARDS, MIXED = 1 << 22, 1 << 20, 1 << 16, 8 * BATCH
 #: Counters that come to the driver as one value.
 PACK = 1 << 16
 #: Copies of the parameters that one task averages.
@@ -67,7 +67,7 @@ def vocabulary(docs: DataFrame) -> dict:
     top = counts.orderBy(F.desc("n"), "word").limit(UNITS - BUCKETS).toPandas()
     h = top["word"].to_numpy(np.int64).view(np.uint64)
     rare = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(x),) for x in top["word"]], "word long")), "word", "left_anti")
-    both = rare.groupBy(F.pmod("word", F.lit(CELLS)).cast("int").alias("cell"), "bucket").agg(F.count("*").alias("t"), F.sum("n").alias("n"))
+    both, _ = written(rare.groupBy(F.pmod("word", F.lit(CELLS)).cast("int").alias("cell"), "bucket").agg(F.count("*").alias("t"), F.sum("n").alias("n")), "lm-cells")
     cell = both.groupBy("cell").agg((F.sum("n") / F.sum("t")).alias("each"))
     mass = {r.bucket: r.m for r in both.join(cell, "cell").groupBy("bucket").agg(F.sum(F.col("t") * F.col("each")).alias("m")).collect()}
 
@@ -138,43 +138,56 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the targets by class, and in that order their class, their place in it, and where each class begins (CLASSES + 1)."""
+    order = np.argsort((y // CLASSES).astype(np.uint8), kind="stable")
+    c, w = np.divmod(y[order], CLASSES)
+    return order, c, w, np.searchsorted(c, np.arange(CLASSES + 1))
+
+
 def log_probs(p: dict, ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log probability of units y given their windows."""
-    hid = np.tanh(p["e"][ctx].reshape(len(y), -1) @ p["h"] + p["hb"])
-    c, w = np.divmod(y, CLASSES)
-    out = _log_softmax(hid @ p["c"] + p["cb"])[np.arange(len(y)), c]
-    order = np.argsort(c, kind="stable")
-    cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    order, c, w, cuts = _by_class(y)
+    n = np.arange(len(y))
+    hid = np.tanh(p["e"][ctx[order]].reshape(len(y), -1) @ p["h"] + p["hb"])
+    out = _log_softmax(hid @ p["c"] + p["cb"])[n, c]
     for k in range(CLASSES):
-        i = order[cuts[k] : cuts[k + 1]]
-        if len(i):
-            out[i] += _log_softmax(hid[i] @ p["w"][k] + p["wb"][k])[np.arange(len(i)), w[i]]
-    return out
+        i = slice(cuts[k], cuts[k + 1])
+        if cuts[k] < cuts[k + 1]:
+            out[i] += _log_softmax(hid[i] @ p["w"][k] + p["wb"][k])[n[: cuts[k + 1] - cuts[k]], w[i]]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def step(p: dict, g2: dict, ctx: np.ndarray, y: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on a batch of windows."""
-    n = len(y)
+    order, c, w, cuts = _by_class(y)
+    n, ctx = len(y), ctx[order]
+    at = np.arange(n)
     x = p["e"][ctx].reshape(n, -1)
     hid = np.tanh(x @ p["h"] + p["hb"])
-    c, w = np.divmod(y, CLASSES)
     dc = np.exp(_log_softmax(hid @ p["c"] + p["cb"]))
-    dc[np.arange(n), c] -= 1
-    grads = {"c": hid.T @ dc / n, "cb": dc.mean(0), "w": np.zeros(SHAPES["w"], np.float32), "wb": np.zeros(SHAPES["wb"], np.float32)}
+    dc[at, c] -= 1
+    dc /= n
+    grads = {"c": hid.T @ dc, "cb": dc.sum(0), "w": np.zeros(SHAPES["w"], hid.dtype), "wb": np.zeros(SHAPES["wb"], hid.dtype)}
     dh = dc @ p["c"].T
-    for k in np.unique(c):
-        i = np.flatnonzero(c == k)
-        d = np.exp(_log_softmax(hid[i] @ p["w"][k] + p["wb"][k]))
-        d[np.arange(len(i)), w[i]] -= 1
-        grads["w"][k], grads["wb"][k] = hid[i].T @ d / n, d.sum(0) / n
-        dh[i] += d @ p["w"][k].T
+    for k in range(CLASSES):
+        i = slice(cuts[k], cuts[k + 1])
+        if cuts[k] < cuts[k + 1]:
+            d = np.exp(_log_softmax(hid[i] @ p["w"][k] + p["wb"][k]))
+            d[at[: cuts[k + 1] - cuts[k]], w[i]] -= 1
+            d /= n
+            grads["w"][k], grads["wb"][k] = hid[i].T @ d, d.sum(0)
+            dh[i] += d @ p["w"][k].T
     dz = dh * (1 - hid * hid)
-    grads["h"], grads["hb"] = x.T @ dz / n, dz.mean(0)
-    dx = (dz @ p["h"].T).reshape(n * 2 * SIDE, DIM) / n
-    ids = ctx.ravel()
+    grads["h"], grads["hb"] = x.T @ dz, dz.sum(0)
+    dx = (dz @ p["h"].T).reshape(n * 2 * SIDE, DIM)
+    ids = ctx.ravel().astype(np.uint16)
     order = np.argsort(ids, kind="stable")
-    uniq, at = np.unique(ids[order], return_index=True)
-    de = np.add.reduceat(dx[order], at, axis=0)
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    uniq, de = ids[first], np.add.reduceat(dx[order], first, axis=0)
     for k, g in grads.items():
         g2[k] += g * g
         p[k] -= rate * g / (np.sqrt(g2[k]) + 1e-6)
