@@ -64,7 +64,7 @@ def access(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     have = catalog.select("schema", "table", "kind", "granted", "schema_usage")
     each = wanted.join(have, ["schema", "table"], "left").withColumn("p", F.explode_outer("privileges"))
-    ok = F.bool_and(F.coalesce(F.array_contains("granted", F.col("p")) & F.col("schema_usage"), F.col("p").isNull()))
+    ok = F.bool_and(F.when(F.col("p").isNull(), True).otherwise(F.array_contains("granted", F.col("p")) & F.col("schema_usage")))
     kind = F.max("kind")
     return each.groupBy("schema", "table").agg(F.when(kind.isNull(), "Missing").when(~kind.isin("r", "p"), "NotATable").when(ok, "Usable").otherwise("Denied").alias("access"))
 

@@ -19,6 +19,12 @@ def depth(ledger: DataFrame, now: int, most: int, terminal: tuple) -> DataFrame:
     return out.select("status", "n", age.cast("long").alias("oldest_age_s"), ((age >= most) & ~F.col("status").isin(*terminal)).alias("over_max_age"))
 
 
+def depth_ms(ledger: DataFrame, now_ms: int) -> DataFrame:
+    """Rows and age of the oldest in milliseconds, per status, of a ledger with created_us."""
+    age = F.greatest(F.lit(now_ms) - F.floor(F.min("created_us") / 1000), F.lit(0)).cast("long")
+    return ledger.groupBy("status").agg(F.count("*").alias("n"), age.alias("oldest_age_ms"))
+
+
 def dense_depth(ledger: DataFrame, statuses: tuple) -> DataFrame:
     """Rows per status, 0 for those that don't occur."""
     every = ledger.sparkSession.createDataFrame([(s,) for s in statuses], "status string")
