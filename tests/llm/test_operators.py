@@ -247,19 +247,21 @@ def test_secrets_are_whole(spark):
 
 
 def test_fingerprints(spark, corpus):
-    rows = [r for r in corpus if r[0] is not None]
-    got = fingerprints.with_edited(frame(spark, rows), span=40).collect()
-    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda x: (-x[0], x[1]))
+    # Null ids and one id with many texts fill several ranges.
+    rows = [*corpus, *((None, f"text without id {k}", "s") for k in range(130)), *((77, f"more of one id {k % 90}", "s") for k in range(120)), (400, "", "s")]
+    df = frame(spark, rows)
+    got = fingerprints.with_edited(df, span=40).collect()
+    hashes = {r.text: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda x: (x[0] is None, -(x[0] or 0), hashes[x[1]], x[1]))
     want = []
     for k, (i, t) in enumerate(order):
         nxt = order[(k + 1) % len(order)][1]
         q = len(t) // 3
         want.append((i, len(t), hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest()))
-    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(want)
-    text = dict(order)
-    by_text = {}
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
+    text, by_text = {i: t for i, t in order if i not in (None, 5, 77)}, {}
     for r in got:
-        assert by_text.setdefault(text[r.doc_id], r.fingerprint) == r.fingerprint
+        assert r.doc_id not in text or by_text.setdefault(text[r.doc_id], r.fingerprint) == r.fingerprint
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert r.near_edited == pytest.approx(fingerprints.likeness(r.fingerprint, r.edited_fingerprint))
     long = [r for r in got if r.n_chars > 300]

@@ -12,7 +12,7 @@ have subsets of their own, for texts that consist of rare terms.
 
 Defined cases: null text is empty text; texts without terms have the fingerprint of their exact text alone, and are alike
 (1.0) only if equal; equal texts have equal fingerprints; the next document is by
-descending doc_id, then text, nulls last; in a table of one row the next document is itself.
+descending doc_id, nulls last, then by a hash of the text and the text itself; in a table of one row the next document is itself.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ OUTER = 7
 RANGE = 4096
 #: Quantiles of doc_id that the ranges follow, and ranges up to which their heads are broadcast.
 QUANTILES, BROADCAST_RANGES = 100, 200_000
+#: Ids of more than a range's documents that are split by hash; more of them aren't (which costs balance only).
+HEAVY_IDS = 1_000
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -59,14 +61,14 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> np.nda
 
 
 def _subset_bits(terms: np.ndarray) -> np.ndarray:
-    """terms x (1 + len(RATES) * COPIES) booleans: which subsets have the term; the first is the whole lexicon."""
+    """Packed bits of terms x (1 + len(RATES) * COPIES): which subsets have the term; the first is the whole lexicon."""
     from .textops import mix64, mix_int
 
     out = np.ones((len(terms), 1 + len(RATES) * COPIES), bool)
     for i, rate in enumerate(RATES):
         for j in range(COPIES):
             out[:, 1 + i * COPIES + j] = mix64(terms ^ np.uint64(mix_int(1000 * i + j + 1))) < np.uint64(int(rate * 2.0**64))
-    return out
+    return np.packbits(out, axis=1)
 
 
 def _outer_bits(terms: np.ndarray) -> np.ndarray:
@@ -98,7 +100,7 @@ def fingerprints(texts: list[str], words: np.ndarray, bits: np.ndarray) -> np.nd
     """rows x subsets of 16-bit hashes, 0 where the row has no term of the subset."""
     from .textops import distinct_by_row, mix64, slices, word_hashes
 
-    n = bits.shape[1]
+    n = 1 + len(RATES) * COPIES
     out = np.zeros((len(texts), n + len(RATES) * OUTER), np.uint16)
     for a, data, off in slices(pa.array(texts, pa.large_string()), 1 << 18):
         h, first = distinct_by_row(*word_hashes(data, off))
@@ -107,7 +109,7 @@ def fingerprints(texts: list[str], words: np.ndarray, bits: np.ndarray) -> np.nd
         at = np.searchsorted(words, h)
         known = (words[np.minimum(at, max(len(words) - 1, 0))] == h) if len(words) else np.zeros(len(h), bool)
         value = mix64(h + np.uint64(0x51ED270B)) | np.uint64(1)
-        out[a : a + rows, :n] = _per_row(bits[at[known]], value[known], row[known], rows)
+        out[a : a + rows, :n] = _per_row(np.unpackbits(bits[at[known]], axis=1, count=n).view(bool), value[known], row[known], rows)
         out[a : a + rows, n:] = _per_row(_outer_bits(h[~known]), value[~known], row[~known], rows)
     return out
 
@@ -162,19 +164,33 @@ def with_edited(docs: DataFrame, words: np.ndarray | None = None, span: int = RA
         part = F.when(F.col("doc_id").isNull(), F.lit(2**40)).otherwise(-(k * fine + inside))
     else:
         fine, part = 1, F.lit(0)
-    keyed = docs.withColumn("part", part.cast("long"))
-    # One row a range: its largest id, and the range that the documents before it are in.
-    order = Window.orderBy("part")
-    first = keyed.groupBy("part").agg(F.max("doc_id").alias("head"))
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    # An id with more documents than a range holds (null, say) is a run of ranges of the hash; ids on both sides of it in its range make runs of their own.
+    heavy = sorted((r for r in docs.groupBy("doc_id").count().where(F.col("count") > span).limit(HEAVY_IDS + 1).collect()), key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
+    heavy = heavy if len(heavy) <= HEAVY_IDS else []
+    if heavy:
+        ids = F.lit([float("-inf") if r.doc_id is None else float(r.doc_id) for r in heavy]).cast("array<double>")
+        own = F.array_position(ids, key)
+        pieces = F.element_at(F.lit([-(-r["count"] // span) for r in heavy]).cast("array<double>"), F.greatest(own, F.lit(1)).cast("int"))
+        piece = F.when(own > 0, F.least(F.floor((F.col("hash").cast("double") + 2.0**63) / 2.0**64 * pieces), pieces - 1)).otherwise(0)
+        before = F.size(F.filter(ids, lambda c: c > key)) * 2 + (own > 0).cast("int")
+        part = F.struct(part.cast("long").alias("range"), before.cast("long").alias("ids"), piece.cast("long").alias("piece"), (own > 0).alias("heavy"))
+    else:
+        part = F.struct(part.cast("long").alias("range"), F.lit(0).cast("long").alias("ids"), F.lit(0).cast("long").alias("piece"), F.lit(False).alias("heavy"))
+    keyed = docs.withColumn("at", part)
+    # One row a run: its number, the largest id in it, the least hash, and the number of the run that the documents before it are in.
+    order = Window.orderBy("at")
+    first = keyed.groupBy("at").agg(F.max("doc_id").alias("head"), F.min("hash").alias("least")).withColumn("part", F.row_number().over(order).cast("long"))
     first = first.withColumn("prev", F.coalesce(F.lag("part").over(order), F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     first, _ = written(first, "ranges")
     ranges = first.count()
-    met = keyed.join(F.broadcast(first) if ranges <= BROADCAST_RANGES else first, "part")
-    # All copies of a range's head (same id) go along; the reader takes the one whose text comes first.
+    met = keyed.join(F.broadcast(first) if ranges <= BROADCAST_RANGES else first, "at")
+    # All copies of a run's head (same id; of a heavy id those of the least hash) go along; the reader takes the one that comes first.
     own = F.struct(F.col("part"), F.lit(0).alias("extra"))
-    also = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, F.struct(F.col("prev").alias("part"), F.lit(1).alias("extra")))).otherwise(F.array(own))
-    runs = met.withColumn("_to", F.explode(also)).select(F.col("_to.part").alias("part"), F.col("_to.extra").alias("extra"), "doc_id", "text")
-    runs = runs.repartition(max(1, ranges), "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    leads = F.col("doc_id").eqNullSafe(F.col("head")) & (~F.col("at.heavy") | (F.col("hash") == F.col("least")))
+    also = F.when(leads, F.array(own, F.struct(F.col("prev").alias("part"), F.lit(1).alias("extra")))).otherwise(F.array(own))
+    runs = met.withColumn("_to", F.explode(also)).select(F.col("_to.part").alias("part"), F.col("_to.extra").alias("extra"), "doc_id", "hash", "text")
+    runs = runs.repartition(max(1, ranges), "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "hash", "text").drop("hash")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     schema = T._parse_datatype_string(schema)
     schema = T.StructType([docs.schema["doc_id"], *schema.fields[1:]])
