@@ -61,13 +61,13 @@ def vocabulary(docs: DataFrame) -> dict:
             b = np.concatenate(bs)[at] if hs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(b.astype(np.int32)), pa.array(n)], names=["word", "bucket", "n"])
 
-    from .textops import written
+    from .textops import forget, written
 
-    counts, _ = written(docs.select("text").mapInArrow(lean(count), "word long, bucket int, n long").groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")), "lm-counts")
+    counts, path = written(docs.select("text").mapInArrow(lean(count), "word long, bucket int, n long").groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")), "lm-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(UNITS - BUCKETS).toPandas()
     h = top["word"].to_numpy(np.int64).view(np.uint64)
     rare = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(x),) for x in top["word"]], "word long")), "word", "left_anti")
-    both, _ = written(rare.groupBy(F.pmod("word", F.lit(CELLS)).cast("int").alias("cell"), "bucket").agg(F.count("*").alias("t"), F.sum("n").alias("n")), "lm-cells")
+    both, cells = written(rare.groupBy(F.pmod("word", F.lit(CELLS)).cast("int").alias("cell"), "bucket").agg(F.count("*").alias("t"), F.sum("n").alias("n")), "lm-cells")
     cell = both.groupBy("cell").agg((F.sum("n") / F.sum("t")).alias("each"))
     mass = {r.bucket: r.m for r in both.join(cell, "cell").groupBy("bucket").agg(F.sum(F.col("t") * F.col("each")).alias("m")).collect()}
 
@@ -84,7 +84,9 @@ def vocabulary(docs: DataFrame) -> dict:
     spread = np.zeros(UNITS)
     for b, m in mass.items():
         spread[UNITS - BUCKETS + b] = np.log(max(m, 1.0))
-    return {"words": h[order], "ids": order.astype(np.int64), "cells": counts.sparkSession.sparkContext.broadcast(table), "spread": spread, "total": counts.agg(F.sum("n")).first()[0] or 0}
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    forget(counts.sparkSession, path, cells)
+    return {"words": h[order], "ids": order.astype(np.int64), "cells": counts.sparkSession.sparkContext.broadcast(table), "spread": spread, "total": total}
 
 
 def units(data: np.ndarray, off: np.ndarray, vocab: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
