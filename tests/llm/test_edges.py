@@ -1,6 +1,7 @@
 """Every query and pipeline stage over tables of awkward rows (nulls in each column, clashing extra columns, copies, one long text) and over empty ones."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -48,22 +49,60 @@ def tables(request, spark, tmp_path_factory):
     return root, {k: len(v) if request.param == "odd" else 0 for k, v in every.items()}
 
 
+#: What the defined cases of each query are: (id column, {id: what the row must hold}) for the awkward rows.
+CASES = {
+    "op1_html_extraction": ("page_id", {None: {"text": "", "n_chars": 0}, 20: {"text": ""}, 21: {"text": ""}, 22: {"text": "plain & text"}}),
+    "op2_secrets": ("doc_id", {60: {"n_assign": 0, "spans": ""}, 61: {"n_hex": 0, "spans": ""}, 64: {"spans": ""}}),
+    "op3_jaccard_join": ("doc_id", {60: {"n_shingles": 0, "component_id": 60}, 61: {"n_shingles": 0}, 62: {"n_shingles": 0, "component_id": 62}, 63: {"n_shingles": 1}, 64: {"n_shingles": 1}, None: {"component_id": None}, 75: {"component_id": 4}}),
+    "op4_fingerprints": ("doc_id", {60: {"n_chars": 0}, 61: {"n_chars": 0}, 63: {"n_chars": 100000}, 64: {"n_chars": 100000}}),
+    "op5_toxicity": ("doc_id", {60: {"predicted": 0}, 61: {"predicted": 0}, 0: {"predicted": 1}, 1: {"predicted": 0}}),
+    "op7_url_filters": ("page_id", {None: {"host": "", "path": "", "rule": None}, 21: {"host": "", "verdict": "allow"}, 22: {"host": "a.net", "rule": "net/", "verdict": "block"}}),
+    "op8_mixing": ("doc_id", {60: {"size": 0, "taken": 0}, 62: {"size": 0, "taken": 0}, 63: {"size": 20000}, 64: {"size": 1}}),
+    "op9_language_id": ("doc_id", {60: {"lang_pred": "und", "score": 0.0}, 61: {"lang_pred": "und"}, 62: {"lang_pred": "und"}}),
+    "op10_lm_scoring": ("doc_id", {60: {"n_words": 0, "log_prob": 0.0, "mean_log_prob": None}, 61: {"n_words": 0}, 63: {"n_words": 20000}, 64: {"n_words": 1}}),
+}
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query(spark, tables, name):
     root, n = tables
     out = queries.queries()[name](spark, root).collect()
-    if name != "op6_decontamination":  # one row a leak
-        assert len(out) == n["pages" if name.startswith(("op1_", "op7_")) else "documents"]
+    if name == "op6_decontamination":  # one row a leak
+        docs = {r["doc_id"] for r in out}
+        assert docs <= {r[0] for r in rows()["documents"]} and (not n["documents"] or {i for i in range(60) if i % 10 == 3} <= docs)
+        return
+    assert len(out) == n["pages" if name.startswith(("op1_", "op7_")) else "documents"]
+    key, want = CASES[name]
+    for i, values in want.items() if out else ():
+        found = [r for r in out if r[key] == i]
+        assert found and all(r[c] == v for r in found for c, v in values.items()), (i, found[:2])
 
 
 def test_stages(spark, tables):
+    """Each stage returns rows of its input, as often as they were there at most, and keeps those that it has nothing against."""
     root, n = tables
     docs = spark.read.parquet(f"{root}/documents.parquet")
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, root)
         assert out.count() <= n["documents"], name
         if k < 4:
             assert set(SCHEMAS["documents"].replace(",", "").split()[::2]) <= set(out.columns), name
+        if n["documents"]:
+            before, after = count(docs), count(out)
+            if name == "toxicity":
+                assert after <= before and {i for i, _ in after} >= {60, 61, 62, None, 1, 2, 4} and not {0, 6} & {i for i, _ in after}
+            elif name == "near duplicates":
+                whole = {r.doc_id: r.component_id for r in queries.jaccard_join.link(docs).collect()}
+                assert after == Counter({x: m for x, m in before.items() if x[0] is None or whole[x[0]] == x[0]})
+            elif name == "benchmark decontamination":
+                assert after == Counter({x: m for x, m in before.items() if x[0] not in {r.doc_id for r in queries.decontamination.find(docs, spark.read.parquet(f"{root}/benchmark.parquet"), ["doc_id"]).collect()}})
+            elif name == "secrets":
+                assert {i for i, _ in after} == {i for i, _ in before} and out.count() == docs.count()
+            else:
+                copies = {(r.doc_id, r.text): r for r in out.collect()}
+                assert after <= before and all(r.taken == r.copies * r.size for r in copies.values()) and None in {i for i, _ in after}
+        docs = out if k == 4 else spark.createDataFrame(out.collect(), out.schema)
 
 
 def test_components_of_nodes_with_very_many_links(spark):
