@@ -89,10 +89,25 @@ def near_copies():
 @pytest.mark.parametrize("tile", [1024, 20])
 def test_jaccard_join_of_a_large_group_of_near_copies(spark, near_copies, monkeypatch, tile):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
-    got = jaccard_join.link(frame(spark, near_copies).repartition(3)).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if tile > 20 else 30)
+    try:
+        got = jaccard_join.link(frame(spark, near_copies).repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(tuple, got), key=repr) == brute_components(near_copies)
 
 
+def test_a_key_of_many_is_sent_once():
+    ids, sizes = np.arange(100, 130), np.full(30, 8)
+    sizes[29] = 100
+    full, fo = np.array([7] * 12 + [8, 9], np.uint64), np.array([*range(12), 3, 4])
+    gone, go = np.array([7] * 3 + [11] * 10 + [8], np.uint64), np.array([20, 21, 29, *range(12, 22), 5])
+    (f, a, g, b), star, large = jaccard_join._represented(full, fo, gone, go, ids, sizes)
+    assert sorted(zip(f.tolist(), a.tolist(), strict=True)) == [(7, 0), (7, 0), (8, 3), (9, 4)] and sorted(zip(g.tolist(), b.tolist(), strict=True)) == [(8, 5), (11, 12), (11, 12)]
+    assert set(zip(*(v.tolist() for v in star), strict=True)) == {(100, 100 + k) for k in [*range(1, 12), 20, 21]}
+    assert set(zip(*(v.tolist() for v in large), strict=True)) == {(100, 100 + k) for k in [*range(1, 12), 20, 21, 29]} | {(112, 112 + k) for k in range(1, 10)}
+
+
 def test_forest_joins_what_all_pairs_join():
     rng = np.random.default_rng(2)
     for trial in range(60):
