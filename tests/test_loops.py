@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import envelope, headers, text, times
 from tidemark.operators import admin, cache, dispatch, outbox, received, recovery, resync
-from tidemark.plans import config, roles
+from tidemark.plans import config, roles, runtime
 from tidemark.sources.sinks import CapturingSink, FileSink
 from tidemark.streaming import jobs
 
@@ -321,6 +321,29 @@ def test_change_log_makes_ledgers_and_replays_once(spark, tmp_path):
         roles.replay(1, "x", path, 10_001)
 
 
+def test_service_runs_its_roles(spark, tmp_path):
+    """Events are dispatched to a handler that sends orders, which the next loop of the same cycle relays."""
+    ledger, cached, _ = due_rows(spark)
+
+    def handle(rows, ctx):
+        assert set(ctx.caches) == {"t"}
+        ctx.enqueue(rows.select(F.col("message_id").alias("cause"), F.col("message_id").alias("seq"), (F.col("message_id") + 500).alias("message_id"), "entity_key", F.col("entity_key").alias("partition_key"), F.sha2("payload", 256).alias("idempotency_key"), F.create_map().cast("map<string,string>").alias("headers")))
+
+    r = roles.Roles().handle("t", "t", handle).publish("order", "orders")
+    old = spark.createDataFrame([(1, "z", 1, "Published", 1, 0, None, None), (2, "y", 2, "Published", 1, 950, None, None)], LEDGER)
+    config_ = config.resolve({"purge": {"older_than": "100s"}}, env={})
+    sink = CapturingSink(str(tmp_path / "sent"))
+    with pytest.raises(LookupError):
+        runtime.Service(r, {}, sink, config_)
+    service = runtime.Service(r, {("received", "t"): ledger, ("cache", "t"): cached, ("outbox", "order"): old}, sink, config_, sends="order")
+    service.cycle(spark, 1000)
+    assert service.stats["dispatcher", "t"]["processed"] == 6 and service.stats["relay", "order"].published == 3 and service.stats["purger", "order"].deleted == 1
+    assert {x.message_id: x.status for x in service.tables["outbox", "order"].collect()} == {2: "Published", 501: "Superseded", 502: "Published", 507: "Published", 508: "Published"}
+    assert sorted(x.message_id for x in sink.read(spark).collect()) == [502, 507, 508]
+    service.cycle(spark, 1001, {"relay"})
+    assert service.stats["relay", "order"].claimed == 0
+
+
 def test_configuration(tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "app.toml").write_text('[retry]\nmax_attempts = 3\n[retry.overrides.order]\ninitial_backoff = "5s"\n[topics]\nprefix = "dev-"\n[app]\nport = 80\n')

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +16,25 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.parse_json(text))
 
 
+def canonical_json_exact(text: Column) -> Column:
+    """`canonical_json` for texts with fractions or exponents: 1.0 stays 1.0 and 1.10 becomes 1.1. A Python function over Arrow batches."""
+    def number(x: float) -> str:
+        plain = format(Decimal(repr(x)), "f") if 1e-5 <= abs(x) < 1e16 else repr(x)
+        return re.sub(r"e([+-])0*", lambda m: "e" + m[1].strip("+"), plain)
+
+    def write(x) -> str:
+        if isinstance(x, dict):
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{write(x[k])}" for k in sorted(x)) + "}"
+        if isinstance(x, list):
+            return "[" + ",".join(map(write, x)) + "]"
+        return number(x) if isinstance(x, float) else json.dumps(x, ensure_ascii=False)
+
+    def every(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else write(json.loads(t)))
+
+    return F.pandas_udf(every, "string")(text)
+
+
 def idempotency_key(namespace: str, canonical: Column) -> Column:
     return F.sha2(F.concat(F.encode(F.lit(namespace), "utf-8"), F.unhex(F.lit("00")), F.encode(canonical, "utf-8")), 256)
 

@@ -57,6 +57,12 @@ def dead_letters(receiveds: dict[str, DataFrame], limit: int = 50, **only) -> Da
     return _union([page(t, df) for t, df in receiveds.items()])
 
 
+def ingest_failures(quarantines: dict[str, DataFrame]) -> DataFrame:
+    """Refused records of every registered type, by the topic they were expected on and the kind of failure: n and oldest_s."""
+    tally = lambda df: df.groupBy("expected_topic", "failure_kind").agg(F.count("*").alias("n"), F.min("created_s").alias("oldest_s"))
+    return _union([tally(df).select(F.lit(t).alias("message_type"), "*") for t, df in quarantines.items()])
+
+
 def access(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
     """Per wanted (schema, table, privileges array): Usable, Denied (a privilege, or the schema's, is lacking), NotATable (a view, say) or Missing.
 

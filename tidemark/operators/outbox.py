@@ -6,6 +6,8 @@ entity never blocks or overtakes another row.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,10 @@ def purge_victims(ledger: DataFrame, now: int, older_than: int, limit: int, fail
     return ledger.where(F.col("status").isin(*kinds) & (F.col("created_s") < now - older_than)).orderBy("created_s", "message_id").limit(limit)
 
 
+class PurgeStats(NamedTuple):
+    deleted: int
+
+
 def purge(ledger: DataFrame, *args, **kwargs) -> DataFrame:
     return ledger.join(purge_victims(ledger, *args, **kwargs).select("message_id"), "message_id", "left_anti")
 

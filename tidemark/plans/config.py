@@ -14,7 +14,7 @@ from ..functions.text import UNITS
 
 #: The bounds on rows of one redrive.
 MAX_REDRIVE_ROWS = 10_000
-ABOVE_ZERO = "must be greater than zero"
+ABOVE_ZERO = "has to be above 0"
 
 
 class ConfigErrors(ValueError):
@@ -36,6 +36,7 @@ def seconds(text: str) -> float:
     return millis / 1000
 
 
+# The defaults of all policies, here and below.
 @dataclass(frozen=True)
 class RetryPolicy:
     max_attempts: int = 10
@@ -195,9 +196,9 @@ def resolve(raw: dict, required: dict[str, type] | None = None, env: dict | None
     for key, kind in (required or {}).items():
         value = out.get(key)
         if value is None:
-            issues.append((key, f"missing required key; expected {kind.__name__}"))
+            issues.append((key, f"has to be there, as {kind.__name__}"))
         elif not isinstance(value, kind) or (kind is int and isinstance(value, bool)):
-            issues.append((key, f"expected {kind.__name__}"))
+            issues.append((key, f"isn't of type {kind.__name__}"))
     if issues:
         raise ConfigErrors(issues)
     return out

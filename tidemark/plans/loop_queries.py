@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import envelope, identity, text, times
 from ..functions.headers import outgoing
-from ..operators import cache, dispatch, outbox, received, recovery, telemetry
+from ..operators import admin, cache, dispatch, orders, outbox, received, recovery, telemetry
 from ..sources import tables as src
 from ..sources.scratch import folder
 from ..sources.sinks import wire
@@ -204,6 +204,12 @@ def retry_jitter(s, d):
     return done.select("message_id", F.col("due_s").between(NOW + F.ceil(base / 2), NOW + F.ceil(base)).alias("within"), "attempts")
 
 
+@query("received", sql=f""", {_DUE} SELECT count(*) AS claimed, count(*) FILTER (WHERE bad IS NULL) AS processed, count(*) FILTER (WHERE bad IS NOT NULL) AS failed, CAST(0 AS BIGINT) AS panicked FROM led WHERE mine""")
+def dispatch_stats(s, d):
+    t = _dispatched(s, d).stats
+    return s.createDataFrame([(t["claimed"], t["processed"], t["failed"], t["panicked"])], "claimed long, processed long, failed long, panicked long")
+
+
 # Streams and quarantine
 
 
@@ -294,18 +300,65 @@ def recovery_report(s, d):
     return recovery.Recovery.table(s, run.run(src.outbox(s, d), NOW, recovery.Request(page=4))[1])
 
 
-@query(sql="""WITH t AS (SELECT k AS kind, n_name AS name, CAST('0x' || substr(sha256('tidemark' || k || chr(0) || n_name), 1, 10) AS BIGINT) AS band FROM nation, (VALUES ('outbox'), ('received'), ('cache')) v(k))
+@query(sql="""WITH t AS (SELECT k AS kind, n_name AS name, CAST('0x' || substr(sha256(k || ':' || n_name), 1, 10) AS BIGINT) AS band FROM nation, (VALUES ('outbox'), ('received'), ('cache')) v(k))
 SELECT 1000 + band * 100 + 1 AS version, 'create ' || kind || ' ' || name AS name, CASE WHEN kind = 'cache' THEN 'SkippedAlreadyApplied' ELSE 'WouldApply' END AS action FROM t UNION ALL SELECT 1, 'init', 'ChecksumMismatch'""")
 def change_log_report(s, d):
     names = [r.n_name for r in src.read(s, d, "nation").select("n_name").collect()]
     log = roles.change_log([(k, n) for n in names for k in roles.LEDGERS])
-    history = s.createDataFrame([(c.version, c.checksum) for c in log if "cache" in c.name] + [(1, "sha256:old")], "version long, checksum string")
+    history = s.createDataFrame([(c.version, c.checksum) for c in log if "cache" in c.name] + [(1, "old")], "version long, checksum string")
     return roles.dry_run(s, log, history)
 
 
+@query(sql="""WITH a AS (SELECT p_partkey, CAST(p_size AS BIGINT) * 100 AS available, CASE WHEN p_partkey % 10 = 0 THEN 'Discontinued' ELSE 'Available' END AS status FROM part WHERE p_partkey % 7 <> 0)
+SELECT l_orderkey * 10 + l_linenumber AS order_id, CASE WHEN status IS NULL THEN 'UnknownProduct' WHEN status <> 'Available' THEN 'NotAvailable' WHEN available < CAST(l_quantity AS BIGINT) * 40 THEN 'OutOfStock' ELSE 'Placed' END AS outcome,
+ CASE WHEN status = 'Available' AND available >= CAST(l_quantity AS BIGINT) * 40 THEN 1 END AS version FROM lineitem LEFT JOIN a ON l_partkey=p_partkey""")
+def order_place(s, d):
+    products = src.read(s, d, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("product_id"), (F.col("p_size") * 100).cast("long").alias("available"), F.when(F.col("p_partkey") % 10 == 0, "Discontinued").otherwise("Available").alias("status"))
+    asked = src.read(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_id"), F.col("l_partkey").alias("product_id"), (F.col("l_quantity").cast("long") * 40).alias("quantity"))
+    return orders.place(asked, products).select("order_id", "outcome", "version")
+
+
+@query(sql="SELECT p_partkey AS product_id, CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 THEN 'Discontinued' ELSE 'Available' END AS status, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 <> 0 THEN 2 ELSE 1 END AS version FROM part")
+def product_discontinue(s, d):
+    k = F.col("p_partkey")
+    products = src.read(s, d, "part").select(k.alias("product_id"), F.when(k % 2 == 0, "Discontinued").otherwise("Available").alias("status"), F.lit(1).alias("version"))
+    ids = products.where("product_id % 3 = 0").select("product_id")
+    return orders.discontinue(products, ids.unionByName(ids.where("product_id % 9 = 0")))
+
+
+@query(sql="""SELECT p_partkey, '{"a":[' || p_partkey || '.0,true,null],"b":' || (CASE p_partkey % 4 WHEN 0 THEN '1.1' WHEN 1 THEN '-0.0' WHEN 2 THEN '0.00002' ELSE '1e20' END) || ',"é":"x"}' AS canonical FROM part""")
+def canonical_numbers(s, d):
+    k = F.col("p_partkey")
+    b = F.when(k % 4 == 0, "1.10").when(k % 4 == 1, "-0.0").when(k % 4 == 2, "2e-5").otherwise("1E+20")
+    raw = F.concat(F.lit('{"é": "x", "b": '), b, F.lit(', "a": [ '), k.cast("string"), F.lit(".0, true ,null]}"))
+    return src.read(s, d, "part").select("p_partkey", identity.canonical_json_exact(raw).alias("canonical"))
+
+
+@query("quarantine", sql="SELECT message_type, expected_topic, failure_kind, count(*) AS n, min(created_s) AS oldest_s FROM quarantine WHERE message_type IN ('view', 'click') GROUP BY ALL")
+def admin_ingest_failures(s, d):
+    every = src.quarantine(s, d)
+    return admin.ingest_failures({t: every.where(F.col("message_type") == t) for t in ("view", "click")})
+
+
 # Counters
 
 
+@query("outbox", sql=f"SELECT 'outbox' AS side, s.status, coalesce(n, 0) AS depth, coalesce(age, 0) AS oldest_age_s, CAST(40 AS BIGINT) AS sample_age_s FROM (VALUES ('Pending'),('Publishing'),('Published'),('Superseded'),('Failed')) s(status) LEFT JOIN (SELECT status, count(*) AS n, greatest({NOW} - min(created_s), 0) AS age FROM outbox GROUP BY status) r USING (status)")
+def telemetry_retained(s, d):
+    """A sample that fails leaves the one before, which grows older."""
+    calls = []
+
+    def sample(now):
+        calls.append(now)
+        if len(calls) > 1:
+            raise OSError("the ledger can't be read")
+        return telemetry.gauges(src.outbox(s, d), received.OUTBOX_STATUSES, now, now, "outbox")
+
+    sampler = telemetry.Sampler(sample)
+    sampler.tick(NOW)
+    return sampler.tick(NOW + 40)
+
+
 @query(sql="""WITH e AS (SELECT event_id % 3 AS k, event_type, event_id // 1000 AS batch, event_id % 50 = 0 AS err FROM events)
 SELECT 'publish.records' AS instrument, event_type AS topic, CASE k WHEN 0 THEN 'failed' ELSE 'published' END AS outcome, count(*) AS value FROM e GROUP BY ALL
 UNION ALL SELECT 'ingest.records', event_type, CASE k WHEN 0 THEN 'inserted' WHEN 1 THEN 'duplicate' ELSE 'skipped' END, count(*) FROM e WHERE NOT err GROUP BY ALL
