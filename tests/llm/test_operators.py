@@ -761,6 +761,21 @@ def test_html_extraction_of_long_pages():
         assert html_extraction.extract(p, rule) == "\n".join(f"{k} {i}" for i in range(3000))
 
 
+@pytest.mark.parametrize("name", ["op3_jaccard_join", "op7_url_filters"])
+def test_oracle(spark, name):
+    import duckdb
+    from tidemark.llm import queries
+
+    sf, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.queries()[name](spark, sf)
+    want = db.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(tuple, df.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 

@@ -86,4 +86,15 @@ hit AS (SELECT p.r, first(rhost || rpath ORDER BY length(rhost || rpath) DESC, a
                first(action ORDER BY length(rhost || rpath) DESC, action DESC, rhost || rpath DESC) AS action
         FROM p JOIN rules ON (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath) GROUP BY p.r)
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN hit USING (r)"""
-    return {"op7_url_filters": op7}
+    op3 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+n AS (SELECT r, doc_id, len(g) AS n FROM s),
+t AS (SELECT r, unnest(g) AS x FROM s WHERE doc_id IS NOT NULL),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM t a JOIN t b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT na.doc_id AS a, nb.doc_id AS b FROM p JOIN n na ON na.r = p.a JOIN n nb ON nb.r = p.b WHERE 100 * common >= 75 * (na.n + nb.n - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT DISTINCT a AS node, a AS reach FROM e UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.reach),
+m AS (SELECT node, min(reach) AS least FROM c GROUP BY 1)
+SELECT doc_id, n AS n_shingles, coalesce(least, doc_id) AS component_id FROM n LEFT JOIN m ON m.node = n.doc_id"""
+    return {"op3_jaccard_join": op3, "op7_url_filters": op7}
