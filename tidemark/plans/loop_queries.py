@@ -152,6 +152,17 @@ def relay_stats(s, d):
     return s.createDataFrame([(t.claimed, t.published, t.failed, t.stale, t.missing)], "claimed long, published long, failed long, stale long, missing long")
 
 
+@query("outbox", sql=f""", {_CLAIM} SELECT message_id, row_number() OVER (ORDER BY enqueue_order) - 1 AS "offset" FROM c""")
+def relay_captured(s, d):
+    """What a sink was given, with the offsets that a broker would have given: in order of enqueue."""
+    from ..sources.sinks import CapturingSink
+    from ..streaming.jobs import relay
+
+    sink = CapturingSink(folder(s, "captured"))
+    relay(src.outbox(s, d), sink, NOW, 100)
+    return sink.read(s).select("message_id", "offset")
+
+
 # Dispatch
 
 
@@ -195,6 +206,17 @@ def dispatch_due_sent(s, d):
     return _dispatched(s, d).sent.select("entity_key", "payload")
 
 
+@query("received", sql=f""", {_DUE}, k AS (SELECT *, message_id % 5 = 0 AS skips, message_id % 7 = 0 AS fails FROM led WHERE mine AND message_id % 9 <> 8)
+SELECT message_id, CASE WHEN fails THEN 'too odd' WHEN skips THEN 'Skipped' ELSE 'Applied' END AS outcome FROM k""")
+def dispatch_due_before(s, d):
+    """A handler before the cache: some rows it fails, some it skips, the others go on."""
+    m = F.col("message_id")
+    before = lambda rows, ctx: rows.withColumns({"go": m % 5 != 0, "failure": F.when(m % 7 == 0, "too odd")})
+    empty = s.createDataFrame([], "entity_key string, payload string, topic string, part int, applied_pos long")
+    types = s.createDataFrame([(str(k),) for k in range(8)], "message_type string")
+    return dispatch.dispatch_due(_inbox(s, d), empty, NOW, 500, types, "events", before).outcomes.where("outcome <> 'MissingHandler'")
+
+
 @query("received", sql="SELECT message_id, true AS within, attempts + 1 AS attempts FROM received WHERE status='Retryable'")
 def retry_jitter(s, d):
     """A jittered wait is between half the backoff and all of it."""
@@ -235,6 +257,19 @@ def stream_ingest(s, d):
     return stored.unionByName(written(s, f"{root}/quarantine", REFUSED).select("pos", F.col("failure_kind").alias("place")))
 
 
+@query(sql="SELECT event_id AS pos, 1 AS copies FROM events WHERE event_id % 13 <> 0")
+def stream_redelivery(s, d):
+    """All records come twice, the second time in another batch and at other places: each is stored once."""
+    from ..streaming.jobs import STORED, ingest, run, written
+
+    root, e = folder(s, "again"), F.col("event_id")
+    rows = src.read(s, d, "events").where(e % 13 != 0).select(F.lit("events").alias("topic"), F.lit(0).alias("part"), e.alias("pos"), F.col("props").alias("payload"), F.sha2(e.cast("string"), 256).alias("idempotency_key"), e.alias("message_id"), F.col("user_id").cast("string").alias("entity_key"))
+    for shift in (0, 10**9):
+        rows.withColumn("pos", F.col("pos") + shift).coalesce(1).write.mode("append").parquet(f"{root}/inbox")
+    run(ingest(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/inbox"), root, "events"))
+    return written(s, f"{root}/received", STORED).groupBy((F.col("pos") % 10**9).alias("pos")).agg(F.count("*").cast("int").alias("copies"))
+
+
 _PLACES = "x AS (SELECT 'events' AS topic, CAST(event_id % 4 AS INTEGER) AS part, event_id // 8 AS pos, min(event_type) AS failure_kind, bool_or(event_id % 16 < 8 AND event_id % 4 = 0) AS there FROM events GROUP BY ALL)"
 
 
@@ -340,6 +375,27 @@ def admin_ingest_failures(s, d):
     return admin.ingest_failures({t: every.where(F.col("message_type") == t) for t in ("view", "click")})
 
 
+@query(sql="SELECT n_regionkey AS region, bool_and(n_nationkey % 6 <> 0) AS ready, coalesce(string_agg('app.' || n_name, ',' ORDER BY n_name) FILTER (WHERE n_nationkey % 6 = 0), '') AS unusable FROM nation GROUP BY 1")
+def admin_readiness(s, d):
+    """Which services (a region's tables each) are ready, and what stands against the others."""
+    n = src.read(s, d, "nation").select("n_regionkey", F.lit("app").alias("schema"), F.col("n_name").alias("table"), F.when(F.col("n_nationkey") % 6 == 0, "Denied").otherwise("Usable").alias("access"))
+    out = None
+    for k in range(5):
+        one = admin.readiness(n.where(F.col("n_regionkey") == k)).select(F.lit(k).cast(n.schema["n_regionkey"].dataType).alias("region"), "ready", F.array_join("unusable", ",").alias("unusable"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(sql="SELECT n_name AS name, 'Applied' AS first, 'SkippedAlreadyApplied' AS second FROM nation")
+def migrate_twice(s, d):
+    """A change log that makes one ledger a nation, run two times: the second time there is nothing to do."""
+    names = [r.n_name for r in src.read(s, d, "nation").select("n_name").collect()]
+    log, history = roles.change_log([("cache", n) for n in names], root=folder(s, "ledgers")), folder(s, "history")
+    first, second = roles.migrate(s, log, history), roles.migrate(s, log, history)
+    told = s.createDataFrame([(c.version, c.name.removeprefix("create cache ")) for c in log], "version long, name string").where("name <> 'init'")
+    return told.join(first.withColumnRenamed("action", "first"), "version").join(second.withColumnRenamed("action", "second"), "version").select("name", "first", "second")
+
+
 # Counters
 
 
