@@ -1,4 +1,4 @@
-"""Corpus operators for training data: ten DataFrame-in, DataFrame-out jobs.
+"""Corpus operators for training data: DataFrame-in, DataFrame-out jobs.
 
 Functions of this package that run inside Spark tasks are pickled by value, so
 executors need no copy of the repository on their path.

@@ -1,11 +1,11 @@
-"""The ten operators as queries over the synthetic tables, with production parameters."""
+"""The operators as queries over the synthetic tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, html_extraction, jaccard_join, language_id, lm_scoring, mixing, secrets, toxicity, url_filters
+from . import decontamination, fingerprints, html_extraction, jaccard_join, language_id, lm_scoring, mixing, periodic_runs, secrets, toxicity, url_filters
 
 # The rules of the URL query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -69,8 +69,12 @@ def op10_lm_scoring(spark, sf_dir):
     return lm_scoring.score(docs, vocab, lm_scoring.train(docs, vocab), ["doc_id"])
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_secrets, op3_jaccard_join, op4_fingerprints, op5_toxicity, op6_decontamination, op7_url_filters, op8_mixing, op9_language_id, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_secrets, op3_jaccard_join, op4_fingerprints, op5_toxicity, op6_decontamination, op7_url_filters, op8_mixing, op9_language_id, op10_lm_scoring, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
