@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, html_extraction, jaccard_join, language_id, lm_scoring, mixing, periodic_runs, secrets, toxicity, url_filters
+from . import decontamination, fingerprints, html_extraction, jaccard_join, language_id, lm_scoring, mixing, packing, periodic_runs, secrets, source_divergence, toxicity, url_filters
 
 # The rules of the URL query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -73,8 +73,18 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic_runs.digest(_read(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark, sf_dir):
+    return source_divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(packing.pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_secrets, op3_jaccard_join, op4_fingerprints, op5_toxicity, op6_decontamination, op7_url_filters, op8_mixing, op9_language_id, op10_lm_scoring, op11_periodic_runs)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_secrets, op3_jaccard_join, op4_fingerprints, op5_toxicity, op6_decontamination, op7_url_filters, op8_mixing, op9_language_id, op10_lm_scoring, op11_periodic_runs, op12_source_divergence, op13_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -101,4 +111,4 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 c AS (SELECT DISTINCT a AS node, a AS reach FROM e UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.reach),
 m AS (SELECT node, min(reach) AS least FROM c GROUP BY 1)
 SELECT doc_id, n AS n_shingles, coalesce(least, doc_id) AS component_id FROM n LEFT JOIN m ON m.node = n.doc_id"""
-    return {"op3_jaccard_join": op3, "op7_url_filters": op7}
+    return {"op3_jaccard_join": op3, "op7_url_filters": op7, "op12_source_divergence": source_divergence.ORACLE_SQL}
