@@ -209,9 +209,11 @@ class Bins:
                             other = most - one
                             if not stock[one] or one > other or not have >> other & 1 or (one == other and len(stock[one]) < 2):
                                 continue
-                            # The bin that gives the longer one gets this bin's; it must hold it and stay the emptier.
-                            b = given[stock[other][0][0]]
-                            if fill[b] - other + n < fill[x]:
+                            # The bin that gives the longer one gets this bin's; the squares have to grow all the same.
+                            b, c = given[stock[other][0][0]], given[stock[one][one == other][0]]
+                            after = {x: self.most, b: fill[b] - other + n}
+                            after[c] = after.get(c, fill[c]) - one
+                            if after[b] <= self.most and sum(f * f - fill[k] ** 2 for k, f in after.items()) > 0:
                                 best, gone, want = gap, out, (other, one)
                                 break
                         if best == gap:

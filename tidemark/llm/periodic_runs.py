@@ -31,7 +31,7 @@ from .textops import U64, lean, mix64, shingles, slices, word_hashes
 #: Words of a gram that a run repeats: a run of 12 words or more has at least 6 pairs of equal words in a row.
 GRAM = 6
 RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
-WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 
 
 def factors(w: list[int]) -> list[tuple[int, int, int]]:
@@ -253,7 +253,7 @@ def planted(doc_id: Column, text: Column) -> Column:
     """The text, of which each id with crc32(id) % 10 = 0 has its words from a = g % n on, g = floor(crc32(id) / 10), replaced by repeats of the first 1 + floor((n - a) / (3 + g % 8)) of them."""
     h = F.crc32(doc_id.cast("string"))
     g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    words = F.filter(F.split(text, GAP), lambda w: w != "")
 
     def repeat(w: Column) -> Column:
         n = F.size(w).cast("long")

@@ -5,8 +5,8 @@ functions turn it into smoothed shares p and emit the contribution floor((p - q)
 are summed by language and pair, map-side first, so a shuffle carries one row a pair and task. All arithmetic is on
 integers, exact for languages of up to 2.9e14 words.
 
-Only DataFrame functions are used. Terms are counted within each text, then by language, source and term with map-side
-combination, so a hot source or a frequent term costs each task one row. A term meets at most one row a source. The
+Only DataFrame functions are used. Terms are counted map-side first, so a hot source or a frequent term costs each task one row; a term
+meets one row a task, or one a source. Pairs of sources that both lack a term get the same from each such term: they are counted, not emitted. The
 frames of one row a language (its sources, their totals) hold as many numbers as there are groups; they are broadcast up to
 FEW groups, and beyond that they are copied SALTS times and joined with the vectors by language and salt. The pairs that come
 out are as many as the contract asks for, the square of a language's sources.
@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 
 from .textops import written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms; splitting is linear in a text, extracting matches isn't.
+GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A share of 1 is this many units; as a product of two factors, so that a division can be done in two steps within 64 bits.
 STEP, REST = 32_000, 31_250
 #: Up to so many groups, what is known of languages is broadcast (about 50 MB); beyond, it is copied SALTS times for a join.
 FEW, SALTS = 1_000_000, 64
+#: Up to so many sources of a language, vectors are summed place by place; beyond, their places are collected from counts by source.
+WIDE = 32
 
 
 def div(a: Column, b: Column) -> Column:
@@ -45,24 +48,30 @@ def apart(p: Column, q: Column) -> Column:
     return div((p - q) * (p - q), q)
 
 
-def let(value: Column, then) -> Column:
-    """then(value), where value is computed once however often `then` reads it, inside lambdas too."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents that have it); of all groups that have terms."""
-    found = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
-    # lower() changes other letters too, so only terms in ASCII get it.
-    found = F.transform(found, lambda t: F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER)))
-
-    def tally(words: Column) -> Column:
-        """Each distinct word of a sorted array with its occurrences."""
-        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
-        return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(words, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(words)) - i).cast("long").alias("n"))))
-
-    rows = docs.select("lang", "source", F.explode(let(F.sort_array(found), lambda w: F.when(F.size(w) > 0, tally(w)))).alias("t"))
-    return rows.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.sum("t.n").alias("n"), F.count("*").alias("docs"))
+def words(docs: DataFrame) -> DataFrame:
+    """The columns of docs but the text, and each term of each text: `term`, and `first`, 1 at a term's first place in its document, else 0."""
+    # lower() changes other letters too, so only texts in ASCII get it. An outer explode has no filter before it that would split and sort once more.
+    text = F.when(F.octet_length("text") == F.char_length("text"), F.lower("text")).otherwise(F.translate("text", UPPER, LOWER))
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*rest, F.sort_array(F.split(text, GAP)).alias("_w")).select(*rest, "_w", F.posexplode_outer("_w").alias("_k", "term"))
+    first = F.when(F.col("_k") == 0, 1).when(F.get("_w", F.col("_k") - 1) != F.col("term"), 1).otherwise(0)
+    return rows.where("term <> ''").select(*rest, "term", first.cast("long").alias("first"))
+
+
+def vectors(docs: DataFrame, groups: DataFrame, sources: DataFrame, least: int, few: bool) -> DataFrame:
+    """lang, term, counts (by place of the source among those of the language) of the terms in at least `least` documents."""
+    k = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    if few and k <= WIDE:
+        # One sum for each place, so that the vectors grow map-side and are shuffled once.
+        placed = sources.select(F.col("lang"), F.posexplode("sources").alias("_place", "source"))
+        rows = words(docs.join(F.broadcast(placed), ["lang", "source"]).select("lang", "_place", "text"))
+        sums = [F.sum(F.when(F.col("_place") == i, F.lit(1)).otherwise(F.lit(0)).cast("long")).alias(f"_{i}") for i in range(k)]
+        kept = rows.groupBy("lang", "term").agg(F.sum("first").alias("docs"), *sums).where(F.col("docs") >= least)
+        return _meet(kept, sources, few).select("lang", "term", F.slice(F.array(*[f"_{i}" for i in range(k)]) if k else F.array().cast("array<bigint>"), F.lit(1), F.size("sources")).alias("counts"))
+    counts = words(docs).groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
+    pivot = F.map_from_entries(F.collect_list(F.struct("source", "n")))
+    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), pivot.alias("by_source")).where(F.col("docs") >= least)
+    return _meet(kept, sources, few).select("lang", "term", F.transform("sources", lambda s: F.coalesce(F.try_element_at("by_source", s), F.lit(0).cast("long"))).alias("counts"))
 
 
 def _meet(vectors: DataFrame, langs: DataFrame, few: bool) -> DataFrame:
@@ -81,10 +90,7 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200) -> DataFrame:
     few = groups.count() <= FEW
     sources = groups.groupBy("lang").agg(F.sort_array(F.collect_list("source")).alias("sources"))
 
-    pivot = F.map_from_entries(F.collect_list(F.struct("source", "n")))
-    kept = term_counts(docs).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), pivot.alias("by_source")).where(F.col("docs") >= least)
-    kept = _meet(kept, sources, few).select("lang", "term", F.transform("sources", lambda s: F.coalesce(F.try_element_at("by_source", s), F.lit(0).cast("long"))).alias("counts"))
-    kept, _ = written(kept, "audit-vectors")
+    kept, _ = written(vectors(docs, groups, sources, least, few), "audit-vectors")
 
     totals = kept.select("lang", F.posexplode("counts").alias("place", "n")).groupBy("lang", "place").agg(F.sum("n").alias("n"), F.count("*").alias("terms"))
     langs = totals.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "n"))), lambda t: t["n"]).alias("totals"), F.max("terms").alias("terms"), F.sum("n").alias("total"))
@@ -96,20 +102,28 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200) -> DataFrame:
         share(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c), F.col("total"), F.col("terms")).alias("q"),
     )
 
-    every = F.flatten(F.transform("p", lambda p: F.transform("p", lambda q: apart(p, q))))
-    sums = shares.select("lang", F.size("p").alias("k"), F.posexplode(every).alias("pair", "f")).groupBy("lang", "k", "pair").agg(F.sum("f").alias("value"))
-    sums = sums.select("lang", div(F.col("pair"), F.col("k")).cast("int").alias("i"), (F.col("pair") % F.col("k")).alias("j"), "value")
+    # Of a source that has the term the contributions to all sources, of another those to the sources that have it; where neither has it, all terms contribute alike.
+    some = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.get("counts", i) > 0)
+    near = shares.select("lang", "counts", "p", some.alias("some")).select("*", F.transform("some", lambda i: F.get("p", i)).alias("p_some"))
+    near = near.select("*", F.posexplode_outer("p").alias("i", "own")).withColumn("has", F.get("counts", F.col("i")) > 0)
+    each = F.transform(F.when(F.col("has"), F.col("p")).otherwise(F.col("p_some")), lambda q: apart(F.col("own"), q))
+    near = near.select("lang", "i", "has", "some", F.posexplode_outer(each).alias("at", "f")).select("lang", "i", F.when(F.col("has"), F.col("at")).otherwise(F.get("some", F.col("at"))).alias("j"), "f")
+    sums = near.where("j is not null").groupBy("lang", "i", "j").agg(F.sum("f").alias("f"), F.count("*").alias("n"))
     placed = sources.select("lang", F.posexplode("sources").alias("i", "source"))
-    pairs = placed.join(placed.select("lang", F.col("i").alias("j"), F.col("source").alias("item")), "lang").where("i != j")
-    pairs = pairs.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
+    rest = langs.select("lang", "terms", F.posexplode("totals").alias("i", "n")).select("lang", "terms", "i", share(F.lit(0).cast("long"), F.col("n"), F.col("terms")).alias("none"))
+    placed = placed.join(rest, ["lang", "i"], "left")
+    pairs = placed.join(placed.select("lang", F.col("i").alias("j"), F.col("source").alias("item"), F.col("none").alias("other")), "lang").where("i != j").join(sums, ["lang", "i", "j"], "left")
+    alike = (F.col("terms") - F.coalesce("n", F.lit(0))) * apart(F.col("none"), F.col("other"))
+    value = F.coalesce(F.coalesce("f", F.lit(0)) + alike, F.lit(0).cast("long"))
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", value.alias("value"))
     by = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(by))
 
-    over = shares.select("lang", "term", "q", F.posexplode(F.arrays_zip("counts", "p")).alias("i", "own"))
+    over = shares.select("lang", "term", "q", F.posexplode_outer(F.arrays_zip("counts", "p")).alias("i", "own"))
     over = over.where((F.col("own.counts") > 0) & (F.col("own.p") > F.col("q"))).select("lang", "i", F.col("term").alias("item"), apart(F.col("own.p"), F.col("q")).alias("value"))
     # The limit on ranks goes before the shuffle, so a group's terms never meet in one task.
     over = over.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "i").orderBy(F.col("value").desc(), "item"))).where(F.col("rank") <= top)
-    terms = over.join(placed, ["lang", "i"]).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    terms = over.join(placed.select("lang", "i", "source"), ["lang", "i"]).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.unionByName(terms)
 
 
