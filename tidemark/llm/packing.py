@@ -7,7 +7,7 @@ underfull bins it exchanges one piece for one, two for one or one for two, or mo
 to a fuller bin, so that the sum of squared fills grows, until bins are empty. The OPEN emptiest bins of a block are taken apart
 and packed again with those of FAN other blocks, level by level, so that about what one block can't fill stays underfull in all.
 
-Text is tokenized in chunks of white space and what follows it, each distinct chunk once and kept by a task (2 x CACHE bytes at
+Text is tokenized in chunks of white space and what follows it (a plain word apart from punctuation after it), each distinct chunk once and kept by a task (2 x CACHE bytes at
 most; the least recent go); these are the ids of the whole text, as no token of the byte-level vocabulary goes over the edge before white
 space that follows other characters. Texts with the control characters 0x1C to 0x1F, which not all call white space, go through whole.
 
@@ -20,6 +20,7 @@ the row number; texts of any length are tokenized whole; an empty table gives an
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from bisect import insort
@@ -40,7 +41,8 @@ CACHE = 64 << 20
 class Chunks:
     """Token ids of texts as little-endian 32-bit integers, with each distinct chunk tokenized once."""
 
-    SPLIT, ODD = re.compile(r"\s*\S+|\s+"), re.compile("[\x1c-\x1f]")
+    #: Words of common Latin letters stand apart from the punctuation after them, as a token of letters ends before it.
+    SPLIT, ODD = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?)]|$)|\s*\S+|\s+"), re.compile("[\x1c-\x1f]")
 
     def __init__(self, tokenizer: str, most: int = CACHE):
         import os
@@ -49,29 +51,48 @@ class Chunks:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model, self.most, self.kept, self.older, self.size = Tokenizer.from_str(tokenizer), most, {}, {}, 0
+        vocabulary = self.model.get_vocab()
+        #: Bytes of each token: in a byte-level vocabulary a byte is written as one character.
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def each(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that begin with white space and end with something else: they are tokenized as one text, whose tokens' widths tell them apart."""
+        if not chunks:
+            return []
+        ids = self.whole(["".join(chunks)])[0]
+        ends = np.cumsum(self.width[np.frombuffer(ids, "<u4")])
+        want = np.cumsum([len(c.encode()) for c in chunks])
+        at = np.searchsorted(ends, want)
+        if (ends[np.minimum(at, len(ends) - 1)] != want).any():  # a vocabulary with tokens over such edges
+            return self.whole(chunks)
+        cuts = [0, *(4 * at + 4).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def ids(self, text: str) -> bytes:
         if self.ODD.search(text):
             return self.whole([text])[0]
         chunks = self.SPLIT.findall(text)
+        if not chunks:
+            return b""
         kept = self.kept
-        try:
-            return b"".join([kept[c] for c in chunks])
-        except KeyError:
-            pass
-        if self.size > self.most:
-            # Chunks that come again move from the older half to the newer one.
-            self.older, self.kept, self.size = kept, {}, 0
-            kept = self.kept
-        new = [c for c in dict.fromkeys(chunks) if c not in kept]
-        again = [c for c in new if c in self.older]
-        new = [c for c in new if c not in self.older]
-        for c, i in [*((c, self.older[c]) for c in again), *zip(new, self.whole(new), strict=True)]:
-            kept[c] = i
-            self.size += 160 + 2 * len(c) + len(i)
+        new = set(chunks).difference(kept)
+        if new:
+            edges = {c for c in new if not c[0].isspace() or c[-1].isspace()}
+            again = {c: self.older[c] for c in new if c in self.older} if self.older else {}
+            inside, edges = list(new - edges - again.keys()), list(edges - again.keys())
+            found = again | dict(zip(inside, self.each(inside), strict=True)) | dict(zip(edges, self.whole(edges), strict=True))
+            if self.size > self.most:
+                # Chunks that come again move from the older half to the newer one.
+                self.older, self.kept, self.size = kept, {}, 0
+                kept = self.kept
+                found |= {c: self.older[c] for c in set(chunks) - new}
+            kept.update(found)
+            self.size += 160 * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))
         return b"".join([kept[c] for c in chunks])
 
 
@@ -85,6 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = MOST, end: int = END, id
 
     def apply(batches):
         last, chunks = np.array([end], "<u4").tobytes(), Chunks(model.value)
+        gc.disable()  # hundreds of thousands of small objects, none of them in a cycle
 
         def out(column, rows, parts):
             own = column.take(pa.array([r[0] for r in rows], pa.int64()))
@@ -114,6 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = MOST, end: int = END, id
                     rows, parts, held = [], [], 0
             if rows:
                 yield out(column, rows, parts)
+        gc.enable()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(apply), schema)
 
