@@ -6,21 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import headers, identity, times
+from .entities import Entity, json_value, uuid
 
 #: What a refused record is stored as.
 KINDS = ("UnexpectedTopic", "MissingPayload", "InvalidPayload", "MissingIdempotencyKey", "InvalidHeader")
-_UUID = r"\A(?:urn:uuid:)?(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|\{[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\})\z"
 #: Columns of a decoded record.
 COLUMNS = ("topic", "part", "pos", "record_key", "entity_key", "payload", "message_id", "correlation_id", "causation_id", "idempotency_key", "idempotency_source", "occurred_us", "headers", "traceparent", "tracestate", "failure_kind", "failure_header")
 
 
-def uuid(text: Column) -> Column:
-    """A UUID in any of its written forms as lower-case text with hyphens; null for anything else."""
-    digits = F.lower(F.regexp_replace(F.regexp_replace(text, "^urn:uuid:", ""), "[{}-]", ""))
-    parts = [F.substring(digits, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.when(text.rlike(_UUID), F.concat_ws("-", *parts))
-
-
 def derived_uuid(*of: Column, salt: str) -> Column:
     """An id made from where a record stands, so that reading it again gives the same one."""
     return uuid(F.substring(F.sha2(F.concat_ws("/", F.lit(salt), *of), 256), 1, 32))
@@ -31,23 +24,28 @@ def json_long(payload: Column, field: str) -> Column:
     return F.get_json_object(payload, f"$.{field}").try_cast("bigint")
 
 
-def decode(records: DataFrame, topic: str, prefix: str = headers.PREFIX) -> DataFrame:
+def decode(records: DataFrame, topic: str, prefix: str = headers.PREFIX, entity: Entity | None = None) -> DataFrame:
     """records (topic, partition, offset, key, value, timestamp, headers: what the broker's connector gives) as COLUMNS.
 
-    Checks, in this order: topic, payload there, payload JSON, idempotency key there, its form, then the forms of occurred-at,
+    Checks, in this order: topic, payload there, payload JSON (with an entity: of its type, in sound UTF-8), idempotency key there, its form, then the forms of occurred-at,
     message-id, correlation-id and causation-id where they are there (`failure_header` names the header). An idempotency
     source that isn't JSON is dropped. Missing ids derive from topic, partition and offset, a missing event time is the
-    record's own.
+    record's own. With an entity the payload comes out as its declared fields, and the entity key is the payload's own.
     """
     rows = records.withColumn("_h", headers.parse(F.col("headers"), prefix)).withColumn("_trace", headers.trace_context(F.col("_h.trace")))
     ours = lambda name: F.try_element_at(F.col("_h.reserved"), F.lit(prefix + name))
     payload = F.make_valid_utf8(F.col("value").cast("string"))
     key, occurred = ours("idempotency-key"), times.parse(ours("occurred-at"))
     bad = lambda name, value: ours(name).isNotNull() & value.isNull()
+    if entity is None:
+        sound = json_value(payload).isNotNull()
+    else:
+        rows = rows.withColumn("_typed", entity.judge(payload))
+        sound = F.is_valid_utf8(F.col("value").cast("string")) & F.col("_typed.ok")
     checks = [
         (F.col("topic") != topic, 0, None),
         (F.col("value").isNull(), 1, None),
-        (F.try_parse_json(payload).isNull(), 2, None),
+        (~sound, 2, None),
         (key.isNull(), 3, None),
         (~key.rlike(r"\A[0-9a-fA-F]{64}\z"), 4, "idempotency-key"),
         (bad("occurred-at", occurred), 4, "occurred-at"),
@@ -58,10 +56,14 @@ def decode(records: DataFrame, topic: str, prefix: str = headers.PREFIX) -> Data
         kind, name = F.when(test, KINDS[k]).otherwise(kind), F.when(test, F.lit(header).cast("string")).otherwise(name)
     place = [F.col(c).cast("string") for c in ("topic", "partition", "offset")]
     source = ours("idempotency-source")
+    whose = identity.entity_key(ours("entity-key"), F.col("key"))
+    if entity is not None:
+        typed = F.when(F.col("_typed.ok"), F.col("_typed.value"))
+        whose, payload = F.coalesce(typed[entity.key].cast("string"), whose), F.coalesce(entity.write(typed), payload)
     return rows.select(
-        "topic", F.col("partition").alias("part"), F.col("offset").alias("pos"), F.col("key").alias("record_key"), identity.entity_key(ours("entity-key"), F.col("key")).alias("entity_key"), payload.alias("payload"),
+        "topic", F.col("partition").alias("part"), F.col("offset").alias("pos"), F.col("key").alias("record_key"), whose.alias("entity_key"), payload.alias("payload"),
         F.coalesce(uuid(ours("message-id")), derived_uuid(*place, salt="message")).alias("message_id"), F.coalesce(uuid(ours("correlation-id")), derived_uuid(*place, salt="correlation")).alias("correlation_id"),
-        uuid(ours("causation-id")).alias("causation_id"), F.lower(key).alias("idempotency_key"), F.when(F.try_parse_json(source).isNotNull(), source).alias("idempotency_source"),
+        uuid(ours("causation-id")).alias("causation_id"), F.lower(key).alias("idempotency_key"), F.when(json_value(source).isNotNull(), source).alias("idempotency_source"),
         F.coalesce(occurred, F.unix_micros("timestamp")).alias("occurred_us"), F.col("_h.user").alias("headers"), F.col("_trace.traceparent").alias("traceparent"), F.col("_trace.tracestate").alias("tracestate"),
         kind.alias("failure_kind"), name.alias("failure_header"),
     )

@@ -21,12 +21,14 @@ def outcomes(log: DataFrame, arrival: str) -> DataFrame:
     return seen.withColumn("outcome", F.when(F.col("_seen").isNull() | (F.col("pos") > F.col("_seen")), "Applied").otherwise("Ignored")).drop("_seen")
 
 
-def _seen(log: DataFrame, keys: list[str], arrival: str) -> DataFrame:
-    """Adds `_seen`, the highest pos of earlier records with the same keys.
+def _seen(log: DataFrame, keys: list[str], arrival: str, few: bool = False) -> DataFrame:
+    """Adds `_seen`, the highest pos of earlier records with the same keys. few: the log is a bounded batch, one window does.
 
     Records are cut into ranges of arrival, each range of a key is ordered on its own and the maxima of earlier
     ranges are joined, so that a key with a large share of the log is spread over tasks.
     """
+    if few:
+        return log.withColumn("_seen", F.max("pos").over(Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)))
     n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(log.approxQuantile(arrival, [i / n for i in range(1, n)], 0.01))) if n > 1 else []
     rows = log.withColumn("_range", F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col(arrival))))
@@ -36,7 +38,7 @@ def _seen(log: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     return rows.withColumn("_in", inside).join(tops, [*keys, "_range"]).withColumn("_seen", F.greatest("_in", "_base")).drop("_range", "_in", "_base")
 
 
-def fold(log: DataFrame, declared: str, arrival: str = "arrival") -> DataFrame:
+def fold(log: DataFrame, declared: str, arrival: str = "arrival", few: bool = False) -> DataFrame:
     """Each record with its outcome (Applied, Ignored, Migrated, CacheOriginMismatch) for logs with several origins.
 
     Arrival is a number, different within an entity; entity, topic and part are never null.
@@ -51,7 +53,7 @@ def fold(log: DataFrame, declared: str, arrival: str = "arrival") -> DataFrame:
     firsts = log.groupBy("entity_key").agg(
         F.min(at).alias("_at"), F.min_by(F.struct("topic", "part"), at).alias("_first"), F.min(F.when(ours, at)).alias("_ours_at"), F.min_by("part", F.when(ours, at)).alias("_ours_part")
     )
-    rows = _seen(log, ["entity_key", "topic", "part"], arrival).join(firsts, "entity_key")
+    rows = _seen(log, ["entity_key", "topic", "part"], arrival, few).join(firsts, "entity_key")
     guard = F.when(F.col("_seen").isNull() | (F.col("pos") > F.col("_seen")), "Applied").otherwise("Ignored")
     late = F.coalesce(at > F.col("_ours_at"), F.lit(False))
     out = (
@@ -72,11 +74,11 @@ def state_after(outcomes: DataFrame, arrival: str = "arrival") -> DataFrame:
     return rows.select("entity_key", "s.payload", "s.topic", "s.part", F.col("s.pos").alias("applied_pos"))
 
 
-def advance(cached: DataFrame, batch: DataFrame, declared: str, arrival: str = "arrival") -> DataFrame:
+def advance(cached: DataFrame, batch: DataFrame, declared: str, arrival: str = "arrival", few: bool = False) -> DataFrame:
     """Outcomes of a batch of records on a cache: the cached rows of its entities come first, as records of their own (outcome Cached)."""
     have = cached.join(batch.select("entity_key").distinct(), "entity_key", "left_semi").withColumn("pos", F.col("applied_pos")).withColumn(arrival, F.lit(-1).cast("long"))
     both = have.select("entity_key", "payload", "topic", "part", "pos", arrival).unionByName(batch.select("entity_key", "payload", "topic", "part", "pos", arrival))
-    return fold(both, declared, arrival).withColumn("outcome", F.when(F.col(arrival) < 0, "Cached").otherwise(F.col("outcome")))
+    return fold(both, declared, arrival, few).withColumn("outcome", F.when(F.col(arrival) < 0, "Cached").otherwise(F.col("outcome")))
 
 
 def availability(products: DataFrame, orders: DataFrame) -> DataFrame:

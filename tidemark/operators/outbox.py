@@ -20,6 +20,11 @@ LEASE = ("claim_expires_s", "claim_id", "claimed_by")
 OVERTAKEN = "superseded by newer pending state for the same entity"
 
 
+def other_than(*statuses: str) -> Column:
+    """Rows of none of the statuses, those without a status among them."""
+    return F.col("status").isNull() | ~F.col("status").isin(*statuses)
+
+
 def _entity():
     """Rows without entity stand alone."""
     return Window.partitionBy(F.coalesce(F.concat(F.lit("e"), "entity_key"), F.concat(F.lit("m"), F.col("message_id").cast("string"))))
@@ -30,7 +35,7 @@ def supersede(ledger: DataFrame) -> DataFrame:
     newest = ledger.where("status = 'Pending' and entity_key is not null").groupBy("entity_key").agg(F.max("enqueue_order").alias("_newest"))
     waiting = ledger.where("status = 'Pending'").join(newest, "entity_key", "left").withColumn("_old", F.coalesce(F.col("enqueue_order") < F.col("_newest"), F.lit(False)))
     out = waiting.withColumns({"status": F.when(F.col("_old"), "Superseded").otherwise("Pending"), **{c: F.when(~F.col("_old"), F.col(c)) for c in LEASE if c in ledger.columns}})
-    return ledger.where("status is null or status <> 'Pending'").unionByName(out.select(*ledger.columns))
+    return ledger.where(other_than("Pending")).unionByName(out.select(*ledger.columns))
 
 
 def with_lease(ledger: DataFrame) -> DataFrame:
@@ -82,7 +87,7 @@ def collapse_into(ledger: DataFrame, now: int, limit: int) -> DataFrame:
     old = collapse(ledger, now, limit).select("message_id", F.lit(True).alias("_old"))
     waiting = ledger.where("status = 'Pending'").join(old, "message_id", "left").withColumn("_old", F.coalesce("_old", F.lit(False)))
     out = waiting.withColumns({"status": F.when(F.col("_old"), "Superseded").otherwise("Pending"), "last_error": F.when(F.col("_old"), OVERTAKEN).otherwise(F.col("last_error")), **{c: F.when(~F.col("_old"), F.col(c)) for c in LEASE}})
-    return ledger.where("status is null or status <> 'Pending'").unionByName(out.select(*ledger.columns))
+    return ledger.where(other_than("Pending")).unionByName(out.select(*ledger.columns))
 
 
 def mark(ledger: DataFrame, acks: DataFrame) -> DataFrame:
@@ -128,14 +133,8 @@ def rejection(prefix: str = headers.PREFIX) -> Column:
     return F.when(F.coalesce(identity.reserved(F.col("headers"), prefix), F.lit(False)), "ReservedHeader").when(F.col("idempotency_key").isNull(), "MissingIdempotencyKey")
 
 
-def enqueue(ledger: DataFrame, messages: DataFrame, now: int, prefix: str = headers.PREFIX) -> DataFrame:
-    """The ledger with messages (seq, message_id, entity_key, partition_key, idempotency_key, headers map) added in order of seq.
-
-    Messages with reserved headers leave no row and those without identity a Failed one; `rejection` tells the caller which.
-    Every pending row of an entity that gets a later message becomes Superseded and loses its lease. Only
-    pending rows meet the new ones; the others pass by unshuffled.
-    """
-    top = ledger.agg(F.coalesce(F.max("enqueue_order"), F.lit(0))).first()[0]
+def enqueued(live: DataFrame, messages: DataFrame, now: int, top: int, prefix: str = headers.PREFIX) -> DataFrame:
+    """Rows that messages (see `enqueue`) add or change, given the pending rows and the highest number so far: the new ones, and those that they supersede."""
     sent = messages.withColumn("_why", rejection(prefix)).where("_why is null or _why <> 'ReservedHeader'")
     new = numbered(sent, "seq", "message_id", start=top).withColumns(
         {
@@ -146,46 +145,58 @@ def enqueue(ledger: DataFrame, messages: DataFrame, now: int, prefix: str = head
             "created_s": F.lit(now).cast("long"),
         }
     )
-    new = new.drop("_why", "seq")
-    waiting = ledger.where("status = 'Pending'").unionByName(new, allowMissingColumns=True)
+    new = new.drop("_why", "seq").withColumn("_new", F.lit(True))
+    waiting = live.where("status = 'Pending'").withColumn("_new", F.lit(False)).unionByName(new, allowMissingColumns=True)
     newest = new.where("status = 'Pending'").groupBy("entity_key").agg(F.max("enqueue_order").alias("_newest"))
     out = waiting.join(newest, "entity_key", "left").withColumn("_old", F.coalesce((F.col("status") == "Pending") & (F.col("enqueue_order") < F.col("_newest")), F.lit(False)))
-    out = out.withColumns({"status": F.when(F.col("_old"), "Superseded").otherwise(F.col("status")), **{c: F.when(~F.col("_old"), F.col(c)) for c in LEASE if c in out.columns}})
-    return ledger.where("status <> 'Pending'").unionByName(out.drop("_old", "_newest"), allowMissingColumns=True)
+    return out.withColumns({"status": F.when(F.col("_old"), "Superseded").otherwise(F.col("status")), **{c: F.when(~F.col("_old"), F.col(c)) for c in LEASE if c in out.columns}}).drop("_newest")
 
 
-def claim_into(ledger: DataFrame, now: int, limit: int, lease: int = 30, claim_id: str = "claim", worker: str = "relay") -> DataFrame:
-    """The whole ledger after a claim: the batch is Publishing under its lease, older pending rows of its entities are Superseded."""
-    ledger = with_lease(ledger)
+def enqueue(ledger: DataFrame, messages: DataFrame, now: int, prefix: str = headers.PREFIX) -> DataFrame:
+    """The ledger with messages (seq, message_id, entity_key, partition_key, idempotency_key, headers map) added in order of seq.
+
+    Messages with reserved headers leave no row and those without identity a Failed one; `rejection` tells the caller which.
+    Every pending row of an entity that gets a later message becomes Superseded and loses its lease. Only
+    pending rows meet the new ones; the others pass by unshuffled.
+    """
+    top = ledger.agg(F.coalesce(F.max("enqueue_order"), F.lit(0))).first()[0]
+    return ledger.where(other_than("Pending")).unionByName(enqueued(ledger, messages, now, top, prefix).drop("_old", "_new"), allowMissingColumns=True)
+
+
+def _claimed(ledger: DataFrame, now: int, limit: int, lease: int, claim_id: str, worker: str) -> DataFrame:
+    """The live rows after a claim, with `_is` (claimed) and `_old` (superseded by it)."""
     batch = claim(ledger, now, limit, lease)
     picked = batch.select("message_id", F.lit(True).alias("_mine"), F.col("claim_expires_s").alias("_until"))
     front = batch.where("entity_key is not null").groupBy("entity_key").agg(F.max("enqueue_order").alias("_front"))
     live = ledger.where(F.col("status").isin("Pending", "Publishing")).join(picked, "message_id", "left").join(front, "entity_key", "left")
     mine, old = F.col("_mine").isNotNull(), F.coalesce((F.col("status") == "Pending") & (F.col("enqueue_order") < F.col("_front")), F.lit(False))
     held = lambda c, v: F.when(mine, v).when(~old, F.col(c))
-    live = live.withColumns({"_is": mine, "_old": old}).withColumns(
+    return live.withColumns({"_is": mine, "_old": old}).withColumns(
         {
             "attempts": F.when(mine, F.col("attempts") + 1).otherwise(F.col("attempts")),
             "claim_expires_s": held("claim_expires_s", F.col("_until")), "claim_id": held("claim_id", F.lit(claim_id)), "claimed_by": held("claimed_by", F.lit(worker)),
             "status": F.when(mine, "Publishing").when(old, "Superseded").otherwise(F.col("status")),
         }
     )
-    return ledger.where(~F.col("status").isin("Pending", "Publishing")).unionByName(live.select(*ledger.columns))
-
 
-def acknowledge(ledger: DataFrame, acks: DataFrame, now: int, retry_after: int = 1) -> DataFrame:
-    """The whole ledger after acknowledgements (message_id, claim_id, error or null), each on its own.
 
-    Published without error; with one, Pending again `retry_after` seconds later. Stale or unknown claims change
-    nothing (`mark` says which they are).
-    """
+def claim_into(ledger: DataFrame, now: int, limit: int, lease: int = 30, claim_id: str = "claim", worker: str = "relay") -> DataFrame:
+    """The whole ledger after a claim: the batch is Publishing under its lease, older pending rows of its entities are Superseded."""
     ledger = with_lease(ledger)
-    if "published_s" not in ledger.columns:
-        ledger = ledger.withColumn("published_s", F.lit(None).cast("long"))
+    return ledger.where(other_than("Pending", "Publishing")).unionByName(_claimed(ledger, now, limit, lease, claim_id, worker).select(*ledger.columns))
+
+
+def claimed(live: DataFrame, now: int, limit: int, lease: int = 30, claim_id: str = "claim", worker: str = "relay") -> DataFrame:
+    """Only the rows that a claim changes: the batch, and what it supersedes."""
+    return _claimed(with_lease(live), now, limit, lease, claim_id, worker).where("_is or _old").select(*with_lease(live).columns)
+
+
+def _acknowledged(ledger: DataFrame, acks: DataFrame, now: int, retry_after: float) -> DataFrame:
+    """The rows in flight after acknowledgements, with `_hit`: it was this row's claim."""
     ack = acks.select("message_id", F.col("claim_id").alias("_claim"), F.col("error").alias("_error"))
     flying = ledger.where("status = 'Publishing'").join(ack, "message_id", "left").withColumn("_hit", F.coalesce(F.col("_claim") == F.col("claim_id"), F.lit(False)))
     bad, hit = F.col("_error").isNotNull(), F.col("_hit")
-    done = flying.withColumns(
+    return flying.withColumns(
         {
             "status": F.when(hit, F.when(bad, "Pending").otherwise("Published")).otherwise(F.col("status")),
             "next_attempt_s": F.when(hit & bad, F.lit(now + retry_after).cast("long")).otherwise(F.col("next_attempt_s")),
@@ -194,7 +205,27 @@ def acknowledge(ledger: DataFrame, acks: DataFrame, now: int, retry_after: int =
             **{c: F.when(~hit, F.col(c)) for c in LEASE},
         }
     )
-    return ledger.where("status <> 'Publishing'").unionByName(done.select(*ledger.columns))
+
+
+def _with_published(ledger: DataFrame) -> DataFrame:
+    ledger = with_lease(ledger)
+    return ledger if "published_s" in ledger.columns else ledger.withColumn("published_s", F.lit(None).cast("long"))
+
+
+def acknowledge(ledger: DataFrame, acks: DataFrame, now: int, retry_after: int = 1) -> DataFrame:
+    """The whole ledger after acknowledgements (message_id, claim_id, error or null), each on its own.
+
+    Published without error; with one, Pending again `retry_after` seconds later. Stale or unknown claims change
+    nothing (`mark` says which they are).
+    """
+    ledger = _with_published(ledger)
+    return ledger.where(other_than("Publishing")).unionByName(_acknowledged(ledger, acks, now, retry_after).select(*ledger.columns))
+
+
+def acknowledged(live: DataFrame, acks: DataFrame, now: int, retry_after: int = 1) -> DataFrame:
+    """Only the rows that acknowledgements change."""
+    live = _with_published(live)
+    return _acknowledged(live, acks, now, retry_after).where("_hit").select(*live.columns)
 
 
 def redrive(*_, **__) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.entities import Entity, json_value
 from ..sources.scratch import cut
 from .outbox import numbered
 
@@ -31,14 +32,21 @@ def dense_depth(ledger: DataFrame, statuses: tuple) -> DataFrame:
     return every.join(ledger.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def due(ledger: DataFrame, now: int, limit: int) -> DataFrame:
-    ready = (F.col("status") == "Pending") | ((F.col("status") == "Retryable") & (F.col("due_s") <= now))
+def due_column(ledger: DataFrame) -> tuple[str, int]:
+    """Where a ledger keeps when a row is due, and how many of its units are a second: due_us, or due_s where it has no other."""
+    return ("due_us", 1_000_000) if "due_us" in ledger.columns else ("due_s", 1)
+
+
+def due(ledger: DataFrame, now: float, limit: int) -> DataFrame:
+    name, unit = due_column(ledger)
+    ready = (F.col("status") == "Pending") | ((F.col("status") == "Retryable") & (F.col(name) <= int(now * unit)))
     return ledger.where(ready).orderBy("created_s", "message_id").limit(limit)
 
 
 def stuck(ledger: DataFrame, now: int, after: int, limit: int) -> DataFrame:
     """Overdue rows, longest first."""
-    at = F.coalesce("due_s", "created_s")
+    name, unit = due_column(ledger)
+    at = F.coalesce(F.floor(F.col(name) / unit) if unit > 1 else F.col(name), F.col("created_s"))
     return ledger.where(F.col("status").isin("Pending", "Retryable")).withColumn("due_at_s", at).where(F.col("due_at_s") < now - after).orderBy("due_at_s", "created_s", "message_id").limit(limit)
 
 
@@ -55,20 +63,22 @@ def dead_letters(ledger: DataFrame, limit: int, **only) -> DataFrame:
 
 def redrive(ledger: DataFrame, limit: int, clear: bool = False, **only) -> DataFrame:
     """The ledger's rows that go back to Pending; attempts and failure facts stay unless cleared."""
-    out = dead_letters(ledger, limit, **only).withColumns({"status": F.lit("Pending"), "due_s": F.lit(None).cast("long")})
+    out = dead_letters(ledger, limit, **only).withColumns({"status": F.lit("Pending"), due_column(ledger)[0]: F.lit(None).cast("long")})
     if clear:
         out = out.withColumns({"attempts": F.lit(0), "last_failed_s": F.lit(None).cast("long"), "kind": F.lit(None).cast("string")})
     return out
 
 
 def backoff(attempts: Column, initial: float = 1.0, most: float = 300.0, multiplier: float = 2.0) -> Column:
-    """Seconds before the next attempt without jitter, by the attempts made before this failure; never infinite."""
-    return F.least(F.lit(initial) * F.pow(F.lit(multiplier), F.least(attempts, F.lit(60)).cast("double")), F.lit(most))
+    """Seconds before the next attempt without jitter, by the attempts made before this failure: the power may become infinite, the least of it and `most` doesn't."""
+    return F.least(F.lit(float(initial)) * F.pow(F.lit(float(multiplier)), F.greatest(attempts, F.lit(0)).cast("double")), F.lit(float(most)))
 
 
-def jittered(base: Column, seed: int, *of: Column | str) -> Column:
-    """Between half the base and all of it, by a hash of the columns: a row's retries differ, reading it again doesn't change them."""
-    return base / 2 + F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 20)) / float(1 << 20) * base / 2
+def jittered(base_us: Column, seed: int, *of: Column | str) -> Column:
+    """Microseconds between half the base and all of it, by a hash of the columns: a row's retries differ, reading it again doesn't change them."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in of])), 1, 8), 16, 10).cast("long")
+    half = F.floor(base_us / 2)
+    return half + F.shiftright((base_us - half) * h, 32)
 
 
 def after_failure(attempts: Column, most: int, terminal: Column) -> Column:
@@ -81,14 +91,14 @@ def bounded(errors: Column, new: Column, most: int) -> Column:
     return F.slice(every, F.greatest(F.size(every) - most + 1, F.lit(1)), F.lit(most))
 
 
-def classify(records: DataFrame, topic: str) -> DataFrame:
-    """First failing check of each record (topic, payload, idempotency_key), or null; `envelope.decode` checks whole records with their headers."""
+def classify(records: DataFrame, topic: str, entity: Entity | None = None) -> DataFrame:
+    """First failing check of each record (topic, payload, idempotency_key), or null; with an entity the payload has to be of its type; `envelope.decode` checks whole records with their headers."""
     bad = (
         F.when(F.col("topic") != topic, "UnexpectedTopic")
         .when(F.col("payload").isNull(), "MissingPayload")
-        .when(F.try_parse_json("payload").isNull(), "InvalidPayload")
+        .when(json_value(F.col("payload")).isNull() if entity is None else ~entity.conforms(F.col("payload")), "InvalidPayload")
         .when(F.col("idempotency_key").isNull(), "MissingIdempotencyKey")
-        .when(~F.col("idempotency_key").rlike("^[0-9a-fA-F]{64}$"), "InvalidHeader")
+        .when(~F.col("idempotency_key").rlike(r"\A[0-9a-fA-F]{64}\z"), "InvalidHeader")
     )
     return records.withColumn("failure_kind", bad)
 
@@ -176,23 +186,27 @@ def route(rows: DataFrame, types: DataFrame) -> DataFrame:
     return rows.join(known, "message_type", "left").withColumn("failure", F.when(F.col("_known").isNull(), "MissingHandler")).select(*rows.columns, "failure")
 
 
-def settle(rows: DataFrame, now: int, max_attempts: int = 10, initial: float = 1.0, most: float = 300.0, multiplier: float = 2.0, errors_limit: int = 20, stored: str = "kind", jitter: int | None = None) -> DataFrame:
+def settle(rows: DataFrame, now: float, max_attempts: int = 10, initial: float = 1.0, most: float = 300.0, multiplier: float = 2.0, errors_limit: int = 20, stored: str = "kind", jitter: int | None = None) -> DataFrame:
     """Ledger rows after dispatch, from `failure` (null: handled or ignored) and `terminal`.
 
     Handled rows are Processed. Failed ones count an attempt, keep the newest errors, and are Retryable at
-    now plus the backoff (with jitter, a seed: between half of it and all), or Failed when terminal or out of attempts.
+    now plus the backoff (with jitter, a seed: between half of it and all; in microseconds where the ledger has due_us, else
+    rounded up to seconds), or Failed when terminal or out of attempts.
     """
     bad = F.col("failure").isNotNull()
     status = F.when(~bad, "Processed").otherwise(after_failure(F.col("attempts"), max_attempts, F.coalesce("terminal", F.lit(False))))
-    base = backoff(F.col("attempts"), initial, most, multiplier)
-    wait = F.ceil(base if jitter is None else jittered(base, jitter, "message_id", "attempts")).cast("long")
+    base = F.floor(backoff(F.col("attempts"), initial, most, multiplier) * 1_000_000).cast("long")
+    wait = base if jitter is None else jittered(base, jitter, "message_id", "attempts")
+    name, unit = due_column(rows)
+    at = F.lit(int(now * 1_000_000)) + wait
+    at = at if unit > 1 else F.ceil(at / 1_000_000).cast("long")
     errors = F.col("errors") if "errors" in rows.columns else F.lit(None).cast("array<string>")
     out = rows.withColumn("_status", status)
     return out.withColumns(
         {
-            "due_s": F.when(F.col("_status") == "Retryable", F.lit(now) + wait),
+            name: F.when(F.col("_status") == "Retryable", at),
             "errors": F.when(bad, bounded(errors, F.col("failure"), errors_limit)).otherwise(errors),
-            "last_failed_s": F.when(bad, F.lit(now).cast("long")).otherwise(F.col("last_failed_s")),
+            "last_failed_s": F.when(bad, F.lit(int(now)).cast("long")).otherwise(F.col("last_failed_s")),
             stored: F.when(bad, F.col("failure")).otherwise(F.col(stored)),
             "attempts": F.when(bad, F.col("attempts") + 1).otherwise(F.col("attempts")),
             "status": F.col("_status"),

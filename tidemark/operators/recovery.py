@@ -64,22 +64,21 @@ class Recovery:
         return chosen
 
     def run(self, ledger: DataFrame, now: int, request: Request = Request()) -> tuple[DataFrame, list[Outcome]]:
-        """The send ledger with everything enqueued, and what each source did: Done, or Failed with the page at which it stopped.
+        """The send ledger with everything enqueued, and what each source did: Done, or Failed with the last key before the one that it stopped at.
 
-        A state that names another entity fails its source: nothing of the page it is on, or of later ones, is sent. Sources after it don't start.
+        A state that names another entity fails its source: keys before it are sent, it and those after it aren't. Pages count as far as they were begun.
+        Sources after it don't start.
         """
         report: list[Outcome] = []
         for source in self.check(request):
             keys = source.keys(request.after)
             states = source.load(keys)
             rows = resync.loaded(keys, states)
-            pages = resync.progress(rows, request.page)
-            stop = pages.where("mismatched > 0").agg(F.min("page")).first()[0]
-            good = pages if stop is None else pages.where(F.col("page") < stop)
-            t = good.agg(F.count("*").alias("n"), F.sum("enqueued").alias("e"), F.sum("skipped").alias("s"), F.max("last_key").alias("k")).first()
+            good, stop = resync.before_mismatch(rows)
+            t = resync.progress(good, request.page).agg(F.count("*").alias("n"), F.sum("enqueued").alias("e"), F.sum("skipped").alias("s"), F.max("last_key").alias("k")).first()
             last = t.k if t.n else request.after
             if t.n:
-                upto = keys if stop is None else keys.where(F.col("entity_key") <= t.k)
+                upto = keys if stop is None else keys.where(F.col("entity_key") < stop)
                 ledger = resync.republish(ledger, upto, states.join(upto, "entity_key", "left_semi"), now)
             report.append(Outcome(source.name, "Done" if stop is None else "Failed", t.n, t.e or 0, t.s or 0, last))
             if stop is not None:

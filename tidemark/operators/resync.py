@@ -26,7 +26,7 @@ def loaded(keys: DataFrame, states: DataFrame, cursor=None) -> DataFrame:
 
 
 def progress(rows: DataFrame, size: int) -> DataFrame:
-    """Per page of `size` keys in order: enqueued, skipped, last_key; a mismatch shows as `mismatched` and stops a run at its page."""
+    """Per page of `size` keys in order: enqueued, skipped, last_key; a mismatch shows as `mismatched`, and a run stops before it (`before_mismatch`)."""
     keyed = rows.select("entity_key", "outcome")
     # Text has no quantiles: its leading characters give the ranges, the text itself the order.
     lead = F.conv(F.hex(F.substring(F.rpad(F.encode("entity_key", "utf-8"), 6, F.unhex(F.lit("00"))), 1, 6)), 16, 10).cast("double")
@@ -36,6 +36,12 @@ def progress(rows: DataFrame, size: int) -> DataFrame:
     return placed.groupBy(page).agg(tally("Enqueue").alias("enqueued"), tally("Skip").alias("skipped"), tally("KeyMismatch").alias("mismatched"), F.max("entity_key").alias("last_key"))
 
 
+def before_mismatch(rows: DataFrame) -> tuple[DataFrame, str | None]:
+    """The rows before the first mismatch in order of keys (those are committed one by one, so they stand), and the key it is at; all rows and None where there is none."""
+    stop = rows.where("outcome = 'KeyMismatch'").agg(F.min("entity_key")).first()[0]
+    return (rows if stop is None else rows.where(F.col("entity_key") < stop)), stop
+
+
 def summary(rows: DataFrame, cursor: str | None = None) -> DataFrame:
     """One row: enqueued, skipped, last_key (the cursor where there was nothing to do)."""
     return rows.agg(F.count_if(F.col("outcome") == "Enqueue").alias("enqueued"), F.count_if(F.col("outcome") == "Skip").alias("skipped"), F.coalesce(F.max("entity_key"), F.lit(cursor)).alias("last_key"))
