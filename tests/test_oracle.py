@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from tidemark.plans import entity_queries, loop_queries, more_queries  # noqa: F401
+from tidemark.plans import entity_queries, loop_queries, more_queries, state_queries  # noqa: F401
 from tidemark.plans.queries import SQL, Q
 
 SF = "/root/testdata/sf0.01"

@@ -11,7 +11,7 @@ from .entities import Entity, json_value, uuid
 #: What a refused record is stored as.
 KINDS = ("UnexpectedTopic", "MissingPayload", "InvalidPayload", "MissingIdempotencyKey", "InvalidHeader")
 #: Columns of a decoded record.
-COLUMNS = ("topic", "part", "pos", "record_key", "entity_key", "payload", "message_id", "correlation_id", "causation_id", "idempotency_key", "idempotency_source", "occurred_us", "headers", "traceparent", "tracestate", "failure_kind", "failure_header")
+COLUMNS = ("topic", "part", "pos", "record_key", "entity_key", "payload", "message_id", "correlation_id", "causation_id", "idempotency_key", "idempotency_source", "occurred_us", "headers", "traceparent", "tracestate", "failure_kind", "failure_header", "raw_headers", "raw_payload")
 
 
 def derived_uuid(*of: Column, salt: str) -> Column:
@@ -19,6 +19,15 @@ def derived_uuid(*of: Column, salt: str) -> Column:
     return uuid(F.substring(F.sha2(F.concat_ws("/", F.lit(salt), *of), 256), 1, 32))
 
 
+def error_text(kind: Column, header: Column) -> Column:
+    """What an operator reads about a refused record."""
+    said = {"UnexpectedTopic": "the record is on another topic", "MissingPayload": "the record has no payload", "InvalidPayload": "the payload isn't what the entity declares", "MissingIdempotencyKey": "the record has no idempotency key", "MessageIdConflict": "the message id is stored under another key"}
+    out = F.when(kind == "InvalidHeader", F.concat(F.lit("header "), F.coalesce(header, F.lit("idempotency-key")), F.lit(" isn't well formed")))
+    for k, text in said.items():
+        out = out.when(kind == k, text)
+    return out
+
+
 def json_long(payload: Column, field: str) -> Column:
     """A field of a JSON object as a bigint; null where it isn't one."""
     return F.get_json_object(payload, f"$.{field}").try_cast("bigint")
@@ -65,5 +74,5 @@ def decode(records: DataFrame, topic: str, prefix: str = headers.PREFIX, entity:
         F.coalesce(uuid(ours("message-id")), derived_uuid(*place, salt="message")).alias("message_id"), F.coalesce(uuid(ours("correlation-id")), derived_uuid(*place, salt="correlation")).alias("correlation_id"),
         uuid(ours("causation-id")).alias("causation_id"), F.lower(key).alias("idempotency_key"), F.when(json_value(source).isNotNull(), source).alias("idempotency_source"),
         F.coalesce(occurred, F.unix_micros("timestamp")).alias("occurred_us"), F.col("_h.user").alias("headers"), F.col("_trace.traceparent").alias("traceparent"), F.col("_trace.tracestate").alias("tracestate"),
-        kind.alias("failure_kind"), name.alias("failure_header"),
+        kind.alias("failure_kind"), name.alias("failure_header"), F.col("headers").cast("array<struct<key:string,value:binary>>").alias("raw_headers"), F.col("value").cast("binary").alias("raw_payload"),
     )

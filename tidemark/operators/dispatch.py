@@ -64,6 +64,8 @@ class Dispatched(NamedTuple):
     moved: DataFrame
     #: message_ids of rows that panicked.
     panicked: tuple[int, ...] = ()
+    #: message_ids of all rows of the cycle, in their order.
+    order: tuple[int, ...] = ()
 
 
 SAID = "message_id long, go boolean, failure string"
@@ -209,11 +211,12 @@ def dispatch_due(
         sent = sent.join(handled, "cause", "left_semi").drop("cause")
     bad_rows = failed.collect()
     n, panics = len(bad_rows), tuple(sorted(r.message_id for r in bad_rows if r.failure == PANIC))
-    total = rows.count()
+    order = tuple(r.message_id for r in rows.select("message_id").orderBy("arrival").collect())
+    total = len(order)
     return Dispatched(
         ledger.join(rows.select("message_id"), "message_id", "left_anti").select(*ledger.columns).unionByName(settled),
-        cached.join(state.select("entity_key"), "entity_key", "left_anti").unionByName(state.select(*cached.columns)),
-        outcomes, sent, {"claimed": total, "processed": total - n, "failed": n, "panicked": len(panics)}, settled, state.select(*cached.columns), panics,
+        cached.join(state.select("entity_key"), "entity_key", "left_anti").unionByName(state, allowMissingColumns=True).select(*cached.columns),
+        outcomes, sent, {"claimed": total, "processed": total - n, "failed": n, "panicked": len(panics)}, settled, state.select(*[c if c in state.columns else F.lit(None).cast(cached.schema[c].dataType).alias(c) for c in cached.columns]), panics, order,
     )
 
 

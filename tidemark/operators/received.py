@@ -171,7 +171,8 @@ def panic_trips(cycles: DataFrame, limit: int) -> DataFrame:
 def quarantined(have: DataFrame, new: DataFrame) -> DataFrame:
     """The refused records to add: one for each (topic, part, pos) that isn't there yet; of several the first by failure_kind."""
     place = ["topic", "part", "pos"]
-    first = new.groupBy(*place).agg(F.min(F.struct("failure_kind", *[c for c in new.columns if c not in (*place, "failure_kind")])).alias("r"))
+    rest = [c for c in new.columns if c not in place]
+    first = new.groupBy(*place).agg(F.min_by(F.struct(*rest), F.struct("failure_kind", F.xxhash64(*rest))).alias("r"))
     return first.select(*place, "r.*").join(have.select(*place), place, "left_anti").select(*new.columns)
 
 

@@ -32,6 +32,7 @@ def _wire_records(s, d):
         ("tidemark-occurred-at", F.when(e % 37 == 0, "yesterday").when(e % 3 == 0, times.render(times.micros(F.col("ts"))))),
         ("tidemark-message-id", ident(41, "no-uuid")), ("tidemark-correlation-id", ident(43, "{")), ("tidemark-causation-id", ident(47, "x")),
         ("tidemark-idempotency-source", F.when(e % 2 == 0, '["a",1]').otherwise("{half")), ("who", F.col("event_type")),
+        ("traceparent", F.when(e % 6 == 0, F.concat(F.lit("00-"), F.md5(e.cast("string")), F.lit("-"), F.substring(F.md5(F.concat(F.lit("s"), e.cast("string"))), 1, 16), F.lit("-00"))).when(e % 6 == 1, "00-broken")), ("tracestate", F.when(e % 6 == 0, "a=1")),
     )
     value = F.when(e % 19 == 0, None).when(e % 23 == 0, "{broken").otherwise(F.col("props"))
     return src.read(s, d, "events").select(
