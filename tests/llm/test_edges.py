@@ -59,6 +59,7 @@ CASES = {
     "op7_url_filters": ("page_id", {None: {"host": "", "path": "", "rule": None}, 21: {"host": "", "verdict": "allow"}, 22: {"host": "a.net", "rule": "net/", "verdict": "block"}}),
     "op8_mixing": ("doc_id", {60: {"size": 0, "taken": 0}, 62: {"size": 0, "taken": 0}, 63: {"size": 20000}, 64: {"size": 1}}),
     "op9_language_id": ("doc_id", {60: {"lang_pred": "und", "score": 0.0}, 61: {"lang_pred": "und"}, 62: {"lang_pred": "und"}}),
+    "op11_periodic_runs": ("doc_id", {60: {"n_runs": 0, "start": None, "exponent_milli": None}, 61: {"n_runs": 0}, 62: {"n_runs": 0, "length": None}, 63: {"n_runs": 1, "start": 0, "length": 20000, "period": 1, "exponent_milli": 20_000_000}, 64: {"n_runs": 0}}),
     "op10_lm_scoring": ("doc_id", {60: {"n_words": 0, "log_prob": 0.0, "mean_log_prob": None}, 61: {"n_words": 0}, 63: {"n_words": 20000}, 64: {"n_words": 1}}),
 }
 
@@ -71,6 +72,17 @@ def test_query(spark, tables, name):
         docs = {r["doc_id"] for r in out}
         assert docs <= {r[0] for r in rows()["documents"]} and (not n["documents"] or {i for i in range(60) if i % 10 == 3} <= docs)
         return
+    if name == "op12_source_divergence":  # one row a pair of sources, or a term
+        groups = {(d[2] or "", d[3] or "") for d in rows()["documents"]} if n["documents"] else set()
+        pairs = {(la, so, other) for la, so in groups for lb, other in groups if la == lb and so != other}
+        assert sorted((r["lang"], r["source"], r["item"]) for r in out if r["part"] == "pair") == sorted(pairs) and {r["part"] for r in out} == ({"pair", "term"} if pairs else set())
+        assert {r["value"] for r in out if r["lang"] == "" and r["part"] == "pair"} <= {0} and not [r for r in out if r["lang"] == "" and r["part"] == "term"]
+        return
+    if name == "op13_packing":  # one row a piece
+        per = Counter((r["doc_id"], r["piece"] == 0) for r in out)
+        assert sum(m for (_, first), m in per.items() if first) == n["documents"] and all(0 < r["length"] <= 2048 for r in out)
+        assert not n["documents"] or ({r["length"] for r in out if r["doc_id"] in (60, 61)} == {1} and per[63, False] > 5 and per[0, True] == 2)
+        return
     assert len(out) == n["pages" if name.startswith(("op1_", "op7_")) else "documents"]
     key, want = CASES[name]
     for i, values in want.items() if out else ():
