@@ -41,15 +41,18 @@ def decode(records: DataFrame, topic: str, prefix: str = headers.PREFIX, entity:
     source that isn't JSON is dropped. Missing ids derive from topic, partition and offset, a missing event time is the
     record's own. With an entity the payload comes out as its declared fields, and the entity key is the payload's own.
     """
-    rows = records.withColumn("_h", headers.parse(F.col("headers"), prefix)).withColumn("_trace", headers.trace_context(F.col("_h.trace")))
+    # What is costly is computed once a row: nothing that is asked of a generated column moves below its generator, where it would be computed for each mention.
+    once = lambda c: F.explode_outer(F.array(c))
+    rows = records.withColumn("_h", once(headers.parse(F.col("headers"), prefix))).withColumn("_trace", headers.trace_context(F.col("_h.trace")))
     ours = lambda name: F.try_element_at(F.col("_h.reserved"), F.lit(prefix + name))
     payload = F.make_valid_utf8(F.col("value").cast("string"))
     key, occurred = ours("idempotency-key"), times.parse(ours("occurred-at"))
     bad = lambda name, value: ours(name).isNotNull() & value.isNull()
     if entity is None:
-        sound = json_value(payload).isNotNull()
+        rows = rows.withColumn("_sound", once(json_value(payload).isNotNull()))
+        sound = F.col("_sound")
     else:
-        rows = rows.withColumn("_typed", entity.judge(payload))
+        rows = rows.withColumn("_typed", once(entity.judge(payload)))
         sound = F.is_valid_utf8(F.col("value").cast("string")) & F.col("_typed.ok")
     checks = [
         (F.col("topic") != topic, 0, None),

@@ -340,7 +340,7 @@ def recovery_report(s, d):
 SELECT 1000 + band * 100 + 1 AS version, 'create ' || kind || ' ' || name AS name, CASE WHEN kind = 'cache' THEN 'SkippedAlreadyApplied' ELSE 'WouldApply' END AS action FROM t UNION ALL SELECT 1, 'init', 'ChecksumMismatch'""")
 def change_log_report(s, d):
     names = [r.n_name for r in src.read(s, d, "nation").select("n_name").collect()]
-    log = roles.change_log([(k, n) for n in names for k in roles.LEDGERS])
+    log = roles.change_log([(k, n) for n in names for k in ("outbox", "received", "cache")])
     history = s.createDataFrame([(c.version, c.checksum) for c in log if "cache" in c.name] + [(1, "old")], "version long, checksum string")
     return roles.dry_run(s, log, history)
 
