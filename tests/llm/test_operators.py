@@ -455,14 +455,55 @@ def test_decontamination_against_all_windows(spark):
 
 
 def test_multi_index_finds_all_within_radius():
-    from tidemark.llm.decontamination import BLOCKS, RADIUS, index
+    from tidemark.llm.decontamination import PRINTS, RADIUS, candidates, index
 
-    at, rng = index([(1, "one two three four five six seven eight nine ten")]), random.Random(2)
-    for _ in range(500):
-        f = int(at["prints"][0])
-        for b in rng.sample(range(64), rng.randint(0, RADIUS)):
-            f ^= 1 << b
-        assert any(0 in at["near"][b].get(f >> (b * 16) & 0xFFFF, ()) for b in range(BLOCKS))
+    rng = random.Random(2)
+    at = index([(k, " ".join(rng.choice("abcdefghijklm") for _ in range(10))) for k in range(40)] + [(40, "of another length")])
+    group = dict(at["lengths"])[10]
+    windows = np.zeros((PRINTS, 600), np.uint64)
+    for i in range(600):
+        for p in range(PRINTS):
+            f = int(group["prints"][p, i % 40])
+            for b in rng.sample(range(64), rng.choice([0, 5, RADIUS, RADIUS + 1, 30])):
+                f ^= 1 << b
+            windows[p, i] = f
+    near = lambda i, j: any((int(windows[p, i]) ^ int(group["prints"][p, j])).bit_count() <= RADIUS for p in range(PRINTS))
+    assert candidates(windows, group) == [(i, j) for i in range(600) for j in range(40) if near(i, j)]
+
+
+def test_candidates_come_from_the_multi_index_alone():
+    from tidemark.llm.decontamination import index, leaks
+    from tidemark.llm.textops import word_hashes
+
+    text = "one two three four five six seven eight nine ten"
+    at = index([(1, text), (2, "short item")])
+    d = np.frombuffer(f"so {text} and short item".encode(), np.uint8)
+    w = word_hashes(d, np.array([0, len(d)]))[0]
+    assert leaks(w, at) == {0: (1.0, -1, 10, 0), 1: (1.0, -12, 2, 0)}
+    for _, group in at["lengths"]:
+        group["near"] = [(p, b, keys[:0], items[:0]) for p, b, keys, items in group["near"]]
+    assert leaks(w, at) == {}
+
+
+def test_prints_are_of_sets_of_shingles():
+    """Prints by cumulative sums, over several pieces and with repeated shingles, against sums over each window's set."""
+    from tidemark.llm import decontamination as d
+    from tidemark.llm.textops import mix64, mix_int
+
+    rng = np.random.default_rng(4)
+    g = mix64(rng.integers(0, 300, 3 * d.PIECE).astype(np.uint64))
+    heavy = (g % np.uint64(190)).astype(np.int64) + 64
+    starts = np.unique(rng.integers(0, len(g) - 40, 300))
+    got = d.prints_of(g, heavy, starts, 40)
+    weight = dict(zip(g.tolist(), heavy.tolist(), strict=True))
+    for i, s in enumerate(starts.tolist()):
+        for p in range(d.PRINTS):
+            sums = [0] * 64
+            for x in set(g[s : s + 40].tolist()):
+                h = int(mix64(np.array([(x + mix_int(100 + p)) % 2**64], np.uint64))[0])
+                for b in range(64):
+                    sums[b] += weight[x] if h >> b & 1 else -weight[x]
+            assert int(got[p, i]) == sum(1 << b for b in range(64) if sums[b] > 0)
 
 
 def test_url_filters(spark):
