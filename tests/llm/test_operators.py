@@ -232,7 +232,7 @@ def test_guess_cost_is_the_least_of_all_segmentations():
     own = ["well", "known", "snow", "covered", "blå", "ok"]
     h = np.concatenate([hashes_of(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])) for w in own])
     order = np.argsort(h)
-    words = {"hash": h[order], "rank": order + 1}
+    words = {"hash": h[order], "rank": order + 1, "sizes": sorted({*map(len, own)})}
     ranks = dict(secrets.RANK)
     for k, w in enumerate(own):
         ranks[w] = min(k + 1, ranks.get(w, 10**9))
@@ -249,6 +249,23 @@ def test_guess_spans_know_the_words_of_the_corpus(spark):
     assert got[0] == "" and got[31] == "guess:12:32"
 
 
+def test_copies_of_a_secret_stay_secrets(spark):
+    """However many documents hold a leaked value, it is no word; long words are, as they stand in running text."""
+    leak, long = "passphrase: qzvxkjwpmbhgtrfydncl", "donaudampfschifffahrtsgesellschaft"
+    for copies in (7, 8, 60):
+        texts = [f"{leak} in copy {k}" for k in range(copies)] + [f"die {long} fährt wieder" for _ in range(9)] + [f"passwort: {long} und mehr", None, ""]
+        docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+        words = secrets.dictionary(docs)
+        got = {r.doc_id: r.spans for r in secrets.digest(docs, words).collect()}
+        assert len(long) in words["sizes"] and {i for i, x in got.items() if x} == set(range(copies)) and got[0] == "guess:12:32"
+    assert secrets.guess_cost(long) > 40 and secrets.guess_cost(long, words=words) < 2
+    assert secrets.guess_cost((long + "-") * 200, secrets.LEAST, words) >= secrets.LEAST
+    none = secrets.dictionary(frame(spark, [(1, None, "s")]).limit(0))
+    assert none["sizes"] == [] and secrets.guess_cost("password", words=none) == secrets.guess_cost("password")
+    # A share of the corpus, once that is more than the least number of documents.
+    assert not len(secrets.dictionary(docs, share=0.9)["hash"])
+
+
 def test_secrets_are_whole(spark):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefXYZ0189+/") for _ in range(400))

@@ -2,13 +2,16 @@
 
 The guess cost of a value is the smallest sum, over all ways to cut it into words, dates,
 repeats, keyboard walks and brute-force spans, of the log10 guesses of its pieces. Words are common passwords and
-the corpus' own words of letters, ranked by the number of documents that have them (`dictionary`). A value
+the corpus' own words of letters, ranked by the number of documents that have them (`dictionary`); what stands
+as a value in a credential context isn't counted, so that a leaked secret doesn't become a word by being copied. A value
 that a credential name is assigned (`pwd: ...`, `passphrase = ...`) and that no fixed patterns
 cover wholly is added as kind `guess` when its cost reaches LEAST. Values, and repeats and walks in them,
-have no longest length; the program takes time linear in the value and stops once LEAST is sure.
+have no longest length, nor have words; the program takes time linear in the value for each length that
+words have, and stops once LEAST is sure.
 
-Defined cases: null text is empty text and has no spans; spans count code points, end
-exclusive; repeated rows give repeated results; other columns aren't looked at.
+Defined cases: null text is empty text and has no spans; an empty table gives an empty dictionary and no rows; spans count code points, end
+exclusive; words in equally many documents are ranked by their hash; very long texts and values are read whole; repeated rows give repeated results
+(and count as documents); other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -28,13 +31,13 @@ from .textops import lean
 
 #: log10 guesses from which an assigned value counts as a secret.
 LEAST = 10.0
-#: Words of the dictionary, documents that a word must be in, and its longest word in characters.
-DICTIONARY, FOUND, LONGEST = 200_000, 8, 24
+#: Words of the dictionary, and documents that a word must be in: FOUND, or SHARE of all if that is more.
+DICTIONARY, FOUND, SHARE = 200_000, 8, 1e-4
 #: Longest unit of a repeat, in characters.
 UNIT = 8
-#: Characters after which the dynamic program looks whether it may stop; no word or date is longer.
-CHECK = LONGEST
-#: Characters whose parts are looked up in the dictionary at once.
+#: Characters after which the dynamic program looks whether it may stop, if no word is longer; no date is.
+CHECK = 24
+#: Characters whose parts are looked up in the dictionary at once, if no word is longer.
 STRETCH = 1024
 
 # The patterns of the base kinds.
@@ -57,8 +60,16 @@ _LEET = str.maketrans("4301$5@7", "aeoissat")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 
 
-def dictionary(docs: DataFrame, most: int = DICTIONARY, found: int = FOUND) -> dict:
-    """The words of letters that most documents have: sorted hashes and their ranks from 1. Words in all of docs (text) are counted."""
+def without_values(text: str) -> str:
+    """The text without what it gives as values of credentials."""
+    for pattern, value in ((CONTEXT, 1), (ASSIGN, 2)):
+        text = pattern.sub(lambda m, v=value: m[0][: m.start(v) - m.start()] + " ", text)
+    return text
+
+
+def dictionary(docs: DataFrame, most: int = DICTIONARY, found: int = FOUND, share: float = SHARE) -> dict:
+    """The words of letters that most documents have outside credential contexts: sorted hashes, their ranks from 1, and the
+    lengths that there are, in characters. Words in all of docs (text) are counted."""
     from .textops import distinct_by_row, slices, word_hashes, word_spans
 
     letter = np.zeros(256, bool)
@@ -66,39 +77,51 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY, found: int = FOUND) -> d
 
     def count(batches):
         for batch in batches:
-            parts = []
-            for _, data, off in slices(batch.column("text")):
+            text = batch.column("text")
+            maybe = pc.fill_null(pc.match_substring_regex(text, MAYBE), False)
+            if pc.any(maybe).as_py():
+                text = pc.replace_with_mask(text, maybe, pa.array([without_values(t) for t in text.filter(maybe).to_pylist()], text.type))
+            parts, sizes = [], []
+            for _, data, off in slices(text):
                 if not len(data):
                     continue
                 h, first = word_hashes(data, off)
                 s, e, _ = word_spans(data, off)
                 odd = np.concatenate(([0], np.cumsum(~letter[data])))
-                ok = (odd[e] == odd[s]) & (e - s >= 2) & (e - s <= LONGEST)
+                ok = (odd[e] == odd[s]) & (e - s >= 2)
+                chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 parts.append(distinct_by_row(h[ok], np.concatenate(([0], np.cumsum(ok)))[first])[0])
+                h, i = np.unique(h[ok], return_index=True)
+                sizes.append((h, (chars[e[ok][i]] - chars[s[ok][i]]).astype(np.int64)))
             h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
+            known, i = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in sizes)]), return_index=True)
+            size = np.concatenate([np.zeros(0, np.int64), *(x for _, x in sizes)])[i]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(size[np.searchsorted(known, h)])], names=["word", "n", "size"])
 
-    every = docs.select("text").mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = every.where(F.col("n") >= found).orderBy(F.desc("n"), "word").limit(most).toPandas()
+    every = docs.select("text").mapInArrow(lean(count), "word long, n long, size long").groupBy("word").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    least = max(found, math.ceil(share * docs.count()))
+    top = every.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).toPandas()
     h = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return {"hash": h[order], "rank": order + 1}
+    return {"hash": h[order], "rank": order + 1, "sizes": sorted({*top["size"].tolist()} - {1})}
 
 
-def _ranks(plain: str, words: dict | None) -> dict:
+def _ranks(plain: str, words: dict) -> dict:
     """(start, end): rank of the parts of a value that are words of the dictionary."""
-    if not words or not len(words["hash"]) or not plain:
+    if not plain:
         return {}
     from .textops import hashes_of
 
-    at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in plain])))
-    n = len(plain)
-    a, k = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(2, LONGEST + 1), indexing="ij"))
-    a, b = a[a + k <= n], (a + k)[a + k <= n]
-    h = hashes_of(np.frombuffer(plain.encode(), np.uint8), at[a], at[b])
-    i = np.minimum(np.searchsorted(words["hash"], h), len(words["hash"]) - 1)
-    hit = np.flatnonzero(words["hash"][i] == h)
-    return {(x, y): r for x, y, r in zip(a[hit].tolist(), b[hit].tolist(), words["rank"][i[hit]].tolist(), strict=True)}
+    data, at = np.frombuffer(plain.encode(), np.uint8), np.concatenate(([0], np.cumsum([len(c.encode()) for c in plain])))
+    out = {}
+    for k in words["sizes"]:
+        if k > len(plain):
+            break
+        h = hashes_of(data, at[:-k], at[k:])
+        i = np.minimum(np.searchsorted(words["hash"], h), len(words["hash"]) - 1)
+        hit = np.flatnonzero(words["hash"][i] == h)
+        out.update(((x, x + k), r) for x, r in zip(hit.tolist(), words["rank"][i[hit]].tolist(), strict=True))
+    return out
 
 
 def guess_cost(value: str, enough: float = math.inf, words: dict | None = None) -> float:
@@ -107,23 +130,29 @@ def guess_cost(value: str, enough: float = math.inf, words: dict | None = None)
     low, best = value.lower(), [0.0] + [math.inf] * n
     low = low if len(low) == n else value
     plain = low.translate(_LEET)
-    known: dict = {}
+    sizes = words["sizes"] if words else []
+    longest = max([CHECK, *sizes[-1:]])
+    stretch, known = max(STRETCH, longest), {}
+    lengths = sorted({*sizes, *map(len, WORDS)})
     alphabet = sum(k for k, p in ((26, r"[a-z]"), (26, r"[A-Z]"), (10, r"\d"), (33, r"[^A-Za-z0-9]")) if re.search(p, value)) or 1
     each = math.log10(alphabet)
     ends: list[int] = []
     # Open starts of walks (unit 0) and repeats, per unit and place modulo it.
     opened: list[list[list[int]]] = [[[0] if q == 0 else [] for q in range(max(1, u))] for u in range(UNIT + 1)]
     for j in range(1, n + 1):
-        if j % STRETCH == 1:
-            a = max(0, j - 1 - LONGEST)
-            known = {(a + x, a + y): r for (x, y), r in _ranks(plain[a : j - 1 + STRETCH], words).items()}
+        if sizes and j % stretch == 1:
+            a = max(0, j - 1 - longest)
+            known = {(a + x, a + y): r for (x, y), r in _ranks(plain[a : j - 1 + stretch], words).items()}
         m = _DATE.match(low, j - 1)
         ends.append(m.end() if m else 0)
         here = best[j - 1] + each
-        for k in range(2, min(j, LONGEST) + 1):
+        for k in lengths:
             i = j - k
+            if i < 0:
+                break
             if (r := min(RANK.get(plain[i:j], math.inf), known.get((i, j), math.inf))) < math.inf:
                 here = min(here, best[i] + math.log10(r + 1) + 0.3 * (value[i:j] != low[i:j]) + 0.5 * (plain[i:j] != low[i:j]))
+        for i in range(max(0, j - CHECK), j):
             if ends[i] == j:
                 here = min(here, best[i] + 4.5)
         for u in range(UNIT + 1):
@@ -154,8 +183,8 @@ def guess_cost(value: str, enough: float = math.inf, words: dict | None = None)
         best[j] = here
         for u in range(UNIT + 1):
             opened[u][j % max(1, u)].append(j)
-        if j % CHECK == 0 and j < n and min(best[j - CHECK : j + 1]) >= enough and all(best[i] >= enough for x in opened for starts in x for i in starts):
-            return min(best[j - CHECK : j + 1])
+        if j % longest == 0 and j < n and min(best[j - longest : j + 1]) >= enough and all(best[i] >= enough for x in opened for starts in x for i in starts):
+            return min(best[j - longest : j + 1])
     return best[n]
 
 
