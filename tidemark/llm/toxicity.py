@@ -94,7 +94,18 @@ def evidence(folded: str, automaton) -> float:
             spared.append((a, end))
         elif w > found.get(a, 0.0):
             found[a] = w
-    return sum(w for a, w in found.items() if not any(x <= a < y for x, y in spared))
+    if not spared:
+        return sum(found.values())
+    # One sweep: a match is spared if an exception that began at or before it ends after it.
+    spared.sort()
+    i, until, total = 0, 0, 0.0
+    for a in sorted(found):
+        while i < len(spared) and spared[i][0] <= a:
+            until = max(until, spared[i][1])
+            i += 1
+        if a >= until:
+            total += found[a]
+    return total
 
 
 def _features(text: list, automaton) -> np.ndarray:
