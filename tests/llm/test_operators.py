@@ -809,6 +809,55 @@ def test_align_is_a_longest_common_subsequence(monkeypatch):
     assert html_extraction.align(one("pqrs"), one("pxys")) == [(0, 0), (3, 3)]
 
 
+@pytest.mark.parametrize("words", [1000, 12000])
+@pytest.mark.parametrize("sides", [20, 60, 90, 150])
+def test_html_extraction_between_many_boxes(sides, words):
+    """Boxes with classes of their own on every page, around an unnamed element that holds the text."""
+    box = lambda k, side: "".join(f'<div class="{side}{chr(97 + k)}x{"abcdefghij"[i % 10]}{"klmnopqrst"[i // 10 % 10]}{"uvwxyz"[i // 100]}">offer {i} of {side}</div>' for i in range(sides))
+    texts = [" ".join(f"w{k}n{i}" for i in range(words)) for k in range(6)]
+    pages = [f"<html><body>{box(k, 'l')}<div>{text}</div>{box(k, 'r')}</body></html>" for k, text in enumerate(texts)]
+    rule, _ = rule_of(pages)
+    assert [html_extraction.extract(p, rule) for p in pages] == texts
+
+
+def test_html_extraction_of_names_inside_an_article():
+    page = """<html><body><div class="search-engines">menu</div><article><section id="search-engines">engines</section><div class="share-price">price</div>
+    <div class="share-buttons">share it</div><div class="comment-list">they said</div><div class="related">more</div><p>end</p></article></body></html>"""
+    assert html_extraction.extract(page, None) == "engines\nprice\nend"
+
+
+def test_html_extraction_of_deep_pages_takes_linear_time():
+    from time import monotonic
+
+    n, before = 100_000, monotonic()
+    for page in ("<div>" * n + "deep", "<div>" * n + "</p>" * n + "deep", "<body><p>" + "<button>" * n + "</p><p>" * n + "deep"):
+        labels, texts = html_extraction.tokens(page)
+        html_extraction.elements(labels)
+        assert [t[0] for of in texts.values() for t in of] == ["deep"]
+    assert monotonic() - before < 30
+
+
+def test_anchors_keep_order_and_alignment_is_whole_beyond_the_cells(monkeypatch):
+    """Long lists of children are cut at anchors; what both hold once, in the same order, always meets."""
+    rng = random.Random(8)
+    for _ in range(60):
+        both = [f"1div.u{i}" for i in range(rng.randint(1, 12))]
+        sides = []
+        for s in "ab":
+            own = [f"1div.{s}{rng.randrange(5)}" for _ in range(rng.randint(0, 25))]
+            places = sorted(rng.sample(range(len(both) + len(own)), len(both)))
+            line, o = [], iter(own)
+            for i in range(len(both) + len(own)):
+                line.append(both[places.index(i)] if i in places else next(o))
+            sides.append([y for x in line for y in (x, "#", "/" + x)])
+        for cells in (1 << 14, 4, 0):
+            monkeypatch.setattr(html_extraction, "CELLS", cells)
+            pairs = html_extraction.align(*sides)
+            assert all(sides[0][i] == sides[1][j] for i, j in pairs)
+            assert all(i < p and j < q for (i, j), (p, q) in zip(pairs, pairs[1:], strict=False))
+            assert {sides[0][i] for i, _ in pairs} >= set(both)
+
+
 def test_html_extraction_of_long_pages():
     """Pages that don't fold and are too different to align keep all their text."""
     rng = random.Random(1)
