@@ -1,5 +1,6 @@
 """The corpus operators on small tables: brute force, and the defined cases (nulls, empty, very long, repeated, empty tables, clashing names)."""
 
+import itertools
 import hashlib
 import json
 import math
@@ -820,6 +821,57 @@ def test_html_extraction_between_many_boxes(sides, words):
     assert [html_extraction.extract(p, rule) for p in pages] == texts
 
 
+def many_streams(few, rest):
+    """Pages of one host: `few` frequent distinct streams whose text is in the first box, and `rest` rare ones whose text is in the second."""
+    page = "<html><body><div>Top of the house</div><div><div class=intro><p>{intro}</p></div><div class=story>{story}</div></div></body></html>"
+    tags = [x for x in itertools.product(("h2", "h3", "h4", "p"), repeat=6) if all(a != b for a, b in zip(x, x[1:], strict=False))]
+    random.Random(3).shuffle(tags)
+    pages, want = [], []
+    for k in range(few + rest):
+        for c in range(2 if k < few else 1):
+            intro, story = f"intro {k} {c} " + "word " * (400 if k < few else 1), f"story {k} {c} " + "word " * (1 if k < few else 40)
+            pages.append(page.format(intro=intro, story="".join(f"<{x}>{story} {b}</{x}>" for b, x in enumerate(tags[k]))))
+            want.append("\n".join([intro.strip(), *(f"{' '.join(story.split())} {b}" for b in range(6))]))
+    return pages, want
+
+
+def test_html_extraction_reads_every_stream_of_a_host(spark, monkeypatch):
+    """What only streams beyond the STREAMS most frequent ones say of the main region counts too."""
+    pages, want = many_streams(48, 430)
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").cache()
+    rules = html_extraction.wrappers(df).cache()
+    (r,) = rules.collect()
+    assert [json.loads(r.labels)[i] for i in r.main] == ["2div"]
+    assert {x.page_id: x.text for x in html_extraction.main_text(df, rules).collect()} == dict(enumerate(want))
+    # The same where wrappers come before the pages of their hosts.
+    monkeypatch.setattr(html_extraction, "ROW_CHARS", 0)
+    more = df.unionByName(spark.createDataFrame([(9000, "http://other.org/", "<p>lone</p>"), (9001, None, None)], df.schema))
+    assert {x.page_id: x.text for x in html_extraction.main_text(more, rules).collect()} == dict(enumerate(want)) | {9000: "lone", 9001: ""}
+
+
+def test_wrappers_of_parts_join_to_one_that_accepts_all():
+    pages, _ = many_streams(3, 20)
+    piece = lambda p: [(x, False, [[1, 1, 0, 5, 5, 0] for y in html_extraction.leaves(x) if y == "#"]) for x, _ in html_extraction.fold(html_extraction.tokens(p)[0])]
+    streams = [piece(p) for p in pages]
+    whole = html_extraction.joined([html_extraction.joined(streams[k : k + 4]) for k in range(0, len(streams), 4)])
+    for s in streams:
+        left = iter(x for x, _, _ in s)
+        now = next(left)
+        for x, optional, _ in whole:
+            if x == now:
+                now = next(left, None)
+            else:
+                assert optional
+        assert now is None
+    assert sum(v[0] for _, _, slots in whole for v in slots) == sum(v[0] for s in streams for _, _, slots in s for v in slots)
+    # Alignments that go no deeper than to the main places give those the same partners.
+    labels = [x for x, _, _ in whole]
+    for k in (x[0] for x in html_extraction.elements(labels)):
+        for s in streams:
+            other = [x for x, _, _ in s]
+            assert [p for p in html_extraction.align(labels, other) if p[0] == k] == [p for p in html_extraction.align(html_extraction.Fitted(labels, {k}), other) if p[0] == k]
+
+
 def test_html_extraction_of_names_inside_an_article():
     page = """<html><body><div class="search-engines">menu</div><article><section id="search-engines">engines</section><div class="share-price">price</div>
     <div class="share-buttons">share it</div><div class="comment-list">they said</div><div class="related">more</div><p>end</p></article></body></html>"""

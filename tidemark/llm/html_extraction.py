@@ -11,9 +11,10 @@ or class, count as boilerplate before. Every page's whole html is then read: its
 the text of the elements that meet the main region is kept, whatever of it is constant, optional or unknown to the wrapper. A page that
 has nothing there keeps all its text outside boilerplate.
 
-Streams and their slots are counted per host and distinct stream in Spark; a wrapper is fitted on the STREAMS most frequent distinct
-streams of a host, which bounds what one task gathers, however many pages the host has. Where two elements' differing middle parts are longer than
-CELLS allows, they aren't aligned piece by piece but become optional as a whole.
+Streams and their slots are counted per host and distinct stream in Spark, and every distinct stream goes into its host's wrapper: the
+STREAMS most frequent ones of a host are aligned in one task, the others in parts of about as many, and the parts' wrappers are aligned FAN at a time
+until one is left. So a task gathers STREAMS streams or FAN wrappers, however many pages and streams the host has; a wrapper is as long as what
+differs in the host's structure. Two elements' differing middle parts longer than CELLS allows are cut at anchors first.
 Defined cases: null html gives an empty text; null url or one without `://` belongs to
 the host ""; markup that never closes is closed at the end; repeated rows give repeated
 results, and a host whose pages are all equal keeps their text; an empty table gives an empty one; other columns aren't looked at.
@@ -36,11 +37,12 @@ from pyspark.sql import types as T
 
 from .textops import lean
 
-STREAMS = 48
+#: Distinct streams of a host that are aligned in one task, and wrappers of such parts that are joined in one.
+STREAMS, FAN = 48, 8
 #: Product of the lengths of two elements' differing parts up to which those are aligned at once; longer ones are cut at anchors first.
 CELLS = 1 << 14
-#: Characters of all wrappers up to which they are broadcast; beyond, pages meet them by a salted join.
-BROADCAST_CHARS = 1 << 25
+#: Characters of all wrappers, and of the longest one, up to which they are broadcast and come with each page; beyond, a wrapper comes once before its host's pages.
+BROADCAST_CHARS, ROW_CHARS = 1 << 25, 1 << 16
 SALTS = 16
 #: Share of the text outside boilerplate that the main region must hold; of it, what an article or main element must hold.
 MASS, NAMED = 0.9, 0.3
@@ -238,8 +240,18 @@ def leaves(label) -> list[str]:
     return [label] if isinstance(label, str) else [y for x in label[1] for y in leaves(x)]
 
 
-def _units(s: list, ids: dict) -> list:
-    """A stream as a forest of (place, place of the end, label, id of the whole, units inside); ids: numbers of equal wholes."""
+class Wholes(dict):
+    """Numbers of equal wholes; those that `base` has keep its numbers."""
+
+    def __init__(self, base=()):
+        self.base = base
+
+    def number(self, key) -> int:
+        return self.base[key] if key in self.base else self.setdefault(key, len(self.base) + len(self))
+
+
+def _units(s: list, ids: Wholes) -> list:
+    """A stream as a forest of (place, place of the end, label, id of the whole, units inside)."""
     still: list = [(0, "", [])]
     for i, x in enumerate(s):
         if isinstance(x, str) and x != "#" and x[0] != "/":
@@ -247,9 +259,9 @@ def _units(s: list, ids: dict) -> list:
         elif isinstance(x, str) and x != "#":
             if len(still) > 1:
                 j, label, inside = still.pop()
-                still[-1][2].append((j, i, label, ids.setdefault((label, *(u[3] for u in inside)), len(ids)), inside))
+                still[-1][2].append((j, i, label, ids.number((label, *(u[3] for u in inside))), inside))
         else:
-            still[-1][2].append((i, i, x, ids.setdefault((x,), len(ids)), []))
+            still[-1][2].append((i, i, x, ids.number((x,)), []))
     return still[0][2]
 
 
@@ -340,16 +352,31 @@ def _best(x: list, y: list) -> list[tuple]:
     return out
 
 
+class Fitted(list):
+    """A wrapper's labels, taken apart once for many pages: alignments with it go no deeper than to the main places."""
+
+    def __init__(self, labels: list, main: set):
+        super().__init__(labels)
+        self.ids = Wholes()
+        self.units = _units(labels, self.ids)
+        found = elements(labels)
+        self.end = {i: j for i, j, _ in found}
+        at = [*sorted(main), len(labels)]
+        self.around = {i for i, j, _ in found if at[bisect_left(at, i + 1)] < j}
+
+
 def align(a: list, b: list) -> list[tuple[int, int]]:
     """Places of two streams' pieces that stand for each other: elements, slots and groups in order, an element's tag and end together."""
-    ids: dict = {}
-    out, todo = [], [(_units(a, ids), _units(b, ids))]
+    fitted = isinstance(a, Fitted)
+    ids = Wholes(a.ids if fitted else ())
+    out, todo = [], [(a.units if fitted else _units(a, ids), _units(b, ids))]
     while todo:
         for u, v in _matched(*todo.pop()):
             out.append((u[0], v[0]))
             if u[1] > u[0]:
                 out.append((u[1], v[1]))
-                todo.append((u[4], v[4]))
+                if not fitted or u[0] in a.around:
+                    todo.append((u[4], v[4]))
     return sorted(out)
 
 
@@ -359,13 +386,13 @@ def _joined(s: list, t: list) -> list:
 
 
 def extended(wrapper: list, stream: list) -> list:
-    """The wrapper that also accepts the stream. Pieces: (label, optional, statistics of its slots)."""
+    """The wrapper that also accepts the stream, or what another wrapper accepts. Pieces: (label, optional, statistics of its slots)."""
     out, i, j = [], 0, 0
     for p, q in [*align([x[0] for x in wrapper], [x[0] for x in stream]), (len(wrapper), len(stream))]:
         out += [(x, True, s) for x, _, s in wrapper[i:p]] + [(x, True, s) for x, _, s in stream[j:q]]
         if p < len(wrapper):
             x, optional, s = wrapper[p]
-            out.append((x, optional, [_joined(u, v) for u, v in zip(s, stream[q][2], strict=True)]))
+            out.append((x, optional or stream[q][1], [_joined(u, v) for u, v in zip(s, stream[q][2], strict=True)]))
         i, j = p + 1, q + 1
     return out
 
@@ -395,11 +422,17 @@ def elements(labels: list) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def infer(streams: list[list]) -> tuple[list, list[int]]:
-    """Wrapper, and places in it of the elements that make the main region. streams: pieces (label, False, statistics), most frequent first."""
+def joined(streams: list[list]) -> list:
+    """The wrapper of streams, pieces (label, False, statistics), most frequent first, or of wrappers of such parts."""
     wrapper: list = []
     for k, s in enumerate(streams):
         wrapper = extended(wrapper, s) if k else list(s)
+    return wrapper
+
+
+def infer(streams: list[list]) -> tuple[list, list[int]]:
+    """Wrapper of streams, or of wrappers, and places in it of the elements that make the main region."""
+    wrapper = joined(streams)
     good, varied, once = [0] * len(wrapper), [0] * len(wrapper), [0] * len(wrapper)
     for i, (_, _, slots) in enumerate(wrapper):
         for pages, chars, linked, low, high, dropped in slots:
@@ -460,11 +493,13 @@ def extract(html: str | None, rule: dict | None, known: dict | None = None, host
 
 def regions(rule: dict, stream: list) -> list[tuple[int, int]]:
     """The elements (places of tag and end) of a page's folded stream that meet the wrapper's main region."""
-    wrapper, main = rule["wrapper"], rule["main"]
+    main = rule["main"]
+    if "fitted" not in rule:
+        rule["fitted"] = Fitted(rule["wrapper"], main)
+    wrapper = rule["fitted"]
     met = {j: i for i, j in align(wrapper, stream)}
-    end = {i: j for i, j, _ in elements(wrapper)}
     own = elements(stream)
-    out = [(i, j) for i, j, _ in own if met.get(i) in main and met.get(j) == end[met[i]]]
+    out = [(i, j) for i, j, _ in own if met.get(i) in main and met.get(j) == wrapper.end[met[i]]]
     labels = {wrapper[i] for i in main if _telling(wrapper[i])}
     return out + [(i, j) for i, j, _ in own if stream[i] in labels and (i, j) not in out]
 
@@ -516,31 +551,55 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     found, first = written(streams(pages), "streams")
     rank = Window.partitionBy("host").orderBy(F.desc("pages"), "sid")
-    top = found.groupBy("host", "sid").agg(F.sum("pages").alias("pages")).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= STREAMS).drop("pages")
-    top, second = written(top, "streams-top")
-    # Statistics of each slot of the chosen streams; the stream itself comes along with the place before the first slot.
-    rows = found.join(top, ["host", "sid"]).select("host", "rank", "stream", "slots")
-    told = rows.groupBy("host", "rank").agg(F.max("stream").alias("stream"))
-    sums = rows.select("host", "rank", F.posexplode("slots").alias("at", "s")).groupBy("host", "rank", "at").agg(
+    every = found.groupBy("host", "sid").agg(F.sum("pages").alias("pages"))
+    top = every.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= STREAMS).select("host", "sid", F.lit(0).cast("long").alias("part"))
+    parts = every.groupBy("host").agg(F.ceil((F.count("*") - STREAMS) / STREAMS).alias("parts")).where("parts > 0")
+    part = F.coalesce("part", 1 + F.pmod(F.col("sid"), F.col("parts")))
+    dealt, second = written(every.join(top, ["host", "sid"], "left").join(parts, "host", "left").select("host", "sid", part.alias("part"), F.col("pages").alias("of")), "streams-parts")
+    # Statistics of each slot of the streams; the stream itself comes along with the place before the first slot.
+    rows, key = found.join(dealt, ["host", "sid"]).select("host", "part", "of", "sid", "stream", "slots"), ["host", "part", "of", "sid"]
+    told = rows.groupBy(*key).agg(F.max("stream").alias("stream"))
+    sums = rows.select(*key, F.posexplode("slots").alias("at", "s")).groupBy(*key, "at").agg(
         *[F.sum(f"s.{c}").alias(c) for c in ("pages", "chars", "linked", "dropped")], F.min("s.low").alias("low"), F.max("s.high").alias("high")
     )
     none = F.lit(None).cast("long")
-    both = told.select("host", "rank", F.lit(-1).alias("at"), "stream", *[none.alias(c) for c in SLOT]).unionByName(sums.withColumn("stream", F.lit(None).cast("string")))
+    both = told.select(*key, F.lit(-1).alias("at"), "stream", *[none.alias(c) for c in SLOT]).unionByName(sums.withColumn("stream", F.lit(None).cast("string")))
+    schema = "host string, part long, pieces string"
+
+    def row(pdf: pd.DataFrame, part: int, wrapper: list) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [part], "pieces": [json.dumps(wrapper)]})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, every = pdf.sort_values(["rank", "at"]), []
-        for _, of in pdf.groupby("rank"):
+        pdf, every = pdf.sort_values(["of", "sid", "at"], ascending=[False, True, True]), []
+        for _, of in pdf.groupby("sid", sort=False):
             slots = iter(of.loc[of["at"] >= 0, list(SLOT)].astype("int64").to_numpy().tolist())
             labels = map(_tupled, json.loads(of["stream"].iloc[0]))
             every.append([(x, False, [next(slots) for y in leaves(x) if y == "#"]) for x in labels])
-        wrapper, main = infer(every)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [written_out(wrapper)], "labels": [json.dumps([x for x, _, _ in wrapper])], "main": [main]})
-
-    out, _ = written(both.groupBy("host").applyInPandas(fit, "host string, wrapper string, labels string, main array<int>"), "wrappers")
+        return row(pdf, pdf["part"].iloc[0], joined(every))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        return row(pdf, pdf["part"].iloc[0] // FAN, joined(_pieces(x) for x in pdf["pieces"]))
+
+    def rule(batches):
+        for pdf in batches:
+            for host, pieces in zip(pdf["host"], pdf["pieces"], strict=True):
+                wrapper, main = infer([_pieces(pieces)])
+                yield pd.DataFrame({"host": [host], "wrapper": [written_out(wrapper)], "labels": [json.dumps([x for x, _, _ in wrapper])], "main": [main]})
+
+    fitted = both.groupBy("host", "part").applyInPandas(fit, schema)
+    last = dealt.agg(F.max("part")).first()[0] or 0
+    while last:
+        fitted, last = fitted.groupBy("host", F.floor(F.col("part") / FAN).alias("to")).applyInPandas(join, schema), last // FAN
+    out, _ = written(fitted.mapInPandas(rule, "host string, wrapper string, labels string, main array<int>"), "wrappers")
     forget(pages.sparkSession, first, second)
     return out
 
 
+def _pieces(pieces: str) -> list[tuple]:
+    return [(_tupled(x), optional, slots) for x, optional, slots in json.loads(pieces)]
+
+
 def _tupled(x):
     return x if isinstance(x, str) else (x[0], tuple(map(_tupled, x[1])))
 
@@ -548,14 +607,15 @@ def _tupled(x):
 def main_text(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
     rules = wrappers(pages) if rules is None else rules
-    rules = rules.select(F.col("host").alias("_host"), F.struct("labels", "main").alias("_rule"))
-    rows = _with_host(pages)
-    if (rules.agg(F.sum(F.length("_rule.labels"))).first()[0] or 0) <= BROADCAST_CHARS:
-        met = rows.join(F.broadcast(rules), rows.host == F.col("_host"), "left")
+    rules, rows = rules.select("host", "labels", "main"), _with_host(pages)
+    size = rules.agg(F.sum(F.length("labels")), F.max(F.length("labels"))).first()
+    if (size[0] or 0) <= BROADCAST_CHARS and (size[1] or 0) <= ROW_CHARS:
+        met = rows.join(F.broadcast(rules), "host", "left").withColumn("page", F.lit(True))
     else:
-        salted = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_s", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-        met = rows.join(salted, (rows.host == F.col("_host")) & (F.col("_s") == F.col("_salt")), "left")
+        none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("page_id", "url", "html")]
+        ahead = rules.select(*none, "host", "labels", "main", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(False).alias("page"))
+        own = rows.select("*", *[F.lit(None).cast(rules.schema[c].dataType).alias(c) for c in ("labels", "main")], F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(True).alias("page"))
+        met = ahead.unionByName(own).repartition("host", "salt").sortWithinPartitions("host", "salt", "page")
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def apply(batches):
@@ -563,12 +623,14 @@ def main_text(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         known: dict = {}
         for batch in batches:
             out = []
-            for host, html, labels, main in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "labels", "main")), strict=True):
-                if host not in rules_of:
-                    if len(rules_of) >= REMEMBERED:
+            pages = batch.column("page")
+            for host, html, labels, main, page in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "labels", "main", "page")), strict=True):
+                if host not in rules_of or not page:
+                    if len(rules_of) >= REMEMBERED or not page:
                         rules_of.clear()
                     rules_of[host] = {"wrapper": [_tupled(x) for x in json.loads(labels)], "main": set(main)} if labels else None
-                out.append(extract(html, rules_of[host], known, host))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[f.name for f in schema.fields])
+                if page:
+                    out.append(extract(html, rules_of[host], known, host))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").filter(pages), batch.column("url").filter(pages), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[f.name for f in schema.fields])
 
-    return met.select("page_id", "url", "host", "html", F.col("_rule.labels").alias("labels"), F.col("_rule.main").alias("main")).mapInArrow(lean(apply), schema)
+    return met.select("page_id", "url", "host", "html", "labels", "main", "page").mapInArrow(lean(apply), schema)
