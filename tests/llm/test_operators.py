@@ -684,6 +684,30 @@ def test_lm_words_share_a_bucket_by_frequency(spark, monkeypatch):
     assert np.exp(within) == pytest.approx([1.0, 0.6, 0.2, 0.2], rel=1e-5)
 
 
+def test_lm_words_are_coded_once(spark):
+    """Training and scores from coded words, without the texts, are those from texts."""
+    rows = [(i, None if i % 7 == 0 else " " * (i % 3) + " ".join(f"w{j * i % 23}" for j in range(i % 40)), "s") for i in range(90)]
+    docs = frame(spark, rows)
+    vocab = lm_scoring.vocabulary(docs)
+    coded = lm_scoring.coded(docs, vocab, ["doc_id"]).cache()
+    assert "text" not in coded.columns and {r.doc_id: len(r._units) // 2 for r in coded.collect()} == {i: len((t or "").split()) for i, t, _ in rows}
+    params, plain = lm_scoring.train(coded, vocab), lm_scoring.train(docs, vocab)
+    assert all((params[k] == plain[k]).all() for k in params)
+    scores = [{r.doc_id: tuple(r) for r in lm_scoring.score(x, vocab, params, ["doc_id"]).collect()} for x in (coded, docs)]
+    assert scores[0] == scores[1] and len(scores[0]) == 90
+
+
+def test_lm_probabilities_of_far_logits():
+    """One number is taken from all logits only where no row vanishes by it."""
+    p = {k: v.astype(np.float64) for k, v in lm_scoring.start().items()}
+    ctx, y = np.arange(12).reshape(3, 4), np.array([5, 40, 1000])
+    for far in (0, 50, 300):
+        p["cb"][:16] = far
+        p["wb"][31, :16] = -2 * far
+        q = {k: v.astype(np.float32) for k, v in p.items()}
+        assert lm_scoring.log_probs(q, ctx, y) == pytest.approx([lm_forward(p, c, v) for c, v in zip(ctx, y, strict=True)], rel=1e-4)
+
+
 def test_lm_gradient_is_the_slope():
     rng = np.random.default_rng(4)
     p = {k: v.astype(np.float64) for k, v in lm_scoring.start().items()}

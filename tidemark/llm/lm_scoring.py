@@ -12,6 +12,7 @@ are averaged in Spark, weighted by words, in the order of the shards; round r ta
 So the parameters depend on the rows alone, not on how they are partitioned. Defined cases: null and empty texts have no words,
 sum 0 and a null mean; a word that was never counted has the count 1; with an empty table there is nothing to score;
 repeated rows give repeated results; other columns aren't looked at.
+Words are turned into units once (`coded`); both rounds and the scores read those.
 """
 
 from __future__ import annotations
@@ -47,19 +48,20 @@ def _bucket(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 def vocabulary(docs: DataFrame) -> dict:
     """The units: sorted hashes of the frequent words with their ids; the log count of a word by counter; the log of all such counts of a bucket; and words in all."""
-    from .textops import slices, word_hashes, word_spans
+    from .textops import hashes_of, slices, word_spans
 
     def count(batches):
         for batch in batches:
             hs, bs = [], []
             for _, data, off in slices(batch.column("text")):
-                h, _ = word_hashes(data, off)
-                s, e, _ = word_spans(data, off) if len(data) else (np.zeros(0, int),) * 3
-                hs.append(h)
-                bs.append(_bucket(data, s, e) if len(h) else np.zeros(0, np.int64))
-            h, at, n = np.unique(np.concatenate(hs) if hs else np.zeros(0, np.uint64), return_index=True, return_counts=True)
-            b = np.concatenate(bs)[at] if hs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(b.astype(np.int32)), pa.array(n)], names=["word", "bucket", "n"])
+                if len(data):
+                    s, e, _ = word_spans(data, off)
+                    hs.append(hashes_of(data, s, e))
+                    bs.append(_bucket(data, s, e) if len(s) else np.zeros(0, np.int64))
+            words = pa.array(np.concatenate([np.zeros(0, np.uint64), *hs]).view(np.int64)).dictionary_encode()
+            at, b = words.indices.to_numpy(), np.zeros(len(words.dictionary), np.int32)
+            b[at] = np.concatenate([np.zeros(0, np.int64), *bs])
+            yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(b), pa.array(np.bincount(at, minlength=len(b)))], names=["word", "bucket", "n"])
 
     from .textops import forget, written
 
@@ -91,12 +93,14 @@ def vocabulary(docs: DataFrame) -> dict:
 
 def units(data: np.ndarray, off: np.ndarray, vocab: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit of each word, each row's first word, and each word's log probability within its unit."""
-    from .textops import word_hashes, word_spans
+    from .textops import hashes_of, word_spans
 
-    h, first = word_hashes(data, off)
-    if not len(h):
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(len(off), np.int64), np.zeros(0)
+    s, e, first = word_spans(data, off)
+    if not len(s):
         return np.zeros(0, np.int64), first, np.zeros(0)
-    s, e, _ = word_spans(data, off)
+    h = hashes_of(data, s, e)
     out, own = UNITS - BUCKETS + _bucket(data, s, e), (h.view(np.int64) % CELLS)
     within = vocab["cells"].value[own] - vocab["spread"][out]
     if len(vocab["words"]):
@@ -135,9 +139,22 @@ def shaped(v: np.ndarray) -> dict:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _exp(x: np.ndarray) -> tuple:
+    """What is taken from the logits x (one number, or one a row where they lie far apart), their exponentials then, and each row's sum of these."""
+    most = x.max(initial=0)
+    if most - x.min(initial=0) > 60:
+        most = x.max(1, keepdims=True)
+    e = np.exp(x - most)
+    return most, e, e @ np.ones((x.shape[1], 1), x.dtype)
+
+
+def _inner(p: dict, hid: np.ndarray, c: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Logits of the units of each row's class; rows are ordered by class."""
+    z = p["wb"][c]
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        i = slice(cuts[k], cuts[k + 1])
+        z[i] += hid[i] @ p["w"][k]
+    return z
 
 
 def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,12 +168,11 @@ def log_probs(p: dict, ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log probability of units y given their windows."""
     order, c, w, cuts = _by_class(y)
     n = np.arange(len(y))
-    hid = np.tanh(p["e"][ctx[order]].reshape(len(y), -1) @ p["h"] + p["hb"])
-    out = _log_softmax(hid @ p["c"] + p["cb"])[n, c]
-    for k in range(CLASSES):
-        i = slice(cuts[k], cuts[k + 1])
-        if cuts[k] < cuts[k + 1]:
-            out[i] += _log_softmax(hid[i] @ p["w"][k] + p["wb"][k])[n[: cuts[k + 1] - cuts[k]], w[i]]
+    hid = np.tanh(np.take(p["e"], ctx[order], axis=0).reshape(len(y), -1) @ p["h"] + p["hb"])
+    out = np.zeros(len(y), hid.dtype)
+    for x, own in ((hid @ p["c"] + p["cb"], c), (_inner(p, hid, c, cuts), w)):
+        most, _, total = _exp(x)
+        out += x[n, own] - (most + np.log(total))[:, 0]
     back = np.empty_like(out)
     back[order] = out
     return back
@@ -167,29 +183,27 @@ def step(p: dict, g2: dict, ctx: np.ndarray, y: np.ndarray, rate: float = RATE)
     order, c, w, cuts = _by_class(y)
     n, ctx = len(y), ctx[order]
     at = np.arange(n)
-    x = p["e"][ctx].reshape(n, -1)
+    x = np.take(p["e"], ctx, axis=0).reshape(n, -1)
     hid = np.tanh(x @ p["h"] + p["hb"])
-    dc = np.exp(_log_softmax(hid @ p["c"] + p["cb"]))
-    dc[at, c] -= 1
-    dc /= n
-    grads = {"c": hid.T @ dc, "cb": dc.sum(0), "w": np.zeros(SHAPES["w"], hid.dtype), "wb": np.zeros(SHAPES["wb"], hid.dtype)}
+    dc, d = (e * (1 / (n * total)) for _, e, total in map(_exp, (hid @ p["c"] + p["cb"], _inner(p, hid, c, cuts))))
+    for g, own in ((dc, c), (d, w)):
+        g[at, own] -= 1 / n
+    each, some = np.ones(n, hid.dtype), np.flatnonzero(np.diff(cuts))
+    grads = {"c": hid.T @ dc, "cb": each @ dc, "w": np.zeros(SHAPES["w"], hid.dtype), "wb": np.zeros(SHAPES["wb"], hid.dtype)}
+    grads["wb"][some] = np.add.reduceat(d, cuts[some], axis=0)
     dh = dc @ p["c"].T
-    for k in range(CLASSES):
+    for k in some.tolist():
         i = slice(cuts[k], cuts[k + 1])
-        if cuts[k] < cuts[k + 1]:
-            d = np.exp(_log_softmax(hid[i] @ p["w"][k] + p["wb"][k]))
-            d[at[: cuts[k + 1] - cuts[k]], w[i]] -= 1
-            d /= n
-            grads["w"][k], grads["wb"][k] = hid[i].T @ d, d.sum(0)
-            dh[i] += d @ p["w"][k].T
+        grads["w"][k] = hid[i].T @ d[i]
+        dh[i] += d[i] @ p["w"][k].T
     dz = dh * (1 - hid * hid)
-    grads["h"], grads["hb"] = x.T @ dz, dz.sum(0)
+    grads["h"], grads["hb"] = x.T @ dz, each @ dz
     dx = (dz @ p["h"].T).reshape(n * 2 * SIDE, DIM)
     ids = ctx.ravel().astype(np.uint16)
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    uniq, de = ids[first], np.add.reduceat(dx[order], first, axis=0)
+    uniq, de = ids[first], np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
     for k, g in grads.items():
         g2[k] += g * g
         p[k] -= rate * g / (np.sqrt(g2[k]) + 1e-6)
@@ -197,13 +211,37 @@ def step(p: dict, g2: dict, ctx: np.ndarray, y: np.ndarray, rate: float = RATE)
     p["e"][uniq] -= rate * de / (np.sqrt(g2["e"][uniq]) + 1e-6)
 
 
-def train(docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> dict:
-    """Averaged parameters after training over docs (text, and doc_id if there is one) in `rounds` rounds, which share out the words."""
+def coded(docs: DataFrame, vocab: dict, keep: list[str]) -> DataFrame:
+    """The columns `keep` of each row of docs (text, and doc_id if there is one), its hash, the units of all its words (two bytes each) and the sum of their log probabilities within the units."""
+    schema = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string("_hash long, _units binary, _within double").fields)
+
+    def apply(batches):
+        from .textops import slices
+
+        for batch in batches:
+            for a, data, off in slices(batch.column(len(keep) + 1), 1 << 18):
+                u, first, within = units(data, off, vocab)
+                c = np.concatenate(([0.0], np.cumsum(within)))
+                own = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(2 * first.astype(np.int64)), pa.py_buffer(u.astype(np.uint16))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(a, len(own)) for j in range(len(keep) + 1)), own.cast(pa.binary()), pa.array(c[first[1:]] - c[first[:-1]])], names=[f.name for f in schema.fields])
+
+    h = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
+    return docs.select(*keep, h.alias("_hash"), F.col("text").alias("_text")).mapInArrow(lean(apply), schema)
+
+
+def _words(col, most: int = 1 << 16):
+    """(first row, units, each row's first word) of runs of rows of about `most` words."""
     from .textops import slices
 
+    for a, data, off in slices(col, 2 * most):
+        yield a, np.frombuffer(data, np.uint16).astype(np.int64), off // 2
+
+
+def train(docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> dict:
+    """Averaged parameters after training over docs (text, and doc_id if there is one; or as `coded` gives them) in `rounds` rounds, which share out the words."""
     shards = min(max(1, -(-vocab["total"] // SHARD)), SHARDS)
-    h = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
-    dealt = docs.where("text is not null").select(F.pmod(h, F.lit(shards)).alias("shard"), h.alias("h"), "text").repartition("shard").sortWithinPartitions("shard", "h").drop("h")
+    docs = docs if "_units" in docs.columns else coded(docs, vocab, [])
+    dealt = docs.where(F.length("_units") > 0).select(F.pmod("_hash", F.lit(shards)).alias("shard"), "_hash", "_units").repartition("shard").sortWithinPartitions("shard", "_hash").drop("_hash")
     params = start()
     for r in range(rounds):
         now = flat(params)
@@ -240,8 +278,7 @@ def train(docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> dict:
                         if state:
                             yield from end()
                         begin(int(shard[a]))
-                    for _, data, off in slices(batch.column("text").slice(a, b - a), 1 << 18):
-                        u, first, _ = units(data, off, vocab)
+                    for _, u, first in _words(batch.column("_units").slice(a, b - a)):
                         place = np.arange(len(u)) - np.repeat(first[:-1], np.diff(first))
                         at = np.flatnonzero(place % rounds == r)
                         state["x"].append(windows(u, first, at))
@@ -270,22 +307,20 @@ def train(docs: DataFrame, vocab: dict, rounds: int = ROUNDS) -> dict:
 
 
 def score(docs: DataFrame, vocab: dict, params: dict, keep: list[str]) -> DataFrame:
-    """The columns `keep` of each row, then n_words, log_prob (sum) and mean_log_prob."""
+    """The columns `keep` of each row of docs (with text, or as `coded` gives them), then n_words, log_prob (sum) and mean_log_prob."""
     schema = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string("n_words long, log_prob double, mean_log_prob double").fields)
+    docs = docs if "_units" in docs.columns else coded(docs, vocab, keep)
 
     def apply(batches):
-        from .textops import slices
-
         for batch in batches:
-            text = batch.column(len(keep))
-            for a, data, off in slices(text, 1 << 18):
-                u, first, within = units(data, off, vocab)
+            within = batch.column(len(keep) + 1).to_numpy()
+            for a, u, first in _words(batch.column(len(keep))):
                 n = np.diff(first)
                 lp = np.concatenate([np.zeros(0), *(log_probs(params, windows(u, first, at), u[at]).astype(float) for at in (np.arange(k, min(k + 8192, len(u))) for k in range(0, len(u), 8192)))])
-                c = np.concatenate(([0.0], np.cumsum(lp + within)))
-                total = c[first[1:]] - c[first[:-1]]
+                c = np.concatenate(([0.0], np.cumsum(lp)))
+                total = c[first[1:]] - c[first[:-1]] + within[a : a + len(n)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(j).slice(a, len(n)) for j in range(len(keep))), pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=[f.name for f in schema.fields]
                 )
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(lean(apply), schema)
+    return docs.select(*keep, "_units", "_within").mapInArrow(lean(apply), schema)
