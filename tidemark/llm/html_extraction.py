@@ -241,14 +241,28 @@ def leaves(label) -> list[str]:
 
 
 class Wholes(dict):
-    """Numbers of equal wholes; those that `base` has keep its numbers."""
+    """Numbers of equal wholes; those that `base` has keep its numbers. And the labels inside each, counted when first asked for."""
 
     def __init__(self, base=()):
-        self.base = base
+        self.base, self.labels = base, {}
 
     def number(self, key) -> int:
         return self.base[key] if key in self.base else self.setdefault(key, len(self.base) + len(self))
 
+    def inside(self, u: tuple) -> Counter:
+        if u[3] < len(self.base):
+            return self.base.inside(u)
+        if u[3] not in self.labels:
+            self.labels[u[3]] = Counter(v[2] for v in u[4])
+        return self.labels[u[3]]
+
+
+def _both(a: Counter, b: Counter) -> int:
+    """Labels that both hold."""
+    if len(a) > len(b):
+        a, b = b, a
+    return sum(min(n, b[x]) for x, n in a.items() if x in b)
+
 
 def _units(s: list, ids: Wholes) -> list:
     """A stream as a forest of (place, place of the end, label, id of the whole, units inside)."""
@@ -301,7 +315,7 @@ def _anchors(x: list, y: list) -> list[tuple[int, int]]:
     return _rising([(i, seen[t]) for i, t in enumerate(times[0]) if t in seen])
 
 
-def _matched(x: list, y: list) -> list[tuple]:
+def _matched(x: list, y: list, ids: Wholes) -> list[tuple]:
     """Pairs of units of two lists, in order, of the largest total weight (1 for the label, 1 for each label both hold inside, 1 for equal
     wholes); lists whose product is over CELLS are cut at their anchors until the parts are shorter or have nothing in common."""
     out, todo = [], [(x, y)]
@@ -316,7 +330,7 @@ def _matched(x: list, y: list) -> list[tuple]:
         out += [*zip(x[:lo], y[:lo], strict=True), *zip(x[len(x) - hi :], y[len(y) - hi :], strict=True)]
         x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
         if len(x) * len(y) <= CELLS:
-            out += _best(x, y)
+            out += _best(x, y, ids)
             continue
         i = j = 0
         found = _anchors(x, y)
@@ -329,12 +343,11 @@ def _matched(x: list, y: list) -> list[tuple]:
     return out
 
 
-def _best(x: list, y: list) -> list[tuple]:
+def _best(x: list, y: list, ids: Wholes) -> list[tuple]:
     """As `_matched`, of all pairs at once."""
     out: list = []
     if x and y:
-        inside = [[Counter(v[2] for v in u[4]) for u in side] for side in (x, y)]
-        weight = [[1 + (u[3] == v[3]) + (inside[0][i] & inside[1][j]).total() if u[2] == v[2] else 0 for j, v in enumerate(y)] for i, u in enumerate(x)]
+        weight = [[1 + (u[3] == v[3]) + _both(ids.inside(u), ids.inside(v)) if u[2] == v[2] else 0 for v in y] for u in x]
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(len(x) - 1, -1, -1):
             row, under = best[i], best[i + 1]
@@ -371,7 +384,7 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     ids = Wholes(a.ids if fitted else ())
     out, todo = [], [(a.units if fitted else _units(a, ids), _units(b, ids))]
     while todo:
-        for u, v in _matched(*todo.pop()):
+        for u, v in _matched(*todo.pop(), ids):
             out.append((u[0], v[0]))
             if u[1] > u[0]:
                 out.append((u[1], v[1]))
