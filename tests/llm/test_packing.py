@@ -1,5 +1,6 @@
 """Packing: exact round trips of ids, the local search's invariants, and how near the sequences come to the least number."""
 
+import itertools
 import random
 import struct
 import zlib
@@ -10,6 +11,7 @@ from tidemark.llm import packing
 
 P = pytest.importorskip("public_tokenizers")
 FILE = P.path("byte_bpe_50k.json")
+FILE_TEXT = open(FILE).read()
 
 
 def tokenizer():
@@ -28,6 +30,60 @@ def test_chunks_are_the_ids_of_whole_texts():
     assert model.older and model.size < 60_000
 
 
+PARTS = ["word", " ", "  ", "\n", "\t ", "'s", "'re", "'", "\"", "don't", "é", "ß1", "×", "ÿ", "日本", "。", "\x1c", "\x1f ", "\x85", "\xa0", "\u180e", "\u2003", "\u2028", "\u200b", "\u3000", "“", "…", "<|endoftext|>", "<|", "|", "***", ".", "12", "_", "\U0001f600"]
+
+
+def test_cuts_change_no_ids():
+    import numpy as np
+
+    rng, model, edges = random.Random(2), tokenizer(), packing.Chunks(FILE_TEXT).edges
+    own = lambda t: model.encode(t, add_special_tokens=False).ids
+    for _ in range(2000):
+        texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 25))) for _ in range(3)]
+        data, off = "".join(texts).encode(), np.cumsum([0, *(len(t.encode()) for t in texts)])
+        at = packing.cuts(np.frombuffer(data, np.uint8), off, edges).tolist()
+        assert set(off.tolist()) <= set(at)
+        for t, a, b in zip(texts, off, off[1:], strict=False):
+            assert [i for x, y in itertools.pairwise(c for c in at if a <= c <= b) for i in own(data[x:y].decode())] == own(t), t
+    assert edges.sum() == 6 + 32 - 3  # but <, | and > of <|endoftext|>
+    text = "uno «mot» “Erüst” *was***, don't\xa0 x\u3000  y"
+    at = packing.cuts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])).tolist()
+    assert [text.encode()[a:b].decode() for a, b in zip(at, at[1:], strict=False)] == ["uno", " «mot»", " “Erüst”", " *was", "***,", " don", "'t\xa0 x\u3000  y"]
+
+
+def test_texts_are_tokenized_together(monkeypatch):
+    """The tokenizer sees each distinct chunk once, and few texts: neither grows with the number of texts of the same words."""
+    import numpy as np
+
+    seen, whole = [], packing.Chunks.whole
+    monkeypatch.setattr(packing.Chunks, "whole", lambda self, texts: seen.append(texts) or whole(self, texts))
+    rng, model, want = random.Random(7), packing.Chunks(open(FILE).read()), tokenizer()
+    texts = [" ".join(rng.choice(["wordle", "Foo", "bär", "$$$", "x!!"]) + str(rng.randint(0, 40)) for _ in range(30)) for _ in range(500)]
+    data, off = "".join(texts).encode(), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    for _ in range(2):
+        ids, to = model.encode(np.frombuffer(data, np.uint8), off)
+        for t, a, b in zip(texts, to, to[1:], strict=False):
+            assert ids[a:b].tolist() == want.encode(t, add_special_tokens=False).ids
+    assert len(seen) <= 2 and sum(len(t) for own in seen for t in own) < 5000
+    assert packing._chunks(FILE_TEXT) is packing._chunks(FILE_TEXT)
+
+
+def test_other_vocabularies():
+    from tokenizers import AddedToken, Tokenizer, models, pre_tokenizers
+
+    vocab = {t: i for i, t in enumerate(["a", "b", "Ġ", ".", "]", "aĠ", "bĠ", "a."])}
+    texts = ["aa b", "aaa bc a", "caa. b", "aaa.a]", "a[a] b", "aaa a[a]. [a]", "aab a b  a.a c", "", "aaa a b a"] * 2
+    for regex in (True, False):  # without the pattern, tokens go over white space; c isn't in the vocabulary
+        for more in ([], ["a[a]"], ["b a"], [AddedToken("a[a]", lstrip=True, rstrip=True)], [AddedToken("a", single_word=True)]):
+            model = Tokenizer(models.BPE(vocab, [("a", "Ġ"), ("b", "Ġ"), ("a", ".")]))
+            model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=regex)
+            model.add_tokens(more)
+            chunks = packing.Chunks(model.to_str())
+            for t in texts:
+                want = model.encode(t, add_special_tokens=False).ids
+                assert chunks.ids(t) == struct.pack(f"<{len(want)}I", *want), (regex, more, t)
+
+
 def fills(b):
     assert sorted(i for own in b.bins for i in own) == list(range(len(b.length)))
     for own, fill in zip(b.bins, b.fill, strict=True):

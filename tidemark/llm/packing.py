@@ -7,9 +7,10 @@ underfull bins it exchanges one piece for one, two for one or one for two, or mo
 to a fuller bin, so that the sum of squared fills grows, until bins are empty. The OPEN emptiest bins of a block are taken apart
 and packed again with those of FAN other blocks, level by level, so that about what one block can't fill stays underfull in all.
 
-Text is tokenized in chunks of white space and what follows it (a plain word apart from punctuation after it), each distinct chunk once and kept by a task (2 x CACHE bytes at
-most; the least recent go); these are the ids of the whole text, as no token of the byte-level vocabulary goes over the edge before white
-space that follows other characters. Texts with the control characters 0x1C to 0x1F, which not all call white space, go through whole.
+Text is tokenized in chunks that begin with white space or with marks after a word (see `cuts`). The chunks of SLICE bytes of texts are coded by Arrow as a
+dictionary, each new one of it is tokenized once, and the ids are put together by gathering. A Python worker keeps 2 x CACHE bytes of chunks and
+their ids over its tasks (the least recent go). These are the ids of the whole text, as no token of a byte-level vocabulary goes over such an edge;
+with another vocabulary every distinct text is one chunk.
 
 A block has about BLOCK pieces on the first level and at most FAN x OPEN x MOST later (pieces of one token only), so
 no task and no group grows with the input. The tables between levels are written to the shared folder, so executors may be lost. Nothing goes to the driver but a count.
@@ -20,80 +21,150 @@ the row number; texts of any length are tokenized whole; an empty table gives an
 
 from __future__ import annotations
 
-import gc
-import re
 import zlib
 from bisect import insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import lean, written
+from .textops import buffers, lean, slices, written
 
 MOST, END = 2048, 0
 BLOCK, OPEN, FAN = 16384, 24, 8
-#: Bytes of chunks and ids in the newer half of what a task keeps.
-CACHE = 64 << 20
+#: Bytes of chunks and ids in the newer half of what a Python worker keeps.
+CACHE = 16 << 20
+#: Bytes of texts (a longer text stands alone) and chunks taken at a time, and chunks tokenized as one text.
+SLICE, GROUP, TOGETHER = 8 << 20, 1 << 20, 256
 
 
-class Chunks:
-    """Token ids of texts as little-endian 32-bit integers, with each distinct chunk tokenized once."""
+def _table(of: bytes | range) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(of)] = True
+    return out
+
+
+_SPACE, _LETTER = _table(b"\t\n\v\f\r "), _table([*range(65, 91), *range(97, 123)])
+#: White space, and the marks that a word of letters may be cut from.
+_EDGES = _SPACE | _table([c for c in range(33, 127) if not chr(c).isalnum()])
+#: ASCII that nobody calls white space (some do 0x1C to 0x1F).
+_PLAIN = _table(range(128)) & ~_SPACE & ~_table(range(0x1C, 0x20))
+
+
+def cuts(data: np.ndarray, off: np.ndarray, edges: np.ndarray = _EDGES) -> np.ndarray:
+    """Places, in order, at which texts in UTF-8 (with n + 1 offsets) may be cut without a change of their ids, as no token goes over them: before ASCII
+    white space after other characters and before ASCII marks after Latin letters (nowhere in the first three bytes; only before those in the table
+    `edges`), and at the texts' ends. Characters that may be white space (0x85, 0xA0, 0x180E, 0x2000 and so on) count as such."""
+    at = np.flatnonzero(edges[data])
+    at = at[at > 2]
+    p, q, r = data[at - 1], data[at - 2], data[at - 3]
+    wide = p >= 0x80
+    latin = (q == 0xC3) & wide & (p != 0x97) & (p != 0xB7)
+    maybe = (q == 0x81) | (q == 0x9A) | (q == 0xA0) | ((q == 0x80) & ((p < 0x90) | (p >= 0xA8)))
+    space = ((q == 0xC2) & ((p == 0x85) | (p == 0xA0))) | ((r >= 0xE1) & (r <= 0xE3) & maybe)
+    may = np.where(_SPACE[data[at]], _PLAIN[p] | (wide & ~space), _LETTER[p] | latin)
+    mark = np.zeros(len(data) + 1, bool)
+    mark[at[may]] = True
+    mark[off] = True
+    return np.flatnonzero(mark)
+
+
+def _numbered(at: pa.Array, n: int) -> pa.Array:
+    """The numbers of `at`, with its nulls numbered from n on."""
+    null = np.asarray(pc.is_null(at))
+    return pa.array(np.where(null, n + np.cumsum(null) - 1, np.asarray(pc.fill_null(at, 0))))
 
-    #: Words of common Latin letters stand apart from the punctuation after them, as a token of letters ends before it.
-    SPLIT, ODD = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?)]|$)|\s*\S+|\s+"), re.compile("[\x1c-\x1f]")
+
+class Chunks:
+    """Token ids of texts, with each distinct chunk tokenized once. Chunks are rows of Arrow arrays, so none is an object of Python."""
 
     def __init__(self, tokenizer: str, most: int = CACHE):
+        import json
         import os
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model, self.most, self.kept, self.older, self.size = Tokenizer.from_str(tokenizer), most, {}, {}, 0
+        self.model, self.most, self.size = Tokenizer.from_str(tokenizer), most, 0
         vocabulary = self.model.get_vocab()
         #: Bytes of each token: in a byte-level vocabulary a byte is written as one character.
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def each(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that begin with white space and end with something else: they are tokenized as one text, whose tokens' widths tell them apart."""
-        if not chunks:
-            return []
-        ids = self.whole(["".join(chunks)])[0]
-        ends = np.cumsum(self.width[np.frombuffer(ids, "<u4")])
-        want = np.cumsum([len(c.encode()) for c in chunks])
-        at = np.searchsorted(ends, want)
-        if (ends[np.minimum(at, len(ends) - 1)] != want).any():  # a vocabulary with tokens over such edges
-            return self.whole(chunks)
-        cuts = [0, *(4 * at + 4).tolist()]
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        # No cut is made within an added token, and none at all if one looks at what is around it or words aren't told apart as `cuts` has it.
+        read = json.loads(tokenizer)
+        added, split = read["added_tokens"], read["pre_tokenizer"] or {}
+        self.edges = _EDGES & ~_table("".join(t["content"] for t in added).encode())
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added) or read["normalizer"] or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+            self.edges = np.zeros(256, bool)
+        self._none = pa.array([], pa.large_binary()), pa.array([], pa.large_list(pa.uint32()))
+        (self.kept, self.kept_ids), (self.older, self.older_ids) = self._none, self._none
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def each(self, chunks: pa.LargeBinaryArray) -> pa.LargeListArray:
+        """Ids of each chunk. Up to TOGETHER chunks are tokenized as one text where `cuts` may cut it between them; the tokens' widths tell them apart."""
+        if not len(chunks):
+            return self._none[1]
+        data, off = buffers(chunks)
+        apart = np.ones(len(data) + 1, bool)
+        apart[cuts(data, off[[0, -1]], self.edges)] = False
+        apart = apart[off]
+        apart[::TOGETHER] = apart[-1] = True
+        text, at, ids = data.tobytes(), off[apart].tolist(), []
+        for k in range(0, len(at) - 1, 256):
+            own = at[k : k + 257]
+            ids += self.whole([text[a:b].decode() for a, b in zip(own, own[1:], strict=False)])
+        ids = np.concatenate(ids)
+        ends = np.concatenate(([0], np.cumsum(self.width[ids])))
+        to = np.searchsorted(ends, off)
+        if to[-1] == len(ends) or (ends[to] != off).any():  # a vocabulary that leaves out characters
+            ids = self.whole([c.decode() for c in chunks.to_pylist()])
+            to, ids = np.cumsum([0, *map(len, ids)]), np.concatenate(ids)
+        return pa.LargeListArray.from_arrays(pa.array(to, pa.int64()), pa.array(ids))
+
+    def known(self, chunks: pa.LargeBinaryArray) -> pa.LargeListArray:
+        """Ids of distinct chunks: kept ones are looked up, others tokenized. Chunks that come again move from the older half to the newer one."""
+        at = pc.index_in(chunks, value_set=self.kept)
+        new = chunks.filter(pc.is_null(at))
+        if not len(new):
+            return self.kept_ids.take(at)
+        before = pc.index_in(new, value_set=self.older)
+        strange = self.each(new.filter(pc.is_null(before)))
+        found = pa.concat_arrays([self.older_ids, strange]).take(_numbered(before, len(self.older)))
+        ids = pa.concat_arrays([self.kept_ids, found])
+        out = ids.take(_numbered(at, len(self.kept)))
+        self.kept, self.kept_ids = pa.concat_arrays([self.kept, new]), ids
+        self.size = self.kept.nbytes + ids.nbytes
+        if self.size > self.most:
+            self.older, self.older_ids, (self.kept, self.kept_ids), self.size = self.kept, ids, self._none, 0
+        return out
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in UTF-8 with n + 1 offsets, and n + 1 offsets of theirs."""
+        at = cuts(data, off, self.edges)
+        ids, count = [np.zeros(0, np.uint32)], np.zeros(len(at), np.int64)
+        for k in range(0, len(at) - 1, GROUP):
+            own = at[k : k + GROUP + 1]
+            chunks = pa.Array.from_buffers(pa.large_binary(), len(own) - 1, [None, pa.py_buffer(own), pa.py_buffer(data)]).dictionary_encode()
+            found = self.known(chunks.dictionary).take(chunks.indices)
+            ids.append(found.flatten().to_numpy())
+            count[k + 1 : k + len(own)] = np.diff(found.offsets.to_numpy())
+        return np.concatenate(ids), np.cumsum(count)[np.searchsorted(at, off)]
 
     def ids(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self.whole([text])[0]
-        chunks = self.SPLIT.findall(text)
-        if not chunks:
-            return b""
-        kept = self.kept
-        new = set(chunks).difference(kept)
-        if new:
-            edges = {c for c in new if not c[0].isspace() or c[-1].isspace()}
-            again = {c: self.older[c] for c in new if c in self.older} if self.older else {}
-            inside, edges = list(new - edges - again.keys()), list(edges - again.keys())
-            found = again | dict(zip(inside, self.each(inside), strict=True)) | dict(zip(edges, self.whole(edges), strict=True))
-            if self.size > self.most:
-                # Chunks that come again move from the older half to the newer one.
-                self.older, self.kept, self.size = kept, {}, 0
-                kept = self.kept
-                found |= {c: self.older[c] for c in set(chunks) - new}
-            kept.update(found)
-            self.size += 160 * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))
-        return b"".join([kept[c] for c in chunks])
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode(data, np.array([0, len(data)]))[0].astype("<u4").tobytes()
+
+
+@lru_cache(1)
+def _chunks(tokenizer: str) -> Chunks:
+    """One of them in each Python worker, for all of its tasks."""
+    return Chunks(tokenizer)
 
 
 def pieces(docs: DataFrame, tokenizer: str, most: int = MOST, end: int = END, ids: bool = False) -> DataFrame:
@@ -102,41 +173,29 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = MOST, end: int = END, id
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file of fixed size
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if ids else "")
-    names = ["row", "piece", "start", "length", "ids_crc32"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
 
     def apply(batches):
-        last, chunks = np.array([end], "<u4").tobytes(), Chunks(model.value)
-        gc.disable()  # hundreds of thousands of small objects, none of them in a cycle
-
-        def out(column, rows, parts):
-            own = column.take(pa.array([r[0] for r in rows], pa.int64()))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            cols = [own, *(pa.array([r[k + 1] for r in rows], kind) for k, kind in enumerate(kinds))]
-            if ids:
-                each = np.concatenate([np.frombuffer(p, "<u4") for p in parts]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r[3] for r in rows)]), pa.int32()), pa.array(each)))
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", *names[1:], *(["ids"] if ids else [])])
-
+        chunks = _chunks(model.value)
         for batch in batches:
-            column, texts = batch.column(0), batch.column(1)
-            rows, parts, held = [], [], 0
-            for r in range(batch.num_rows):
-                t = chunks.ids(texts[r].as_py() or "") + last
-                n, at = len(t) // 4, 0
-                for k in range(-(-n // most)):
-                    to = n - (-(-n // most) - 1 - k) * most
-                    part = t[4 * at : 4 * to]
-                    rows.append((r, k, at, to - at, zlib.crc32(part)))
-                    if ids:
-                        parts.append(part)
-                        held += len(part)
-                    at = to
-                if len(rows) >= 20_000 or held > 1 << 24:
-                    yield out(column, rows, parts)
-                    rows, parts, held = [], [], 0
-            if rows:
-                yield out(column, rows, parts)
-        gc.enable()
+            for first, data, off in slices(batch.column(1), SLICE):
+                tokens, to = chunks.encode(data, off)
+                tokens = np.insert(tokens, to[1:], end).astype("<u4", copy=False)
+                to = (to + np.arange(len(to))).tolist()
+                view, rows = memoryview(tokens).cast("B"), []
+                for r, (a, b) in enumerate(zip(to, to[1:], strict=False)):
+                    many = -(-(b - a) // most)
+                    at = a
+                    for k in range(many):
+                        cut = b - (many - 1 - k) * most
+                        rows.append((first + r, k, at - a, cut - at, zlib.crc32(view[4 * at : 4 * cut])))
+                        at = cut
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                row, *cols = (pa.array(own, kind) for own, kind in zip(zip(*rows, strict=True), kinds, strict=True))
+                cols = [batch.column(0).take(row), *cols]
+                if ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r[3] for r in rows)]), pa.int32()), pa.array(tokens.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(apply), schema)
 
